@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, pii
+from . import bpe, bpe_codec, fingerprint, packing, pii, repair
 from .common import table
 
 
@@ -14,9 +15,21 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.round_trip(table(spark, sf_dir, "documents"), bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op5_pii)}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(table(spark, sf_dir, "documents"), bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op3_bpe, op5_pii, op7_packing, op9_token_files)}
 ORACLE_SQL: dict[str, str] = {}
