@@ -24,6 +24,10 @@ from .common import shared_path
 BROADCAST_BYTES = 96 << 20
 #: Words that a task gathers before it hands on the distinct ones.
 GATHERED = 400_000
+#: Texts whose words are joined together.
+TEXTS = 100
+#: Distinct words whose ids a worker keeps.
+KEPT_WORDS = 500_000
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -64,24 +68,43 @@ def encoded_words(words: DataFrame, vocabulary: str) -> DataFrame:
 
 
 class Table:
-    """Ids of words by their hashes, for lookups in a worker."""
-
-    def __init__(self, words: list[str], ids: list[bytes]):
-        for self.seed in range(100):  # two words of one hash: another seed
-            hashes = np.array([xxhash.xxh64_intdigest(w, self.seed) for w in words], np.uint64)
-            order = np.argsort(hashes)
-            self.hashes = hashes[order]
-            if not (self.hashes[1:] == self.hashes[:-1]).any():
-                break
-        self.ends = np.cumsum([len(ids[k]) // 2 for k in order]).astype(np.uint32)
-        self.ids = np.frombuffer(b"".join(ids[k] for k in order), "<u2")
-
-    def __getitem__(self, word: str) -> list[int]:
-        h = np.uint64(xxhash.xxh64_intdigest(word, self.seed))
-        k = int(np.searchsorted(self.hashes, h))
-        if k == len(self.hashes) or self.hashes[k] != h:
-            raise KeyError(word)
-        return self.ids[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])].tolist()
+    """Ids of words by their hashes, for lookups in a worker. ids: all words' ids in the order of hashes; many: how many each has."""
+
+    def __init__(self, seed: int, hashes: np.ndarray, many: np.ndarray, ids: np.ndarray):
+        order = np.argsort(hashes)
+        starts, many = (np.cumsum(many) - many)[order], many[order]
+        self.seed, self.hashes, self.ends = seed, hashes[order], np.cumsum(many).astype(np.uint32)
+        self.ids = ids[np.repeat(starts - (self.ends - many), many) + np.arange(len(ids))]
+        self.distinct = not (self.hashes[1:] == self.hashes[:-1]).any()
+
+    def look_up(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each word; all must be in the table."""
+        h = np.array([xxhash.xxh64_intdigest(w, self.seed) for w in words], np.uint64)
+        k = np.searchsorted(self.hashes, h)
+        if len(h) and (len(self.hashes) == 0 or (self.hashes[np.minimum(k, len(self.hashes) - 1)] != h).any()):
+            raise KeyError("a word is not in the table")
+        ends = np.append(np.uint32(0), self.ends)
+        return [self.ids[a:b] for a, b in zip(ends[k].tolist(), ends[k + 1].tolist(), strict=True)]
+
+
+def collected(table: DataFrame) -> Table:
+    """The table of words on the driver, by hashes made on the executors; where two words have one hash, by another seed's."""
+    for seed in range(100):
+
+        def hashed(batches: Iterator[pd.DataFrame], seed: int = seed) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"h": np.array([xxhash.xxh64_intdigest(w, seed) for w in b["word"]], np.uint64).view(np.int64), "ids": b["ids"]})
+
+        got = table.mapInPandas(hashed, "h long, ids binary").toArrow().combine_chunks()
+        ids = got["ids"].chunk(0) if got["ids"].num_chunks else None
+        if ids is None:
+            return Table(seed, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16))
+        ends = np.frombuffer(ids.buffers()[1], "<i4")[ids.offset : ids.offset + len(ids) + 1]
+        values = np.frombuffer(ids.buffers()[2], "<u2")[ends[0] // 2 : ends[-1] // 2]
+        out = Table(seed, got["h"].to_numpy().view(np.uint64), np.diff(ends).astype(np.int64) // 2, values)
+        if out.distinct:
+            return out
+    raise ValueError("the words have no distinct hashes")
 
 
 class Joined(dict):
@@ -91,12 +114,15 @@ class Joined(dict):
         super().__init__()
         self.table, self.pieces = table, pieces
 
-    def __missing__(self, word: str) -> tuple[str, int, bytes]:
-        if len(self) >= bpe.KEPT_WORDS:
+    def fill(self, words: set[str]) -> None:
+        """Joins the words that are new, all at once."""
+        if len(self) >= KEPT_WORDS:
             self.clear()
-        ids = self.table[word]
-        out = self[word] = (",".join(map(str, ids)), len(ids), b"".join([self.pieces[k] for k in ids]))
-        return out
+        new = list(words.difference(self))
+        pieces = self.pieces
+        for word, found in zip(new, self.table.look_up(new), strict=True):
+            ids = found.tolist()
+            self[word] = (",".join(map(str, ids)), len(ids), b"".join([pieces[k] for k in ids]))
 
 
 def _digests(docs: DataFrame, vocabulary: str, table: Table) -> DataFrame:
@@ -107,11 +133,14 @@ def _digests(docs: DataFrame, vocabulary: str, table: Table) -> DataFrame:
         words, joined = bpe.loaded(text.value), Joined(shared.value, bpe.pieces(text.value))
         for batch in batches:
             rows = []
-            for x in batch["text"]:
-                found = [joined[w] for w in words.split(x)] if x else []
-                ids = ",".join([f[0] for f in found])
-                whole = b"".join([f[2] for f in found]).decode("utf-8", "replace").encode()
-                rows.append((sum([f[1] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(whole).hexdigest()))
+            for k in range(0, len(batch), TEXTS):
+                split = [words.split(x) if x else [] for x in batch["text"].iloc[k : k + TEXTS]]
+                joined.fill(set().union(*split))
+                for text_words in split:
+                    found = [joined[w] for w in text_words]
+                    ids = ",".join([f[0] for f in found])
+                    whole = b"".join([f[2] for f in found]).decode("utf-8", "replace").encode()
+                    rows.append((sum([f[1] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(whole).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", _ids_column(batch, "doc_id").array)
             yield out
@@ -164,9 +193,4 @@ def round_trip(docs: DataFrame, vocabulary: str, broadcast_bytes: int = BROADCAS
     n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()
     if size + 12 * n > broadcast_bytes:
         return _digests_by_joins(docs, vocabulary, table)
-    words: list[str] = []
-    ids: list[bytes] = []
-    for part in table.toArrow().to_batches():
-        words += part["word"].to_pylist()
-        ids += part["ids"].to_pylist()
-    return _digests(docs, vocabulary, Table(words, ids))
+    return _digests(docs, vocabulary, collected(table))
