@@ -20,8 +20,8 @@ FOREIGN = re.compile("[^\x00-įı-ſ]")
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_WORDS = re.compile(f"{ENDINGS}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 LOWER_WORDS = re.compile(f"{ENDINGS}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
-#: Distinct words that a worker keeps; beyond, it starts afresh.
-KEPT_WORDS = 500_000
+#: Distinct words that a worker keeps; as many as were kept before them are still looked up, and kept again when they recur.
+KEPT_WORDS = 600_000
 
 _loaded: dict[int, Words] = {}
 
@@ -48,6 +48,7 @@ class Words(dict):
 
     def __init__(self, vocabulary: str):
         super().__init__()
+        self.before: dict[str, bytes] = {}
         from tokenizers import Tokenizer
 
         conf = json.loads(vocabulary)
@@ -62,8 +63,12 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
+            self.before = dict(self)
             self.clear()
-        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+        self[word] = ids
         return ids
 
     def split(self, text: str) -> list[str]:
