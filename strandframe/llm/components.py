@@ -1,0 +1,32 @@
+"""Connected components of an edge list, by repeated contraction; nothing but counts reaches the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node of an edge; label is one node of its component. edges: (a long, b long).
+
+    In each round every node points to the smallest of itself and its neighbours, and edges are redrawn between those.
+    Only nodes smaller than all their neighbours remain, so the edges vanish after a few rounds. Nodes without an edge to
+    another node are not in the result.
+    """
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    edges = checkpointed(edges)
+    labels = None
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        parent = checkpointed(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("parent")))
+        if labels is None:
+            labels = parent.select("node", F.col("parent").alias("label"))
+        else:
+            labels = labels.join(parent.select(F.col("node").alias("label"), "parent"), "label", "left").select("node", F.coalesce("parent", "label").alias("label"))
+        labels = checkpointed(labels)
+        to_a, to_b = (parent.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}")) for c in "ab")
+        edges = edges.join(to_a, "a").join(to_b, "b").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        edges = checkpointed(edges)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels

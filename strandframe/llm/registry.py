@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, bpe_codec, fingerprint, langid, packing, pii, repair, toxicity
+from . import ann, bpe, bpe_codec, fingerprint, langid, ngram_join, packing, pii, repair, toxicity
 from .common import table
 
 
@@ -44,5 +44,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.round_trip(table(spark, sf_dir, "documents"), bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_bpe, op4_language, op5_pii, op7_packing, op8_neighbours, op9_token_files)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_bpe, op4_language, op5_pii, op7_packing, op8_neighbours, op9_token_files, op10_jaccard)}
 ORACLE_SQL: dict[str, str] = {}
