@@ -30,7 +30,11 @@ from .shingles import shingle_set
 #: Shingles that more classes have are frequent, and are indexed in pairs.
 FREQUENT = 64
 #: Documents' worth of shingles in a bucket; the most buckets; classes, and shingles, of a block of a tile.
-BUCKET_DOCS, MOST_BUCKETS, BLOCK_SETS, BLOCK_SHINGLES = 2000, 1 << 15, 512, 1 << 19
+BUCKET_DOCS, MOST_BUCKETS, BLOCK_SETS, BLOCK_SHINGLES = 8000, 1 << 15, 512, 1 << 19
+#: Texts whose shingles are dealt together; shares into which each signature's classes are dealt; bits of a shingle's hash that are kept beside its bucket.
+TEXTS, SALTS, KEPT_BITS = 2500, 8, 48
+#: Ids of kept documents up to which they are broadcast, 8 bytes each.
+BROADCAST_IDS = 4_000_000
 #: Products of a tile that are counted at once.
 COUNTED = 1 << 22
 
@@ -46,31 +50,37 @@ def misses(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-# A part of a message: for each class its key (8 bytes), set size (4), shingles here (4); then all shingles' hashes.
-def _pack(keys: np.ndarray, sizes: np.ndarray, many: np.ndarray, values: np.ndarray, extra: np.ndarray | None = None) -> bytes:
-    head = np.array([len(keys), len(values)], "<i8").tobytes()
-    return head + keys.astype("<u8").tobytes() + sizes.astype("<i4").tobytes() + many.astype("<i4").tobytes() + values.astype("<u8").tobytes() + (b"" if extra is None else extra.astype("<u2").tobytes())
+# A part of a message: for each class its key (8 bytes), set size (4), shingles here (4); then all shingles' hashes, 6 bytes each,
+# as the rest is the bucket's number; or 8 bytes each and 2 for how many classes have the shingle.
+def _pack(keys: np.ndarray, sizes: np.ndarray, many: np.ndarray, values: np.ndarray, frequency: np.ndarray | None) -> bytes:
+    head = np.array([len(keys), len(values), frequency is not None], "<i8").tobytes() + keys.astype("<u8").tobytes() + sizes.astype("<i4").tobytes() + many.astype("<i4").tobytes()
+    if frequency is not None:
+        return head + values.astype("<u8").tobytes() + frequency.astype("<u2").tobytes()
+    return head + (values & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (values >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    k, v = np.frombuffer(blob, "<i8", 2).tolist()
-    at = 16
-    out = []
-    for kind, width, n in (("<u8", 8, k), ("<i4", 4, k), ("<i4", 4, k), ("<u8", 8, v)):
+def _unpack(bucket: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    k, v, whole = np.frombuffer(blob, "<i8", 3).tolist()
+    kinds = [("<u8", k), ("<i4", k), ("<i4", k)] + ([("<u8", v), ("<u2", v)] if whole else [("<u4", v), ("<u2", v)])
+    out, at = [], 24
+    for kind, n in kinds:
         out.append(np.frombuffer(blob, kind, n, at))
-        at += width * n
-    return *out, np.frombuffer(blob[at:], "<u2")
+        at += out[-1].nbytes
+    if whole:
+        return tuple(out)
+    values = np.uint64(bucket << KEPT_BITS) | out[4].astype(np.uint64) << np.uint64(32) | out[3]
+    return *out[:3], values, np.zeros(0, "<u2")
 
 
-def _messages(to: np.ndarray, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray, values: np.ndarray, extra: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+def _messages(to: np.ndarray, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray, values: np.ndarray, frequency: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
     """Values dealt to their buckets, each bucket's grouped by the class that owns them."""
     order = np.lexsort((owner, to))
     to, owner, values = to[order], owner[order], values[order]
-    extra = None if extra is None else extra[order]
+    frequency = None if frequency is None else frequency[order]
     starts = np.flatnonzero(np.diff(to, prepend=-1))
     for a, b in zip(starts, np.append(starts[1:], len(to)), strict=True):
         of, many = np.unique(owner[a:b], return_counts=True)
-        yield int(to[a]), _pack(keys[of], sizes[of], many, values[a:b], None if extra is None else extra[a:b])
+        yield int(to[a]), _pack(keys[of], sizes[of], many, values[a:b], None if frequency is None else frequency[a:b])
 
 
 def signatures(n: int, alone: int, values: np.ndarray, frequency: np.ndarray, percent: int, frequent: int = FREQUENT) -> np.ndarray:
@@ -111,11 +121,11 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """CHOSEN rows: one a document (doc, n, key), and one a class that may link (n, key, its signatures and shared shingles)."""
     n_docs = docs.count()
     buckets = min(MOST_BUCKETS, 1 << max(6, math.ceil(math.log2(max(n_docs, 1) / BUCKET_DOCS + 1))))
-    shift = np.uint64(64 - int(math.log2(buckets)))
+    shift = np.uint64(64 - KEPT_BITS - int(math.log2(buckets)))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for b in batches:
+        for b in (b.iloc[k : k + TEXTS] for b in batches for k in range(0, len(b), TEXTS)):
             rows, keys, sets = [], [], []
             for doc, text in zip(b["doc"], b["text"], strict=True):
                 s = shingle_set(text, words)
@@ -127,8 +137,8 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     sets.append(s)
             if sets:
                 sizes = np.array([len(s) for s in sets])
-                values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-                rows += [(to, None, 0, 0, part) for to, part in _messages((values >> shift).astype(np.int64), owner, np.array(keys, np.uint64), sizes, values)]
+                values, owner = np.concatenate(sets) >> shift, np.repeat(np.arange(len(sets)), sizes)
+                rows += [(to, None, 0, 0, part) for to, part in _messages((values >> np.uint64(KEPT_BITS)).astype(np.int64), owner, np.array(keys, np.uint64), sizes, values)]
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     def by_bucket(batches: Iterator[pd.DataFrame], work) -> Iterator[pd.DataFrame]:
@@ -151,7 +161,7 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
         if now is None:
             yield parts
             return
-        keys, sizes, many, values, _ = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))
+        keys, sizes, many, values, _ = (np.concatenate(x) for x in zip(*(_unpack(now, p) for p in parts), strict=True))
         # A class that several tasks sent counts once.
         unique, first, owner = np.unique(keys, return_index=True, return_inverse=True)
         sent = np.zeros(len(keys), bool)
@@ -174,7 +184,7 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
         if now is None:
             yield parts.drop(columns=["at", "part"]).assign(signatures=None, shared=None)
             return
-        keys, sizes, many, values, frequency = (np.concatenate(x) for x in zip(*map(_unpack, parts), strict=True))
+        keys, sizes, many, values, frequency = (np.concatenate(x) for x in zip(*(_unpack(now, p) for p in parts), strict=True))
         unique, first, owner = np.unique(keys, return_index=True, return_inverse=True)
         total = np.bincount(owner, weights=many).astype(np.int64)
         sizes = sizes[first]
@@ -250,7 +260,10 @@ def links(chosen: DataFrame, percent: int) -> DataFrame:
     sets = chosen.where(F.col("shared").isNotNull())
     index = sets.select("key", F.explode("signatures").alias("signature"))
     first = index.groupBy("signature").agg(F.min("key").alias("first"), F.max("key").alias("last")).where(F.col("first") != F.col("last"))
-    near = index.join(first, "signature").where(F.col("key") != F.col("first")).select(F.col("key").alias("a"), F.col("first").alias("b"))
+    # A signature that very many classes have is joined in several shares.
+    salted = index.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(41)), F.lit(SALTS)))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    near = salted.join(first, ["signature", "salt"]).where(F.col("key") != F.col("first")).select(F.col("key").alias("a"), F.col("first").alias("b"))
     groups = components(near)
 
     grouped = sets.select("key", "n", "shared").join(groups.select(F.col("node").alias("key"), F.col("label").alias("group")), "key")
@@ -303,6 +316,16 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: that of the smallest id (of repeated rows one)."""
-    keep = join(docs, words, percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs with one document of each component, that of the smallest id; of rows that repeat its id, one.
+
+    Texts without a word are kept, and so are rows without an id, which nothing tells apart.
+    """
+    found = checkpointed(join(docs, words, percent))
+    keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    n, repeated = keep.agg(F.count(F.lit(1)), F.count(F.when(F.col("rows") > 1, 1))).first()
+    once = keep.where(F.col("rows") == 1).select("doc_id")
+    kept = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(F.broadcast(once) if n <= BROADCAST_IDS else once, "doc_id", "left_semi").select(*docs.columns))
+    if repeated:
+        again = docs.join(keep.where(F.col("rows") > 1).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+        kept = kept.unionByName(again.dropDuplicates(["doc_id"]))
+    return kept
