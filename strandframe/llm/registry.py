@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, bpe_codec, fingerprint, langid, ngram_join, packing, pii, repair, toxicity
+from . import ann, bpe, bpe_codec, fingerprint, langid, lm, ngram_join, packing, pii, repair, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.classify(table(spark, sf_dir, "documents"), bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -48,5 +52,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_bpe, op4_language, op5_pii, op7_packing, op8_neighbours, op9_token_files, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_bpe, op4_language, op5_pii, op6_lm, op7_packing, op8_neighbours, op9_token_files, op10_jaccard)}
 ORACLE_SQL: dict[str, str] = {}
