@@ -27,7 +27,7 @@ GATHERED = 400_000
 #: Texts whose words are joined together.
 TEXTS = 100
 #: Distinct words whose ids a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 350_000
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -118,7 +118,7 @@ class Joined(dict):
         """Joins the words that are new, all at once."""
         if len(self) >= KEPT_WORDS:
             self.clear()
-        new = list(words.difference(self))
+        new = [w for w in words if w not in self]  # set.difference would walk through all of this table
         pieces = self.pieces
         for word, found in zip(new, self.table.look_up(new), strict=True):
             ids = found.tolist()

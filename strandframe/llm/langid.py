@@ -24,6 +24,8 @@ ORDER = 5
 SAMPLE, CALIBRATE = 1500, 5
 #: Bits a character beyond the dearest calibration text, and the spread of a calibrated text's score.
 MARGIN, SHARPNESS = 1.0, 6.0
+#: Bits by which a whole text must lie beyond its language's bound to be rejected: a few odd letters are no evidence.
+EVIDENCE = 24.0
 #: n-grams of the two longest orders that occur once are left out; their mass goes to the shorter context.
 LEAST = 2
 START = 1
@@ -220,7 +222,7 @@ def identify(docs: DataFrame, models: list[Model], made: tuple[str, str, str] =
                     e = entropies(costs, texts[first:last])
                     best = e.argmin(1)
                     lowest = e[np.arange(len(e)), best]
-                    lang[first:last], rejected[first:last] = langs[best], lowest > bounds[best]
+                    lang[first:last], rejected[first:last] = langs[best], (lowest - bounds[best]) * [len(t or "") for t in texts[first:last]] > EVIDENCE
                     score[first:last] = 1 / np.exp2(-SHARPNESS * np.minimum(e - lowest[:, None], 100)).sum(1)
                 lang[~letters], score[~letters], rejected[~letters] = "und", 0.0, True
             yield b.assign(**dict(zip(made, (lang, score, rejected), strict=True)))

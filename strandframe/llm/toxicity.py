@@ -24,7 +24,7 @@ STEM = 4
 #: Labelled documents learned from, at most about so many (each is taken with the same chance, by a hash of its id).
 SAMPLE = 18_000
 #: Rate, its softening, L1, L2 of FTRL-proximal; passes over the sample.
-ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 6.0, 1.0, 5
+ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 6.0, 1.0, 5
 TOKEN = re.compile(r"[^\W_]+")
 KEPT_WORDS = 1_000_000
 #: The coordinate that every text has, and its weight where there are no labels.
