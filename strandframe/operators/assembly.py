@@ -32,10 +32,12 @@ def lift_over(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
 
     On the minus strand positions follow tig_stop - (pos - start + 1) one way and stop - tig_pos the other.
     """
-    ends = pairs.select("read_id", F.explode(F.array(*[F.struct(F.lit(k).alias("end"), F.col(f"chr{k}").alias("chrom"), F.col(f"pos{k}").alias("pos")) for k in (1, 2)])).alias("e")).select("read_id", "e.*")
-    moved = _to_chrom(_to_contig(ends, old), new).select("read_id", "end", "chrom", "new_pos")
-    one, two = (moved.where(F.col("end") == k).select("read_id", F.col("chrom").alias(f"chr{k}"), F.col("new_pos").alias(f"pos{k}")) for k in (1, 2))
-    return one.join(two, "read_id")
+    rows = pairs.select("read_id", "chr1", "pos1", "chr2", "pos2")
+    for k in (1, 2):  # each end on its own row as it is, so ids may repeat
+        ends = rows.withColumnsRenamed({f"chr{k}": "chrom", f"pos{k}": "pos"})
+        moved = _to_chrom(_to_contig(ends, old), new).withColumn(f"chr{k}", F.col("chrom")).withColumn(f"pos{k}", F.col("new_pos"))
+        rows = moved.select("read_id", "chr1", "pos1", "chr2", "pos2")
+    return rows
 
 
 def features_to_chrom(features: DataFrame, agp: DataFrame) -> DataFrame:

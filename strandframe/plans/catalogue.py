@@ -104,8 +104,8 @@ add("two_matrices", "MAT-23", lambda v: v("genome_pixels").where("bin1 <= bin2")
 add("log_matrix", "MAT-18", lambda v: C.counted_both_ways(v("genome_pixels").where("n > 0"), "bin1", "bin2").select("x", "y", F.round(F.log2(F.col("n").cast("double")), 6).alias("score")),
     "SELECT x, y, round(log2(cast(count(*) AS double)), 6) AS score FROM (SELECT bin1 AS x, bin2 AS y FROM {genome_pixels} UNION ALL SELECT bin2, bin1 FROM {genome_pixels}) t GROUP BY 1, 2")
 add("expected_by_log_bins", "MAT-10", lambda v: rounded(C.expected_by_log_bins(v("pixels"), 100), "mean"))
-add("balanced_matrix", "MAT-11 MAT-12", lambda v: rounded(C.balanced(v("genome_pixels"), rounds=8), "balanced"))
-add("balanced_off_diagonal", "MAT-13", lambda v: rounded(C.balanced(v("genome_pixels").where("n > 0"), rounds=4, drop=1), "balanced"))
+add("balanced_matrix", "MAT-11 MAT-12", lambda v: rounded(C.balanced(v("genome_pixels"), rounds=4), "balanced"))
+add("balanced_off_diagonal", "MAT-13", lambda v: rounded(C.balanced(v("genome_pixels").where("n > 0"), rounds=3, drop=1), "balanced"))
 add("compartment_strength", "MAT-16", lambda v: rounded(C.strength(C.observed_over_expected(v("pixels").where("chrom = 'Chr1'")), v("bg1").where("chrom = 'Chr1'").select((F.col("start") / 20000).cast("long").alias("bin"), F.col("score").alias("pc1")).groupBy("bin").agg(F.min("pc1").alias("pc1"))), "mean"))
 add("group_row_medians", "MAT-19 MAT-20", lambda v: rounded(C.pair_medians(C.symmetric(v("genome_pixels")), v("genome_pixels").select(F.explode(F.array("bin1", "bin2")).alias("bin")).distinct().withColumn("grp", F.floor(F.col("bin") / 50).cast("long"))), "median", "mean"),
     """WITH s AS (SELECT bin1, bin2, n FROM {genome_pixels} UNION ALL SELECT bin2, bin1, n FROM {genome_pixels} WHERE bin1 <> bin2), b AS (SELECT DISTINCT bin1 AS bin, cast(floor(bin1/50) AS bigint) AS grp FROM s),

@@ -148,4 +148,6 @@ def oracle(sql: str) -> str:
     ctes = ", ".join(f"{n} AS ({plain(VIEWS[n]).strip()})" for n in order)
     if not ctes:
         return rest
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {rest[15:]}"
     return f"WITH {ctes}, {rest[5:]}" if rest.upper().startswith("WITH ") else f"WITH {ctes} {rest}"
