@@ -26,30 +26,37 @@ from .common import shared_path
 
 MAGIC = b"RPG1"
 SYMBOLS = 1 << 16
+#: Odd multipliers that deal pairs to buckets, in turn.
+MULTIPLY = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 #: Ids in a block, at least (unless it is a shard's last); rounds of replacement; a pair's least count; new symbols a round.
-BLOCK_IDS, ROUNDS, LEAST, RULES = 1 << 20, 5, 8, 4096
+BLOCK_IDS, ROUNDS, LEAST, RULES = 1 << 20, 3, 8, 4096
 BLOCK = "shard int, block int, start long, doc_ids array<long>, lengths array<int>, grammar binary"
 
 
 def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST, most: int = RULES) -> tuple[np.ndarray, np.ndarray]:
     """(rules, sequence): symbol first + k stands for the pair rules[k]. Ids are below first."""
     seq, rules = np.ascontiguousarray(ids, np.uint16), []
-    for _ in range(rounds):
-        room = min(most, SYMBOLS - first - sum(map(len, rules)))
+    for r in range(rounds):
+        made = sum(map(len, rules))
+        room = min(most, SYMBOLS - first - made)
         if room <= 0 or len(seq) < 2:
             break
         pairs = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
-        bucket = pairs * np.uint32(2654435761) >> np.uint32(12)
-        at = np.flatnonzero((np.bincount(bucket, minlength=1 << 20) >= least)[bucket])  # a pair is no more frequent than its bucket
-        found, where, n = np.unique(pairs[at], return_inverse=True, return_counts=True)
-        chosen = np.argsort(-n, kind="stable")[:room]
-        chosen = np.sort(chosen[n[chosen] >= least])
+        bucket = pairs * MULTIPLY[r % len(MULTIPLY)] >> np.uint32(12)
+        # One pair of each bucket is counted; a frequent one that another hides has its turn when the next round's hash parts them.
+        pair_of = np.zeros(1 << 20, np.uint32)
+        pair_of[bucket] = pairs
+        own = pair_of[bucket] == pairs
+        n = np.bincount(bucket[own], minlength=1 << 20)
+        chosen = np.flatnonzero(n >= least)
         if not len(chosen):
             break
-        symbol = np.zeros(len(found), np.int64)
-        symbol[chosen] = first + sum(map(len, rules)) + np.arange(len(chosen))
-        use = symbol[where] > 0
-        at, new = at[use], symbol[where[use]]
+        chosen = np.sort(chosen[np.argsort(-n[chosen], kind="stable")[:room]])
+        symbol = np.zeros(1 << 20, np.uint16)
+        symbol[chosen] = first + made + np.arange(len(chosen))
+        new = symbol[bucket]
+        at = np.flatnonzero(own & (new > 0))
+        new, pair = new[at], pair_of[chosen]
         # Pairs that overlap in a chain of neighbours: every other one from the left.
         starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         run = np.repeat(at[starts], np.diff(np.append(starts, len(at))))
@@ -60,7 +67,7 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEA
         seq = seq.copy()
         seq[at] = new
         seq = seq[keep]
-        rules.append(np.column_stack((found[chosen] >> np.uint32(16), found[chosen] & np.uint32(0xFFFF))).astype(np.uint16))
+        rules.append(np.column_stack((pair >> np.uint32(16), pair & np.uint32(0xFFFF))).astype(np.uint16))
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), seq
 
 
