@@ -8,9 +8,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
+from .common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Letters, numbers and white space up to U+017F, where one expression of the standard library splits as the tokenizers do.
@@ -18,12 +21,20 @@ LETTER, NUMBER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾", "\t-\r
 #: Texts with other characters are split by the tokenizer itself; U+0130 becomes two characters in lower case.
 FOREIGN = re.compile("[^\x00-įı-ſ]")
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-BYTE_WORDS = re.compile(f"{ENDINGS}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-LOWER_WORDS = re.compile(f"{ENDINGS}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
+# Letters and numbers first: no ending begins with one, so the order of these is free.
+BYTE_WORDS = re.compile(f" ?[{LETTER}]+| ?[{NUMBER}]+|{ENDINGS}| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+LOWER_WORDS = re.compile(f"[{LETTER}]+|[{NUMBER}]|{ENDINGS}|[^{SPACE}{LETTER}{NUMBER}]+")
 #: Distinct words that a worker keeps; as many as were kept before them are still looked up, and kept again when they recur.
 KEPT_WORDS = 600_000
 
-_loaded: dict[int, Words] = {}
+
+def is_foreign(text: str) -> bool:
+    """Whether a text has a character that only its tokenizer splits right."""
+    try:
+        text.encode("latin-1")  # most texts, fast
+    except UnicodeEncodeError:
+        return FOREIGN.search(text) is not None
+    return False
 
 
 def read_vocabulary(path: str) -> str:
@@ -34,10 +45,7 @@ def read_vocabulary(path: str) -> str:
 
 def loaded(vocabulary: str) -> Words:
     """The worker's Words for a vocabulary, made once."""
-    key = hash(vocabulary)
-    if key not in _loaded:
-        _loaded[key] = Words(vocabulary)
-    return _loaded[key]
+    return held(("bpe", hash(vocabulary)), lambda: Words(vocabulary))
 
 
 class Words(dict):
@@ -60,20 +68,45 @@ class Words(dict):
         self.specials = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")")
         self.words = LOWER_WORDS if self.lower else BYTE_WORDS
         assert self.tokenizer.get_vocab_size() <= 1 << 16
+        suffix = conf["model"].get("end_of_word_suffix")
+        #: Whether an id ends a word, where the vocabulary tells.
+        self.ends = None
+        if self.lower and suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[k for w, k in conf["model"]["vocab"].items() if w.endswith(suffix)]] = True
+        self.by_ranks = None if self.lower else _by_ranks(vocabulary, conf)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.before = dict(self)
-            self.clear()
+        self._make_room()
         ids = self.before.get(word)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+            plain = self.by_ranks is not None and word not in self.special
+            ids = array("H", self.by_ranks.encode_ordinary(word) if plain else self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         self[word] = ids
         return ids
 
+    def _make_room(self) -> None:
+        if len(self) >= KEPT_WORDS:
+            self.before = dict(self)
+            self.clear()
+
+    def _fill(self, new: list[str]) -> None:
+        """Encodes words in one go: parted by spaces, they come back parted by the ids that end words."""
+        self._make_room()
+        self.update((w, self.before[w]) for w in new if w in self.before)
+        new = [w for w in new if w not in self.before and w not in self.special]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u2")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) != len(new):
+            raise ValueError("words and ids that end words differ in number")
+        ids, a = ids.tobytes(), 0
+        for w, b in zip(new, cuts, strict=True):
+            self[w] = ids[2 * a : 2 * b]
+            a = b
+
     def split(self, text: str) -> list[str]:
         """The words of a text, special tokens among them."""
-        if FOREIGN.search(text):
+        if is_foreign(text):
             return self._split_by_tokenizer(text)
         if not any(x in text for x in self.special):
             return self.words.findall(text.lower() if self.lower else text)
@@ -94,7 +127,25 @@ class Words(dict):
 
     def encode(self, text: str | None) -> bytes:
         """A text's ids, 16 bits each; none for null."""
-        return b"".join(map(self.__getitem__, self.split(text))) if text else b""
+        if not text:
+            return b""
+        found = self.split(text)
+        if self.ends is not None and (new := [w for w in set(found) if w not in self]):
+            self._fill(new)
+        return b"".join(map(self.__getitem__, found))
+
+
+def _by_ranks(vocabulary: str, conf: dict):
+    """The same byte-level merges by the ranks of their results, where ids follow the merges in order; that is faster for single words."""
+    vocab, merges = conf["model"]["vocab"], conf["model"]["merges"]
+    joined = ("".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges)
+    if conf["model"].get("ignore_merges") or any(vocab.get(w) != 256 + k for k, w in enumerate(joined)):
+        return None
+    import tiktoken
+
+    special = {x["id"] for x in conf["added_tokens"]}
+    ranks = {p: k for k, p in enumerate(pieces(vocabulary)) if p and k not in special}
+    return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
 
 def pieces(vocabulary: str) -> list[bytes]:

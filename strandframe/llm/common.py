@@ -15,6 +15,18 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_held: dict = {}
+
+
+def held(name: object, make):
+    """What a Python worker keeps between tasks under a name. It keeps one thing at a time: workers outlive the jobs of one
+    operator, and what each would leave behind adds up."""
+    if _held.get("name") != name:
+        _held.clear()
+        _held.update(name=name, value=make())
+    return _held["value"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

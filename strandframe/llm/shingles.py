@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import held
+
 #: Distinct words whose hashes a worker keeps; beyond, it starts afresh.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -18,16 +20,13 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
 def words(text: str | None) -> list[bytes]:
     """Words of a text, A-Z in lower case: runs of anything but space and U+0009 to U+000D."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 def word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(held("shingles", _Hashes).__getitem__, found), np.uint64, len(found))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:

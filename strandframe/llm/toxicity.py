@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, held
 
 BITS = 22
 STEM = 4
@@ -26,20 +26,16 @@ SAMPLE = 18_000
 #: Rate, its softening, L1, L2 of FTRL-proximal; passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 6.0, 1.0, 5
 TOKEN = re.compile(r"[^\W_]+")
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 #: The coordinate that every text has, and its weight where there are no labels.
 BIAS, UNLEARNED = 0, -1.0
 
-_words: dict[str, int] = {}
-
-
-def _hash(word: str) -> int:
-    h = _words.get(word)
-    if h is None:
-        if len(_words) >= KEPT_WORDS:
-            _words.clear()
-        h = _words[word] = xxhash.xxh64_intdigest(word) >> 1
-    return h
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word) >> 1
+        return h
 
 
 def features(text: str | None) -> np.ndarray:
@@ -47,8 +43,9 @@ def features(text: str | None) -> np.ndarray:
     if not text:
         return np.zeros(1, np.uint32)
     words = TOKEN.findall(text.lower())
-    h = np.array([_hash(w) for w in words], np.uint64)
-    stems = np.array([_hash(w[:STEM]) for w in words], np.uint64)
+    hashes = held("toxicity", _Hashes)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    stems = np.fromiter((hashes[w[:STEM]] for w in words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         parts = [h * np.uint64(0x9E3779B97F4A7C15), stems * np.uint64(0xD6E8FEB86659FD93)]
         if len(h) > 1:
