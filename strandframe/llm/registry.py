@@ -53,4 +53,17 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_bpe, op4_language, op5_pii, op6_lm, op7_packing, op8_neighbours, op9_token_files, op10_jaccard)}
-ORACLE_SQL: dict[str, str] = {}
+#: The classifiers, tokenizers, packing and sketches have no SQL, nor has the nearest neighbours' last bit; they are tested against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op10_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        r AS (SELECT doc_id AS x, doc_id AS c FROM s UNION SELECT l.x, r.c FROM links l JOIN r ON r.x = l.y)
+        SELECT s.doc_id, cast(len(s.sh) AS bigint) AS n_shingles, min(r.c) AS component_id FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.sh)""",
+}
