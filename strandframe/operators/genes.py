@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +136,37 @@ def reciprocal_best(hits: DataFrame) -> DataFrame:
     best = hits.where("qseqid <> sseqid").groupBy("qseqid", "sseqid").agg(F.max("bitscore").alias("bitscore"), F.max("identity").alias("identity")).withColumn("r", F.row_number().over(w)).where("r = 1")
     a, b = best.select(F.col("qseqid").alias("x"), F.col("sseqid").alias("y")), best.select(F.col("sseqid").alias("x"), F.col("qseqid").alias("y"))
     return a.join(b, ["x", "y"]).where("x < y")
+
+
+def with_anchored_dups(alleles: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Genes that no allele has, as further genes of the alleles whose genes they are anchored to: (allele_id, gene)."""
+    known = alleles.select("gene").distinct()
+    both = anchors.select(F.col("gene1").alias("x"), F.col("gene2").alias("gene")).unionByName(anchors.select(F.col("gene2").alias("x"), F.col("gene1").alias("gene")))
+    new = both.join(known, "gene", "left_anti")
+    return new.join(alleles.select(F.col("gene").alias("x"), "allele_id"), "x").select("allele_id", "gene").distinct()
+
+
+def fold_shared(alleles: DataFrame) -> DataFrame:
+    """Alleles (chrom, allele_id, gene) after those that share a gene are folded together: on each chromosome the alleles come by
+    number of genes, most first, then by id; one that shares a gene with a kept one gives it its genes. (chrom, allele_id, gene)
+
+    The result depends on that order, so each chromosome is folded in one task.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = rows.groupby("allele_id")["gene"].agg(set)
+        kept: dict[str, set[str]] = {}
+        owner: dict[str, str] = {}
+        for allele in sorted(sets.index, key=lambda k: (-len(sets[k]), k)):
+            into = min((owner[g] for g in sets[allele] if g in owner), default=allele)
+            kept.setdefault(into, set()).update(sets[allele])
+            owner.update((g, into) for g in sets[allele] if g not in owner)
+        out = sorted((a, g) for a, genes in kept.items() for g in genes)
+        return pd.DataFrame({"chrom": rows["chrom"].iloc[0], "allele_id": [a for a, _ in out], "gene": [g for _, g in out]})
+
+    return alleles.select("chrom", "allele_id", "gene").groupBy("chrom").applyInPandas(fold, "chrom string, allele_id string, gene string")
+
+
+def repeat_group(name):
+    """Class I for LTR, LINE and SINE, class II for DNA and RC, other for the rest."""
+    return F.when(name.rlike("LTR|LINE|SINE"), "I").when(name.rlike("DNA|RC"), "II").otherwise("other")

@@ -287,3 +287,9 @@ add("split_fasta", "SNK-13 SNK-05", lambda v: v("contigs").withColumn("before",
 add("excluded_contigs", "FLT-06 FLT-11", lambda v: v("contigs").where(~F.col("id").rlike("ctg1|ctg2")).select("id"), "SELECT id FROM {contigs} WHERE NOT regexp_matches(id, 'ctg1|ctg2')")
 add("repeat_numbers", "FLT-13 WIN-02", lambda v: (lambda W: v("anchors").withColumn("new", (F.col("block") != F.lag("block", 1, "").over(W)).cast("int")).where("new = 1").select("line_no", "block"))(Window.partitionBy(F.floor(F.col("line_no") / 1000)).orderBy("line_no")),
     "SELECT line_no, block FROM (SELECT line_no, block, lag(block, 1, '') OVER (PARTITION BY floor(line_no/1000) ORDER BY line_no) AS p FROM {anchors}) x WHERE block <> p")
+add("repeat_groups", "FLT-14 SRC-18", lambda v: v("contigs").select("id", G.repeat_group(F.when(F.col("grp") == "g1", "LTR/Copia").when(F.col("grp") == "g2", "LINE").when(F.col("grp") == "g3", "DNA/hAT").when(F.col("grp") == "g4", "RC/Helitron").otherwise("Unknown")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT CASE WHEN grp IN ('g1', 'g2') THEN 'I' WHEN grp IN ('g3', 'g4') THEN 'II' ELSE 'other' END AS kind, count(*) AS n FROM {contigs} GROUP BY 1")
+add("anchored_duplicates", "ALL-09", lambda v: G.with_anchored_dups(v("alleles").where("slot <> 'D'"), v("anchors")),
+    "WITH k AS (SELECT gene, allele_id FROM {alleles} WHERE slot <> 'D'), b AS (SELECT gene1 AS x, gene2 AS gene FROM {anchors} UNION ALL SELECT gene2, gene1 FROM {anchors}) SELECT DISTINCT k.allele_id, b.gene FROM b JOIN k ON k.gene = b.x WHERE b.gene NOT IN (SELECT gene FROM k)")
+add("folded_alleles", "ALL-08", lambda v: G.fold_shared(v("anchors").select(F.concat(F.lit("al"), "block").alias("allele_id"), F.explode(F.array("gene1", "gene2")).alias("gene")).distinct().withColumn("chrom", F.lit("Chr1"))))
+add("alleles_from_pairs", "ALL-05 ALL-04", lambda v: G.fold_shared(v("anchors").join(v("genes").select(F.col("gene").alias("gene1"), "chrom"), "gene1").select("chrom", F.concat("gene1", F.lit("+"), "gene2").alias("allele_id"), F.explode(F.array("gene1", "gene2")).alias("gene"))))

@@ -99,3 +99,11 @@ def test_streams_count_as_batches_do(spark, sf, tmp_path):
     q = streaming.to_memory(streaming.pixel_counts(spark.readStream.schema("chr1 string, pos1 long, chr2 string, pos2 long").parquet(str(tmp_path / "p")), 10), "pixel_counts")
     q.awaitTermination()
     assert [tuple(r) for r in spark.table("pixel_counts").collect()] == [("c", 0, 2, 2)]
+
+
+def test_alleles_that_share_genes_are_folded(spark):
+    from strandframe.operators import genes
+
+    d = spark.createDataFrame([("c", "a", "g1"), ("c", "a", "g2"), ("c", "b", "g2"), ("c", "b", "g3"), ("c", "b", "g4"), ("c", "d", "g9"), ("e", "z", "g1")], "chrom string, allele_id string, gene string")
+    got = {tuple(r) for r in genes.fold_shared(d).collect()}
+    assert got == {("c", "b", "g1"), ("c", "b", "g2"), ("c", "b", "g3"), ("c", "b", "g4"), ("c", "d", "g9"), ("e", "z", "g1")}
