@@ -22,11 +22,28 @@ def held(name: object, make):
     """What a Python worker keeps between tasks under a name. It keeps one thing at a time: workers outlive the jobs of one
     operator, and what each would leave behind adds up."""
     if _held.get("name") != name:
-        _held.clear()
+        if _held:
+            _held.clear()
+            _give_back()
         _held.update(name=name, value=make())
     return _held["value"]
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, as far as its allocators can."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
