@@ -25,7 +25,7 @@ ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_WORDS = re.compile(f" ?[{LETTER}]+| ?[{NUMBER}]+|{ENDINGS}| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 LOWER_WORDS = re.compile(f"[{LETTER}]+|[{NUMBER}]|{ENDINGS}|[^{SPACE}{LETTER}{NUMBER}]+")
 #: Distinct words that a worker keeps; as many as were kept before them are still looked up, and kept again when they recur.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 
 
 def is_foreign(text: str) -> bool:
@@ -43,9 +43,11 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def loaded(vocabulary: str) -> Words:
+def loaded(vocabulary: str, kept: int = KEPT_WORDS) -> Words:
     """The worker's Words for a vocabulary, made once."""
-    return held(("bpe", hash(vocabulary)), lambda: Words(vocabulary))
+    words = held(("bpe", hash(vocabulary)), lambda: Words(vocabulary))
+    words.kept = kept
+    return words
 
 
 class Words(dict):
@@ -57,6 +59,9 @@ class Words(dict):
     def __init__(self, vocabulary: str):
         super().__init__()
         self.before: dict[str, bytes] = {}
+        self.kept = KEPT_WORDS
+        #: The same where new words are encoded in bulk: a plain dict, which sets are compared with at once.
+        self.table: dict[str, bytes] = {}
         from tokenizers import Tokenizer
 
         conf = json.loads(vocabulary)
@@ -86,22 +91,24 @@ class Words(dict):
         return ids
 
     def _make_room(self) -> None:
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= self.kept:
             self.before = dict(self)
             self.clear()
 
-    def _fill(self, new: list[str]) -> None:
+    def _fill(self, new: set[str]) -> None:
         """Encodes words in one go: parted by spaces, they come back parted by the ids that end words."""
-        self._make_room()
-        self.update((w, self.before[w]) for w in new if w in self.before)
-        new = [w for w in new if w not in self.before and w not in self.special]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u2")
+        before, table = self.before, self.table
+        table.update((w, before[w]) for w in new if w in before)
+        for w in new.intersection(self.special):
+            table[w] = array("H", [self.tokenizer.token_to_id(w)]).tobytes()
+        rest = [w for w in new if w not in table]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(rest)], add_special_tokens=False)[0].ids, "<u2")
         cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(cuts) != len(new):
+        if len(cuts) != len(rest):
             raise ValueError("words and ids that end words differ in number")
         ids, a = ids.tobytes(), 0
-        for w, b in zip(new, cuts, strict=True):
-            self[w] = ids[2 * a : 2 * b]
+        for w, b in zip(rest, cuts, strict=True):
+            table[w] = ids[2 * a : 2 * b]
             a = b
 
     def split(self, text: str) -> list[str]:
@@ -130,9 +137,13 @@ class Words(dict):
         if not text:
             return b""
         found = self.split(text)
-        if self.ends is not None and (new := [w for w in set(found) if w not in self]):
+        if self.ends is None:
+            return b"".join(map(self.__getitem__, found))
+        if len(self.table) >= self.kept:
+            self.before, self.table = self.table, {}
+        if new := set(found).difference(self.table):
             self._fill(new)
-        return b"".join(map(self.__getitem__, found))
+        return b"".join(map(self.table.__getitem__, found))
 
 
 def _by_ranks(vocabulary: str, conf: dict):

@@ -30,6 +30,8 @@ SYMBOLS = 1 << 16
 MULTIPLY = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 #: Ids in a block, at least (unless it is a shard's last); rounds of replacement; a pair's least count; new symbols a round.
 BLOCK_IDS, ROUNDS, LEAST, RULES = 1 << 20, 3, 8, 4096
+#: Distinct words that a worker keeps encoded.
+KEPT_WORDS = 600_000
 BLOCK = "shard int, block int, start long, doc_ids array<long>, lengths array<int>, grammar binary"
 
 
@@ -126,7 +128,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -> None:
     end = np.array([end_id], "<u2").tobytes()
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, shard, block, start = bpe.loaded(text.value), TaskContext.get().partitionId(), 0, 0
+        words, shard, block, start = bpe.loaded(text.value, KEPT_WORDS), TaskContext.get().partitionId(), 0, 0
         first = words.tokenizer.get_vocab_size()
         doc_ids: list = []
         parts: list[bytes] = []
