@@ -362,3 +362,22 @@ def test_agrees_with_sql(spark, sf, name):
     columns = [c[0] for c in r.description]
     assert sorted(columns) == sorted(df.columns)
     assert parity.rows(df.columns, [tuple(x) for x in df.collect()]) == parity.rows(columns, r.fetchall())
+
+
+def test_lm_learns_from_all_training_documents(spark, docs):
+    ids = Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+    for n in (1_000, 3_000, 6_000, 200_000, 10_000_000):
+        seen = {r["doc_id"] for k in range(lm.ROUNDS) for r in lm._share(docs, n, k).collect()}
+        assert seen == set(ids)
+    taken = Counter(r["doc_id"] for k in range(lm.ROUNDS) for r in lm._share(docs, 10_000_000, k).collect())
+    assert taken == ids  # once each, where the corpus is large
+
+
+def test_lm_groups_ids_by_neighbours_in_all_documents(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(lm, "classes", lambda counts, sums: seen.update(counts=counts, sums=sums))
+    d = spark.createDataFrame([(k, f"alpha beta gamma {k}") for k in range(3000)], "doc_id long, text string").repartition(7)
+    vocabulary = bpe.read_vocabulary(BYTE)
+    counts = lm.id_counts(lm.word_counts(d), vocabulary)
+    lm.grouped(d, vocabulary, counts)
+    assert (seen["sums"][:, -1] == counts).all()
