@@ -381,3 +381,11 @@ def test_lm_groups_ids_by_neighbours_in_all_documents(spark, monkeypatch):
     counts = lm.id_counts(lm.word_counts(d), vocabulary)
     lm.grouped(d, vocabulary, counts)
     assert (seen["sums"][:, -1] == counts).all()
+
+
+def test_lm_base_of_rows_that_share_an_id(spark):
+    rows = [(None, "a b c d"), (None, "a zzz"), (None, None), (None, ""), (7, "a b"), (7, "a b"), (7, "q r s t u"), (8, "a b c"), (9, "d e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    vocabulary = bpe.read_vocabulary(BYTE)
+    whole, joined = (sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 4)) for r in lm.score(d, F.col("doc_id") > 7, vocabulary, limit).collect()) for limit in (lm.BROADCAST_BYTES, -1))
+    assert len(whole) == len(rows) and whole == joined
