@@ -26,53 +26,82 @@ from .common import shared_path
 
 MAGIC = b"RPG1"
 SYMBOLS = 1 << 16
-#: Odd multipliers that deal pairs to buckets, in turn.
-MULTIPLY = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
-#: Ids in a block, at least (unless it is a shard's last); rounds of replacement; a pair's least count; new symbols a round.
-BLOCK_IDS, ROUNDS, LEAST, RULES = 1 << 20, 3, 8, 4096
+#: Odd multiplier that deals pairs to buckets.
+MULTIPLY = np.uint32(2654435761)
+#: Ids in a block, at least (unless it is a shard's last); a pair's least count; new symbols a round.
+BLOCK_IDS, LEAST, RULES = 1 << 20, 8, 4096
 #: Distinct words that a worker keeps encoded.
 KEPT_WORDS = 600_000
 BLOCK = "shard int, block int, start long, doc_ids array<long>, lengths array<int>, grammar binary"
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST, most: int = RULES) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, sequence): symbol first + k stands for the pair rules[k]. Ids are below first."""
-    seq, rules = np.ascontiguousarray(ids, np.uint16), []
-    for r in range(rounds):
-        made = sum(map(len, rules))
-        room = min(most, SYMBOLS - first - made)
-        if room <= 0 or len(seq) < 2:
-            break
+def _every_other(at: np.ndarray) -> np.ndarray:
+    """Of ascending positions, in each run of neighbours every other one from the left."""
+    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    run = np.repeat(at[starts], np.diff(np.append(starts, len(at))))
+    return (at - run) % 2 == 0
+
+
+def _counted(seq: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in ascending order and how often each can be replaced: of a run of one symbol, every other pair counts."""
+    twins = np.flatnonzero(seq[:-1] == seq[1:])
+    hidden = twins[~_every_other(twins)]
+    found = np.sort(np.delete(pairs, hidden) if len(hidden) else pairs)
+    starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    return found[starts], np.diff(np.append(starts, len(found)))
+
+
+def compress(ids: np.ndarray, first: int, least: int = LEAST, most: int = RULES) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, sequence): symbol first + k stands for the pair rules[k]. Ids are below first.
+
+    Each round counts all pairs and replaces those at least half as frequent as the most frequent one, until no pair comes
+    `least` times or the symbols are used up.
+    """
+    seq, rules, made = np.ascontiguousarray(ids, np.uint16), [], 0
+    while len(seq) > 1 and (room := min(most, SYMBOLS - first - made)) > 0:
         pairs = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
-        bucket = pairs * MULTIPLY[r % len(MULTIPLY)] >> np.uint32(12)
-        # One pair of each bucket is counted; a frequent one that another hides has its turn when the next round's hash parts them.
-        pair_of = np.zeros(1 << 20, np.uint32)
-        pair_of[bucket] = pairs
-        own = pair_of[bucket] == pairs
-        n = np.bincount(bucket[own], minlength=1 << 20)
-        chosen = np.flatnonzero(n >= least)
-        if not len(chosen):
+        distinct, n = _counted(seq, pairs)
+        top = int(n.argmax())
+        if n[top] < least:
             break
+        chosen = np.flatnonzero(n >= max(least, (int(n[top]) + 1) // 2))
         chosen = np.sort(chosen[np.argsort(-n[chosen], kind="stable")[:room]])
-        symbol = np.zeros(1 << 20, np.uint16)
-        symbol[chosen] = first + made + np.arange(len(chosen))
-        new = symbol[bucket]
-        at = np.flatnonzero(own & (new > 0))
-        new, pair = new[at], pair_of[chosen]
-        # Pairs that overlap in a chain of neighbours: every other one from the left.
-        starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        run = np.repeat(at[starts], np.diff(np.append(starts, len(at))))
-        even = (at - run) % 2 == 0
-        at, new = at[even], new[even]
+        at, rule = _places(pairs, distinct[chosen])
+        # Neighbouring places overlap; pairs that lose too many of theirs to others wait for a later round.
+        even = _every_other(at)
+        at, rule = at[even], rule[even]
+        used = np.bincount(rule, minlength=len(chosen))
+        kept = np.flatnonzero(used >= least)
+        if not len(kept):  # the most frequent pair alone
+            chosen, kept = np.array([top]), np.array([0])
+            at, rule = _places(pairs, distinct[chosen])
+            even = _every_other(at)
+            at, rule = at[even], rule[even]
+        symbol = np.zeros(len(chosen), np.uint16)
+        symbol[kept] = first + made + np.arange(len(kept))
+        new = symbol[rule]
+        at, new = at[new > 0], new[new > 0]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq.copy()
         seq[at] = new
         seq = seq[keep]
+        pair = distinct[chosen[kept]]
         rules.append(np.column_stack((pair >> np.uint32(16), pair & np.uint32(0xFFFF))).astype(np.uint16))
+        made += len(kept)
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), seq
 
 
+def _places(pairs: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where any of the chosen pairs (ascending) stands, and which of them it is. Buckets rule most places out first."""
+    bucket = np.zeros(1 << 16, bool)
+    bucket[chosen * MULTIPLY >> np.uint32(16)] = True
+    at = np.flatnonzero(bucket[pairs * MULTIPLY >> np.uint32(16)])
+    k = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
+    same = chosen[k] == pairs[at]
+    return at[same], k[same]
+
+
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """Ids that each rule's symbol stands for; a rule's parts come before it."""
     out = [1] * len(rules)

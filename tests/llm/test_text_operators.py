@@ -389,3 +389,23 @@ def test_lm_base_of_rows_that_share_an_id(spark):
     vocabulary = bpe.read_vocabulary(BYTE)
     whole, joined = (sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 4)) for r in lm.score(d, F.col("doc_id") > 7, vocabulary, limit).collect()) for limit in (lm.BROADCAST_BYTES, -1))
     assert len(whole) == len(rows) and whole == joined
+
+
+def test_grammars_replace_every_frequent_pair():
+    g = np.random.default_rng(5)
+    passage = g.permutation(64).astype(np.uint16)
+    ids = np.concatenate([np.append(passage, np.uint16(100 + k)) for k in range(400)])
+    rules, seq = repair.compress(ids, 1000)
+    assert len(seq) <= 2 * 400 + 8 and (repair.expand(seq, rules, 1000) == ids).all()  # a passage is one symbol
+    for ids in (np.zeros(1000, np.uint16), g.zipf(1.3, 60_000).clip(0, 20_000).astype(np.uint16), np.tile(np.array([1, 1, 1, 2], np.uint16), 300)):
+        rules, seq = repair.compress(ids, 30_000)
+        assert (repair.expand(seq, rules, 30_000) == ids).all() and len(rules) < repair.SYMBOLS - 30_000
+        n: Counter = Counter()
+        last = None
+        for k, pair in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)):
+            if pair == last and pair[0] == pair[1] and k == at + 1:  # overlaps the one before
+                last = None
+                continue
+            n[pair] += 1
+            last, at = pair, k
+        assert max(n.values(), default=0) < repair.LEAST
