@@ -22,7 +22,9 @@ from .common import fold
 ORDER = 5
 #: Documents of each language learned from, about (each is taken with the same chance, by a hash of its id); the share of them kept for calibration.
 SAMPLE, CALIBRATE = 1500, 5
-#: Bits a character beyond the dearest calibration text, and the spread of a calibrated text's score.
+#: Share of the calibration texts' characters that lie in texts within the bound, before the margin.
+QUANTILE = 0.99
+#: Bits a character beyond that quantile, and the spread of a calibrated text's score.
 MARGIN, SHARPNESS = 1.0, 6.0
 #: Bits by which a whole text must lie beyond its language's bound to be rejected: a few odd letters are no evidence.
 EVIDENCE = 24.0
@@ -161,6 +163,14 @@ def entropies(costs: Costs, texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def bound_of(m: Model, texts: list[str]) -> float:
+    """The rejection bound from texts that the model did not see; long texts weigh more, so that a few odd short ones do not set it."""
+    e, weight = entropies(Costs([m]), texts)[:, 0], np.array([len(t) for t in texts], float)
+    order = np.argsort(e, kind="stable")
+    share = np.cumsum(weight[order]) / weight.sum()
+    return float(e[order][np.searchsorted(share, QUANTILE)]) + MARGIN
+
+
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> list[Model]:
     """A model of each language, from whole texts of documents with a language for which learn holds.
 
@@ -177,7 +187,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> list[Model]:
         held = np.arange(len(texts)) % CALIBRATE == CALIBRATE - 1
         m = train(texts["lang"].iloc[0], texts["text"][~held].tolist())
         kept = [t for t in texts["text"][held] if t] or [t for t in texts["text"] if t]
-        bound = float(np.max(entropies(Costs([m]), kept))) + MARGIN if kept else float("inf")
+        bound = bound_of(m, kept) if kept else float("inf")
         row = {"lang": m.lang, "alphabet": m.alphabet, "bound": bound}
         for name, pairs in (("grams", m.grams), ("contexts", m.contexts)):
             row[f"{name}_hash"], row[name] = [a.tobytes() for a, _ in pairs], [b.tobytes() for _, b in pairs]

@@ -409,3 +409,17 @@ def test_grammars_replace_every_frequent_pair():
             n[pair] += 1
             last, at = pair, k
         assert max(n.values(), default=0) < repair.LEAST
+
+
+def test_language_rejects_what_it_did_not_learn(spark, sf):
+    g = random.Random(4)
+    big = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(10_000_000 + k, "".join(chr(0x4E00 + g.randrange(20_000)) for _ in range(60)), "en") for k in range(8)]
+    models = langid.fit(big.union(spark.createDataFrame(odd, big.schema)), F.lit(True))
+    letters = "qxzjkvwpyfgbmdh"
+    planted = [(k, " ".join("".join(g.choice(letters) for _ in range(g.randint(3, 9))) for _ in range(150)), "gibberish") for k in range(20)]
+    planted += [(100 + k, " ".join(g.choice("niin kuin myös yhdessä työtä kyllä hyvää päivää että järjestelmä pöytäkirja äidinkieli".split()) for _ in range(150)), "fi") for k in range(20)]
+    r = langid.identify(spark.createDataFrame(planted, big.schema), models).toPandas()
+    assert r.rejected.all(), r.groupby("lang").rejected.mean()
+    kept = langid.identify(big, models).agg(F.avg((~F.col("rejected")).cast("int"))).first()[0]
+    assert kept > 0.97, kept
