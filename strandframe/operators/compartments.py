@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import compartment, is_conserved, switch_type
+from .intervals import overlap_join, points_in
 
 
 def lengths(bg: DataFrame, zero_as: str = "A") -> DataFrame:
@@ -62,3 +63,37 @@ def sign_flips(pairs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Bins that go from A to B, and from B to A, by at least `least`."""
     far = pairs.where(F.abs(F.col("v1") - F.col("v2")) >= least)
     return far.where("v1 > 0 and v2 < 0"), far.where("v1 < 0 and v2 > 0")
+
+
+def gene_pairs(anchors: DataFrame, genes1: DataFrame, bg1: DataFrame, genes2: DataFrame, bg2: DataFrame, fraction: float = 0.51) -> DataFrame:
+    """Anchors (line_no, gene1, gene2) with the value of the bin that holds most of each gene; those of which either is missing go."""
+    value = lambda genes, bg, k: overlap_join(genes.select("chrom", "start", "stop", "gene"), bg.select("chrom", "start", "stop", "score"), fraction_a=fraction).select(F.col("gene").alias(f"gene{k}"), F.col("b_score").alias(f"v{k}"))
+    return anchors.select("line_no", "gene1", "gene2").join(value(genes1, bg1, 1), "gene1").join(value(genes2, bg2, 2), "gene2")
+
+
+def beside(first: DataFrame, second: DataFrame, order: list[str]) -> DataFrame:
+    """Rows of two tables side by side by position, in an order that must be total; the second's columns end in 2.
+
+    Rows are numbered along ranges of the order, so no task sorts all of them; what one table has beyond the other goes.
+    """
+    return positioned(first, order).join(positioned(second.select(*[F.col(c).alias(f"{c}2") for c in second.columns]), [f"{c}2" for c in order]), "place")
+
+
+def positioned(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with ``place``, their number from 0 in an order. Groups of the first column are counted first, one row a value."""
+    w = Window.partitionBy(order[0]).orderBy(*order)
+    n = rows.groupBy(order[0]).agg(F.count(F.lit(1)).alias("__n"))
+    before = n.select(order[0], F.coalesce(F.sum("__n").over(Window.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return rows.withColumn("__k", F.row_number().over(w) - 1).join(before, order[0]).withColumn("place", F.col("__before") + F.col("__k")).drop("__before", "__k")
+
+
+def flips_of_links(links: DataFrame, bg1: DataFrame, bg2: DataFrame, least: float = 0.005) -> DataFrame:
+    """Links (chrom1, start1, stop1, chrom2, start2, stop2, ...) whose midpoints lie in bins of opposite signs that differ by at
+    least `least`, with ``way``: a2b where the first is above zero. Links of which a midpoint is in no bin go."""
+    rows = links
+    for k, bg in ((1, bg1), (2, bg2)):
+        middle = F.floor((F.col(f"stop{k}") - F.col(f"start{k}")) / 2) + F.col(f"start{k}")
+        at = rows.withColumn("chrom", F.col(f"chrom{k}")).withColumn("pos", middle)
+        rows = points_in(at, bg.select("chrom", "start", "stop", "score"), closed=False).withColumnRenamed("b_score", f"v{k}").drop("chrom", "pos", "b_chrom", "b_start", "b_stop")
+    rows = rows.where((F.col("v1") * F.col("v2") < 0) & (F.abs(F.col("v1") - F.col("v2")) >= least))
+    return rows.withColumn("way", F.when(F.col("v1") > F.col("v2"), "a2b").otherwise("b2a"))

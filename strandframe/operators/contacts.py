@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
+#: Bins up to which their biases may be broadcast, 16 bytes each.
+BROADCAST_BINS = 1_000_000
+
 
 def cis(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("chr1") == F.col("chr2"))
@@ -71,14 +79,28 @@ def drop_diagonals(p: DataFrame, most: int) -> DataFrame:
     return p.where(F.abs(F.col("bin2") - F.col("bin1")) > most)
 
 
-def expected(p: DataFrame, by: str = "chrom") -> DataFrame:
-    """Mean count by distance over pairs of bins that have any contact: (by, d, pairs, expected).
+def pairs_by_distance(valid: DataFrame, by: str) -> DataFrame:
+    """(by, d, pairs): how many pairs of a group's bins lie at each distance, from the mask of bins convolved with itself.
 
-    The number of pairs at each distance comes from distances between bins that have contacts, one row each of those.
+    A group is a chromosome, whose mask is as long as its bins are many; pairs are counted, never listed.
     """
-    valid = bin_sums(p, [by]).where("total > 0").select(by, "bin")
-    w = valid.alias("a").join(valid.alias("b"), (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.bin") <= F.col("b.bin")))
-    at = w.groupBy(F.col(f"a.{by}").alias(by), (F.col("b.bin") - F.col("a.bin")).alias("d")).agg(F.count(F.lit(1)).alias("pairs"))
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        at = rows["bin"].to_numpy(np.int64)
+        mask = np.zeros(int(at.max() - at.min()) + 1)
+        mask[at - at.min()] = 1
+        f = np.fft.rfft(mask, 1 << (2 * len(mask)).bit_length())
+        n = np.rint(np.fft.irfft(f * f.conj())[: len(mask)]).astype(np.int64)
+        d = np.flatnonzero(n)
+        return pd.DataFrame({by: rows[by].iloc[0], "d": d, "pairs": n[d]})
+
+    kind = valid.schema[by].dataType.simpleString()
+    return valid.groupBy(by).applyInPandas(count, f"{by} {kind}, d long, pairs long")
+
+
+def expected(p: DataFrame, by: str = "chrom") -> DataFrame:
+    """Mean count by distance over pairs of bins that have any contact: (by, d, pairs, expected)."""
+    at = pairs_by_distance(bin_sums(p, [by]).where("total > 0").select(by, "bin"), by)
     total = p.groupBy(by, (F.col("bin2") - F.col("bin1")).alias("d")).agg(F.sum("n").alias("total"))
     return at.join(total, [by, "d"], "left").select(by, "d", "pairs", (F.coalesce("total", F.lit(0)).cast("double") / F.col("pairs")).alias("expected"))
 
@@ -140,67 +162,112 @@ def chromosome_shares(pairs: DataFrame) -> DataFrame:
     return n.withColumn("ratio", F.when(F.col("trans") > 0, F.col("cis").cast("double") / F.col("trans")))
 
 
-def log_bins(longest: int, ratio: float = 1.03) -> list[int]:
-    """Distinct break points from 1 on, each at least `ratio` times the last."""
-    out, x = [1], 1.0
-    while out[-1] < longest:
-        x *= ratio
-        if round(x) > out[-1]:
-            out.append(round(x))
-    return out
+def log_bins(bins: int, ratio: float = 1.03) -> list[tuple[int, int]]:
+    """Ranges [low, high) of distances below `bins`: 0 alone, then between points that are evenly spaced on a logarithmic scale."""
+    points = np.unique(np.rint(np.logspace(0, np.log10(bins), max(2, int(np.log(bins) / np.log(ratio))))).astype(int)) if bins > 1 else np.array([1])
+    return [(0, 1), *zip(points[:-1].tolist(), points[1:].tolist(), strict=True)]
 
 
-def expected_by_log_bins(p: DataFrame, longest: int, ratio: float = 1.03) -> DataFrame:
-    """Mean count by logarithmic distance bin: (bin, low, high, mean). The break points, a few hundred, are broadcast."""
-    edges = log_bins(longest, ratio)
-    spark = p.sparkSession
-    bins = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))], "bin long, low long, high long")
-    d = p.withColumn("d", F.col("bin2") - F.col("bin1")).where("d >= 1")
-    return d.join(F.broadcast(bins), (F.col("d") >= F.col("low")) & (F.col("d") < F.col("high"))).groupBy("bin", "low", "high").agg((F.sum("n").cast("double") / F.count(F.lit(1))).alias("mean"))
+def expected_by_log_bins(p: DataFrame, bins: int, by: str = "chrom", ratio: float = 1.03) -> DataFrame:
+    """(by, d, expected): mean over all pairs of `bins` bins, with contacts or without, in the logarithmic range of each distance.
+
+    The ranges, a few hundred, are broadcast; sums by distance meet them, not the pixels.
+    """
+    ranges = [(k, a, b, sum(bins - d for d in range(a, b))) for k, (a, b) in enumerate(log_bins(bins, ratio))]
+    edges = p.sparkSession.createDataFrame([(k, d, n) for k, a, b, n in ranges for d in range(a, b)], "part int, d long, pairs long")
+    total = p.groupBy(by, (F.col("bin2") - F.col("bin1")).alias("d")).agg(F.sum("n").alias("n"))
+    means = total.join(edges, "d").groupBy(by, "part").agg((F.sum("n").cast("double") / F.first("pairs")).alias("expected"))
+    return means.join(edges, "part").select(by, "d", "expected")
+
+
+def observed_over_log_bins(p: DataFrame, bins: int, by: str = "chrom", ratio: float = 1.03) -> DataFrame:
+    """Pixels with ``oe``, the count over the mean of its logarithmic range of distances; as it is where that mean is 0."""
+    rows = p.withColumn("d", F.col("bin2") - F.col("bin1")).join(expected_by_log_bins(p, bins, by, ratio), [by, "d"])
+    return rows.select(by, "bin1", "bin2", "n", F.when(F.col("expected") != 0, F.col("n") / F.col("expected")).otherwise(F.col("n")).alias("oe"))
 
 
 def balanced(p: DataFrame, rounds: int = 599, tolerance: float = 1e-5, damping: float = 0.8, drop: int = -1) -> DataFrame:
-    """Iterative correction of upper-triangle pixels (bin1, bin2, n double): row sums even out; ``balanced`` keeps the mean row sum.
+    """Iterative correction of upper-triangle pixels (bin1, bin2, n): in each round every bin's bias takes up `damping` of how far
+    its sum lies from the mean sum, until none lies further than `tolerance` or the rounds are over. ``balanced`` is the count
+    over both biases, rescaled by the squared mean bias. drop: diagonals up to this one count in no sum; their pixels stay.
 
-    One bias a bin is carried and checkpointed each round; the pixels, checkpointed once, are read anew.
+    A round reads the pixels, checkpointed once, in one pass; the biases, one row a bin, are broadcast where they were counted
+    to be few. Only sums over bins reach the driver.
     """
-    p = p.select("bin1", "bin2", F.col("n").cast("double").alias("n"))
-    if drop >= 0:
-        p = drop_diagonals(p, drop)
-    bias = bin_sums(p, []).select("bin", F.lit(1.0).alias("bias"))
-    spark = p.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        try:
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        except Exception:  # noqa: BLE001  no shared folder is named: one of our own, as in tests
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandframe-"))
-    p, bias = p.checkpoint(), bias.checkpoint()
-    with_bias = lambda: p.join(bias.select(F.col("bin").alias("bin1"), F.col("bias").alias("u")), "bin1").join(bias.select(F.col("bin").alias("bin2"), F.col("bias").alias("v")), "bin2").select("bin1", "bin2", "n", (F.col("n") / (F.col("u") * F.col("v"))).alias("x"))
-    for _ in range(rounds):
-        sums = bin_sums(with_bias().select("bin1", "bin2", F.col("x").alias("n")), [])
-        mean = sums.agg(F.avg("total")).first()[0]
+    p = checkpointed(p.select("bin1", "bin2", F.col("n").cast("double").alias("n")).where("n <> 0"))
+    bias = checkpointed(bin_sums(p, []).select("bin", F.lit(1.0).alias("bias")))
+    hint = F.broadcast if bias.count() <= BROADCAST_BINS else (lambda df: df)
+
+    def corrected(bias: DataFrame) -> DataFrame:
+        u, v = (hint(bias.select(F.col("bin").alias(f"bin{k}"), F.col("bias").alias(c))) for k, c in ((1, "u"), (2, "v")))
+        return p.join(u, "bin1").join(v, "bin2").select("bin1", "bin2", "n", (F.col("n") / (F.col("u") * F.col("v"))).alias("x"))
+
+    for k in range(rounds):
+        counted = corrected(bias).withColumn("n", F.when(F.col("bin2") - F.col("bin1") > drop, F.col("x")).otherwise(0.0))
+        sums = checkpointed(bin_sums(counted, []))
+        mean, low, high = sums.agg(F.avg("total"), F.min("total"), F.max("total")).first()
         if not mean:
             break
-        step = sums.select("bin", (F.lit(1.0) + damping * (F.col("total") / mean - 1)).alias("s"))
-        bias = bias.join(step, "bin").select("bin", (F.col("bias") * F.col("s")).alias("bias"), "s")
-        bias = bias.checkpoint()
-        worst = bias.agg(F.max(F.abs(F.col("s") - 1))).first()[0]
-        bias = bias.drop("s")
-        if worst < tolerance:
+        step = sums.select("bin", (1 + damping * (F.col("total") / mean - 1)).alias("s"))
+        bias = bias.join(hint(step), "bin").select("bin", (F.col("bias") * F.col("s")).alias("bias"))
+        bias = checkpointed(bias) if k % 3 == 2 else bias  # its sums are checkpointed, so it is cheap to work out again
+        if damping * max(high / mean - 1, 1 - low / mean) < tolerance:
             break
-    return with_bias().select("bin1", "bin2", "n", F.col("x").alias("balanced"))
+    scale = (bias.agg(F.avg("bias")).first()[0] or 1.0) ** 2
+    return corrected(bias).select("bin1", "bin2", "n", (F.col("x") * scale).alias("balanced"))
 
 
-def resolution(pairs: DataFrame, base: int, factor: int, least: int, drop_last: bool = True) -> DataFrame:
-    """Bins of factor * base bases whose reads exceed `least`, by chromosome; the last base bin of each is left out if asked."""
+def corrected_safely(p: DataFrame, bins: int, least_sum: float = 40, diagonals: int = 2, least_cells: int = 10, least_share: float = 0.1, tolerance: float = 1e-6) -> DataFrame:
+    """Iterative correction without thin bins: (bin1, bin2, balanced) of upper-triangle pixels of `bins` bins.
+
+    The first `diagonals` diagonals are left out; bins stay whose other contacts sum to more than least_sum and lie in more
+    cells than least_cells (or least_share of the bins, if that is less). After the correction the diagonals left out are
+    filled, between bins that stayed, with the median of the first diagonal kept, its empty cells counting as 0.
+    """
+    p = p.where((F.abs(F.col("bin2") - F.col("bin1")) >= diagonals) & (F.col("n") > 0))
+    sides = p.select(F.explode(F.array("bin1", "bin2")).alias("bin"), "n")
+    enough = sides.groupBy("bin").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("cells"))
+    kept = checkpointed(enough.where((F.col("total") > least_sum) & (F.col("cells") > min(bins * least_share, least_cells))).select("bin"))
+    of = lambda k: kept.select(F.col("bin").alias(f"bin{k}"))
+    x = checkpointed(balanced(p.join(of(1), "bin1", "left_semi").join(of(2), "bin2", "left_semi"), tolerance=tolerance, drop=diagonals).select("bin1", "bin2", "balanced"))
+    first = x.where(F.col("bin2") - F.col("bin1") == diagonals).select(F.col("balanced").alias("v"), F.lit(1).cast("long").alias("times"))
+    empty = first.agg((F.lit(bins - diagonals) - F.count(F.lit(1))).alias("times")).select(F.lit(0.0).alias("v"), "times")
+    median = first.unionByName(empty).where("times > 0").agg(F.percentile("v", F.lit(0.5), F.col("times")).alias("median"))
+    near = kept.select(F.col("bin").alias("bin1"), F.explode(F.sequence(F.col("bin"), F.col("bin") + diagonals - 1)).alias("bin2")).join(of(2), "bin2", "left_semi")
+    fill = near.crossJoin(F.broadcast(median)).where(F.lit(x.isEmpty()) == F.lit(False))  # one row
+    return x.unionByName(fill.select("bin1", "bin2", F.col("median").alias("balanced")))
+
+
+def balanced_both_ways(p: DataFrame, rounds: int = 50) -> DataFrame:
+    """Iterative correction of pixels (bin1, bin2, n) of a matrix that is not symmetric: each round divides by the rows' sums, then
+    by the columns', each over their mean. ``balanced`` keeps the matrix's total."""
+    x = checkpointed(p.select("bin1", "bin2", F.col("n").cast("double").alias("x")).where("x <> 0"))
+    total = x.agg(F.sum("x")).first()[0]
+    for k in range(2 * rounds):
+        side = "bin1" if k % 2 == 0 else "bin2"
+        sums = x.groupBy(side).agg(F.sum("x").alias("s"))
+        mean = sums.agg(F.avg("s").alias("mean"))
+        x = x.join(sums, side).crossJoin(F.broadcast(mean)).select("bin1", "bin2", (F.col("x") * F.col("mean") / F.col("s")).alias("x"))  # one row
+        if k % 4 == 3:
+            x = checkpointed(x)
+    left = x.agg(F.sum("x")).first()[0]
+    return x.select("bin1", "bin2", (F.col("x") * F.lit((total or 1.0) / (left or 1.0))).alias("balanced"))
+
+
+def resolutions(pairs: DataFrame, sizes: DataFrame, factors: list[int], base: int = 100, least: int = 1000) -> DataFrame:
+    """(factor, bins, covered, share): of all windows of factor * base bases, those whose ends of reads exceed `least`.
+
+    Reads are counted once, by base bins. Windows tile each chromosome (sizes: chrom, size) and one window beyond, whether
+    they have reads or not; the last base bin of each counts in none.
+    """
     ends = pairs.select(F.explode(F.array(F.struct(F.col("chr1").alias("chrom"), F.col("pos1").alias("pos")), F.struct(F.col("chr2").alias("chrom"), F.col("pos2").alias("pos")))).alias("e"))
-    small = ends.groupBy("e.chrom", F.floor(F.col("e.pos") / base).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    if drop_last:
-        small = small.where(F.col("k") % factor != factor - 1)
-    wide = small.groupBy("chrom", F.floor(F.col("k") / factor).cast("long").alias("bin")).agg(F.sum("n").alias("n"))
-    return wide.groupBy("chrom").agg(F.count(F.lit(1)).alias("bins"), F.count(F.when(F.col("n") > least, 1)).alias("covered"))
+    small = checkpointed(ends.groupBy("e.chrom", F.floor(F.col("e.pos") / base).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n")))
+    each = small.join(sizes.select("chrom"), "chrom", "left_semi").select("chrom", "k", "n", F.explode(F.array(*map(F.lit, factors))).alias("factor")).where("k % factor <> factor - 1")
+    wide = each.groupBy("factor", "chrom", F.floor(F.col("k") / F.col("factor")).alias("bin")).agg(F.sum("n").alias("n"))
+    covered = wide.groupBy("factor").agg(F.count(F.when(F.col("n") > least, 1)).alias("covered"))
+    whole = sizes.select(F.explode(F.array(*map(F.lit, factors))).alias("factor"), F.ceil((F.floor(F.col("size") / base) + F.col("factor")) / F.col("factor")).alias("bins")).groupBy("factor").agg(F.sum("bins").alias("bins"))
+    rows = whole.join(covered, "factor", "left").withColumn("covered", F.coalesce("covered", F.lit(0).cast("long")))
+    return rows.select("factor", "bins", "covered", (F.col("covered").cast("double") / F.col("bins")).alias("share"))
 
 
 def pair_medians(p: DataFrame, bins: DataFrame) -> DataFrame:
@@ -217,14 +284,44 @@ def pair_medians(p: DataFrame, bins: DataFrame) -> DataFrame:
     return n.select("grp1", "grp2", ((value(low) + value(high)) / 2).alias("median"), (F.col("total") / F.col("rows")).alias("mean"))
 
 
-def strength(oe: DataFrame, pc1: DataFrame, parts: int = 5) -> DataFrame:
-    """Mean observed/expected by quantile cells of two bins' first components: (cell1, cell2, mean, n)."""
-    cuts = [k / parts for k in range(1, parts)]
-    q = pc1.agg(F.percentile("pc1", F.array(*[F.lit(c) for c in cuts])).alias("q"))
-    cell = F.size(F.filter("q", lambda x: F.col("pc1") > x))
-    cells = pc1.crossJoin(F.broadcast(q)).select("bin", cell.alias("cell"))  # q is one row
-    c1, c2 = (cells.select(F.col("bin").alias(f"bin{k}"), F.col("cell").alias(f"cell{k}")) for k in (1, 2))
-    return oe.join(c1, "bin1").join(c2, "bin2").groupBy("cell1", "cell2").agg(F.avg("oe").alias("mean"), F.count(F.lit(1)).alias("n"))
+def _cells(pc1: DataFrame, by: str, parts: int) -> DataFrame:
+    """(by, bin, cell): the quantile range that a bin's value lies strictly within, by group; bins on a border are in none."""
+    q = pc1.groupBy(by).agg(F.percentile("pc1", F.array(*[F.lit(k / parts) for k in range(parts + 1)])).alias("q"))
+    below = F.size(F.filter("q", lambda x: x < F.col("pc1")))
+    return pc1.join(q, by).where(~F.array_contains("q", F.col("pc1"))).select(by, "bin", (below - 1).alias("cell"))
+
+
+def strength(oe: DataFrame, pc1: DataFrame, by: str = "chrom", parts: int = 5) -> DataFrame:
+    """(cell1, cell2, mean, n): mean observed/expected between the quantile ranges of bins' first components, empty cells of the
+    matrix counting as 0; means of groups (chromosomes) add up. oe: upper-triangle pixels; pc1: (by, bin, pc1), bins with contacts count.
+    """
+    both = symmetric(oe.select(by, "bin1", "bin2", "oe"))
+    cells = _cells(pc1.join(both.select(by, F.col("bin1").alias("bin")).distinct(), [by, "bin"], "left_semi"), by, parts)
+    c1, c2 = (cells.select(by, F.col("bin").alias(f"bin{k}"), F.col("cell").alias(f"cell{k}")) for k in (1, 2))
+    sums = both.join(c1, [by, "bin1"]).join(c2, [by, "bin2"]).groupBy(by, "cell1", "cell2").agg(F.sum("oe").alias("total"))
+    size = cells.groupBy(by, "cell").agg(F.count(F.lit(1)).alias("bins"))
+    s1, s2 = (size.select(by, F.col("cell").alias(f"cell{k}"), F.col("bins").alias(f"bins{k}")) for k in (1, 2))
+    every = s1.join(s2, by).join(sums, [by, "cell1", "cell2"], "left")
+    pairs = F.col("bins1") * F.col("bins2")
+    return every.groupBy("cell1", "cell2").agg(F.sum(F.coalesce("total", F.lit(0.0)) / pairs).alias("mean"), F.sum(pairs).alias("n"))
+
+
+def strength_draws(oe: DataFrame, pc1: DataFrame, draws: int = 100, seed: int = 5, by: str = "chrom", parts: int = 5) -> DataFrame:
+    """(draw, score): log(AA * BB / AB**2) of resampled corner cells. Each pixel counts, by a hash, as often as a Poisson variable
+    of mean 1 says, which is what drawing with replacement comes to; empty cells of the matrix stay 0 either way."""
+    u = F.pmod(F.xxhash64(by, "bin1", "bin2", "draw", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    mass = np.cumsum([np.exp(-1) / float(math.factorial(k)) for k in range(9)])
+    times = sum(F.when(u >= F.lit(float(m)), 1).otherwise(0) for m in mass)
+    both = symmetric(oe.select(by, "bin1", "bin2", "oe"))
+    cells = _cells(pc1.join(both.select(by, F.col("bin1").alias("bin")).distinct(), [by, "bin"], "left_semi"), by, parts).where(F.col("cell").isin(0, parts - 1))
+    c1, c2 = (cells.select(by, F.col("bin").alias(f"bin{k}"), F.col("cell").alias(f"cell{k}")) for k in (1, 2))
+    drawn = both.join(c1, [by, "bin1"]).join(c2, [by, "bin2"]).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("x", F.col("oe") * times)
+    size = cells.groupBy(by, "cell").agg(F.count(F.lit(1)).alias("bins"))
+    s1, s2 = (size.select(by, F.col("cell").alias(f"cell{k}"), F.col("bins").alias(f"bins{k}")) for k in (1, 2))
+    means = drawn.groupBy("draw", by, "cell1", "cell2").agg(F.sum("x").alias("total")).join(s1, [by, "cell1"]).join(s2, [by, "cell2"])
+    corner = lambda a, b: F.sum(F.when((F.col("cell1") == a) & (F.col("cell2") == b), F.col("total") / (F.col("bins1") * F.col("bins2"))))
+    top = parts - 1
+    return means.groupBy("draw").agg(F.log(corner(0, 0) * corner(top, top) / F.pow(corner(0, top), F.lit(2.0))).alias("score"))
 
 
 def strength_score(cells: DataFrame, parts: int = 5) -> float | None:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import attribute
+from .graph import components
 
 
 def gene_bed(gff: DataFrame, feature: str = "gene", key: str = "ID") -> DataFrame:
@@ -74,13 +75,52 @@ def blocks(links: DataFrame) -> DataFrame:
     return rows.groupBy("block", "chrom1", "chrom2").agg(*ends, F.count(F.lit(1)).alias("pairs"))
 
 
-def numbered_blocks(lines: DataFrame) -> DataFrame:
-    """Anchor lines (line_no, value) with the number of the last # line before them. Counts of headers by range of lines come first."""
-    part = F.floor(F.col("line_no") / 100_000)
-    h = lines.withColumn("part", part).withColumn("is_header", F.col("value").startswith("#").cast("int"))
-    before = h.groupBy("part").agg(F.sum("is_header").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    run = F.sum("is_header").over(Window.partitionBy("part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    return h.join(before, "part").withColumn("block", F.col("base") + run).where("is_header = 0").select("line_no", "value", "block")
+def _parts(lines: DataFrame, size: int = 100_000) -> DataFrame:
+    return lines.withColumn("__part", F.floor(F.col("line_no") / size))
+
+
+def running_total(lines: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """lines with ``total``, the sum of a column up to each line in order of line_no. Sums of ranges of lines come first, so that
+    no task sorts all lines."""
+    h = _parts(lines)
+    before = h.groupBy(*by, "__part").agg(F.sum(value).alias("__n"))
+    order = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = before.select(*by, "__part", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__base"))
+    run = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    return h.join(before, [*by, "__part"]).withColumn("total", F.col("__base") + run).drop("__part", "__base")
+
+
+def with_line_before(lines: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """lines with ``before``, the column's value one line earlier in order of line_no; null on the first line. The last value of
+    each range of lines is carried to the next."""
+    h = _parts(lines)
+    last = h.groupBy(*by, "__part").agg(F.max_by(F.struct(value), "line_no").alias("__last"))
+    order = Window.partitionBy(*by).orderBy("__part")  # one row a range
+    carried = last.select(*by, "__part", F.lag("__last").over(order).alias("__carried"))
+    within = F.lag(F.struct(value)).over(Window.partitionBy(*by, "__part").orderBy("line_no"))
+    return h.join(carried, [*by, "__part"]).withColumn("before", F.coalesce(within, F.col("__carried"))[value]).drop("__part", "__carried")
+
+
+def numbered_blocks(lines: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Anchor lines (line_no, value) with the number of the last # line before them."""
+    h = running_total(lines.withColumn("__header", F.col("value").startswith("#").cast("int")), "__header", by)
+    return h.where("__header = 0").select(*by, "line_no", "value", F.col("total").alias("block"))
+
+
+def without_repeats(lines: DataFrame, value: str) -> DataFrame:
+    """Lines whose value differs from that of the line before: the first of each run."""
+    return with_line_before(lines, value).where(~F.col(value).eqNullSafe(F.col("before")) | F.col("before").isNull()).drop("before")
+
+
+def renumbered_runs(lines: DataFrame, value: str) -> DataFrame:
+    """lines with ``new_id``: the number, from 1, of the line on which the run of equal values began."""
+    first = with_line_before(lines, value)
+    begins = first.withColumn("__begin", F.when(~F.col(value).eqNullSafe(F.col("before")) | F.col("before").isNull(), F.col("line_no") + 1))
+    h = _parts(begins)
+    last = h.groupBy("__part").agg(F.max("__begin").alias("__last"))
+    carried = last.select("__part", F.max("__last").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))  # one row a range
+    within = F.max("__begin").over(Window.partitionBy("__part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    return h.join(carried, "__part").withColumn("new_id", F.coalesce(within, F.col("__carried"))).drop("__part", "__carried", "__begin", "before")
 
 
 def slots(alleles: DataFrame, names: list[str]) -> DataFrame:
@@ -150,7 +190,8 @@ def fold_shared(alleles: DataFrame) -> DataFrame:
     """Alleles (chrom, allele_id, gene) after those that share a gene are folded together: on each chromosome the alleles come by
     number of genes, most first, then by id; one that shares a gene with a kept one gives it its genes. (chrom, allele_id, gene)
 
-    The result depends on that order, so each chromosome is folded in one task.
+    The result depends on that order, but alleles that no chain of shared genes joins do not touch each other, so each
+    such component is folded by itself.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -164,7 +205,12 @@ def fold_shared(alleles: DataFrame) -> DataFrame:
         out = sorted((a, g) for a, genes in kept.items() for g in genes)
         return pd.DataFrame({"chrom": rows["chrom"].iloc[0], "allele_id": [a for a, _ in out], "gene": [g for _, g in out]})
 
-    return alleles.select("chrom", "allele_id", "gene").groupBy("chrom").applyInPandas(fold, "chrom string, allele_id string, gene string")
+    rows = alleles.select("chrom", "allele_id", "gene")
+    name = lambda *c: F.concat_ws("\u0001", *c)
+    edges = rows.select(name("chrom", F.lit("a"), "allele_id").alias("a"), name("chrom", F.lit("g"), "gene").alias("b"))
+    label = components(edges).select(F.col("node").alias("__node"), "label")
+    rows = rows.join(label, name("chrom", F.lit("a"), "allele_id") == F.col("__node")).drop("__node")
+    return rows.groupBy("chrom", "label").applyInPandas(fold, "chrom string, allele_id string, gene string")
 
 
 def repeat_group(name):

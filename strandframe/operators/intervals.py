@@ -2,59 +2,84 @@
 
 Joins run on buckets of ``width`` bases: an interval goes to each bucket that it touches, a pair is kept in the first bucket
 that both touch, so nothing needs to be made distinct. Intervals that touch more than MOST_BUCKETS buckets go to one wide
-level of buckets more each time, so no interval is copied more often than that.
+level of buckets more each time, so no interval is copied more often than that. A pair meets at the wider of its two levels
+alone, and an interval goes up only to levels that the other side has.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH, MOST_BUCKETS = 16_384, 64
+WIDTH, MOST_BUCKETS, LEVELS = 4096, 64, 5
+#: Rows of a table up to which it may be broadcast, where it was counted.
+BROADCAST_ROWS = 100_000
 
 
-def _level(start: str, stop: str, width: int):
-    """The least k for which buckets of width * 64**k hold an interval in MOST_BUCKETS of them."""
-    level = F.lit(0)
-    for k in range(1, 5):
-        level = F.when((F.col(stop) - F.col(start)) > width * MOST_BUCKETS**k, F.lit(k)).otherwise(level)
-    return level
+def _level(start: str, stop: str, width: int) -> str:
+    """SQL of the least k for which buckets of width * 64**k hold an interval in MOST_BUCKETS of them."""
+    cases = " ".join(f"WHEN {stop} - {start} > {width * MOST_BUCKETS**k}L THEN {k}" for k in range(LEVELS - 1, 0, -1))
+    return f"CASE {cases} ELSE 0 END"
 
 
-def overlap_join(a: DataFrame, b: DataFrame, fraction_a: float = 0.0, fraction_b: float = 0.0, width: int = WIDTH) -> DataFrame:
+def _width(level: str, width: int) -> str:
+    """SQL of the width of a level's buckets."""
+    return f"element_at(array({', '.join(f'{width * MOST_BUCKETS**k}L' for k in range(LEVELS))}), {level} + 1)"
+
+
+def _in_buckets(df: DataFrame, levels: str, start: str, stop: str, width: int, mark: str) -> DataFrame:
+    """df once for each bucket of each of the levels that its interval touches."""
+    w = _width(f"__level{mark}", width)
+    return df.selectExpr("*", f"explode({levels}) AS __level{mark}").selectExpr("*", f"explode(sequence({start} div {w}, (greatest({stop}, {start} + 1) - 1) div {w})) AS __k{mark}")
+
+
+def bucket_pairs(a: DataFrame, b: DataFrame, width: int, points: bool = False, small: bool = False) -> DataFrame:
+    """Pairs of a and b (columns prefixed b_) that meet in a bucket, before they are looked at. points: intervals of a are one
+    base long. small: b was counted and may be broadcast."""
+    a = a.selectExpr("*", f"{0 if points else _level('start', 'stop', width)} AS __la")
+    b = b.selectExpr("*", f"{_level('b_start', 'b_stop', width)} AS __lb")
+    on = F.expr("chrom = b_chrom AND __level = __level_b AND __k = __k_b")
+
+    def up(df: DataFrame, other: DataFrame, others: str) -> DataFrame:
+        """df with the levels that the other side has: one row of at most LEVELS numbers is broadcast."""
+        return df.crossJoin(F.broadcast(other.agg(F.collect_set(others).alias("__there"))))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(F.broadcast(right) if small else right, on).drop("__there")
+
+    # b at its own level, a there too if that is no finer than a's own; and a at its own level, b at that if it is coarser than b's.
+    own_b = _in_buckets(b, "array(__lb)", "b_start", "b_stop", width, "_b")
+    pairs = met(_in_buckets(up(a, b, "__lb"), "filter(__there, x -> x >= __la)", "start", "stop", width, ""), own_b)
+    if points:
+        return pairs
+    wide = a.where("__la > 0")
+    up_b = _in_buckets(up(b, wide, "__la"), "filter(__there, x -> x > __lb)", "b_start", "b_stop", width, "_b")
+    return pairs.unionByName(met(_in_buckets(wide, "array(__la)", "start", "stop", width, ""), up_b))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, fraction_a: float = 0.0, fraction_b: float = 0.0, width: int = WIDTH, points: bool = False, small: bool = False) -> DataFrame:
     """Pairs of a and b on one chromosome that overlap by at least one base, with ``overlap`` and b's columns prefixed b_.
 
-    fraction_a and fraction_b: the least share of either interval that the overlap must cover.
+    fraction_a and fraction_b: the least share of either interval that the overlap must cover. points, small: see bucket_pairs.
     """
     if not (0 <= fraction_a <= 1 and 0 <= fraction_b <= 1):
         raise ValueError("a fraction lies between 0 and 1")
-    b = b.select([F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn("__lb", _level("b_start", "b_stop", width))
-    a = a.withColumn("__la", _level("start", "stop", width))
-    levels = 5
-    # Both sides go to buckets of the wider of their levels: a's own level and those above it, and so b's.
-    spread = lambda df, own, lo, hi: (
-        df.withColumn("__level", F.explode(F.sequence(F.col(own), F.lit(levels - 1))))
-        .withColumn("__w", F.pow(F.lit(float(MOST_BUCKETS)), F.col("__level")).cast("long") * width)
-        .withColumn("__k", F.explode(F.sequence(F.floor(F.col(lo) / F.col("__w")), F.floor((F.greatest(F.col(hi), F.col(lo) + 1) - 1) / F.col("__w")))))
-    )
-    left, right = spread(a, "__la", "start", "stop"), spread(b, "__lb", "b_start", "b_stop").select(*b.columns, F.col("__level").alias("__level_b"), F.col("__k").alias("__k_b"))
-    on = (F.col("chrom") == F.col("b_chrom")) & (F.col("__level") == F.col("__level_b")) & (F.col("__k") == F.col("__k_b"))
-    rule = (F.col("__level") == F.greatest("__la", "__lb")) & (F.col("start") < F.col("b_stop")) & (F.col("stop") > F.col("b_start"))
-    rule &= F.col("__k") == F.greatest(F.floor(F.col("start") / F.col("__w")), F.floor(F.col("b_start") / F.col("__w")))
-    pairs = left.join(right, on & rule).withColumn("overlap", F.least("stop", "b_stop") - F.greatest("start", "b_start"))
+    b = b.select([F.col(c).alias(f"b_{c}") for c in b.columns])
+    w, overlap = _width("__level", width), "(least(stop, b_stop) - greatest(start, b_start))"
+    rule = f"start < b_stop AND stop > b_start AND __k = greatest(start div {w}, b_start div {w})"
     if fraction_a:
-        pairs = pairs.where(F.col("overlap") >= F.lit(fraction_a) * (F.col("stop") - F.col("start")))
+        rule += f" AND {overlap} >= {fraction_a}D * (stop - start)"
     if fraction_b:
-        pairs = pairs.where(F.col("overlap") >= F.lit(fraction_b) * (F.col("b_stop") - F.col("b_start")))
-    return pairs.drop("__la", "__lb", "__level", "__level_b", "__w", "__k", "__k_b")
+        rule += f" AND {overlap} >= {fraction_b}D * (b_stop - b_start)"
+    return bucket_pairs(a, b, width, points, small).where(rule).selectExpr(*a.columns, *b.columns, f"{overlap} AS overlap")
 
 
-def points_in(points: DataFrame, intervals: DataFrame, closed: bool = True, width: int = WIDTH) -> DataFrame:
+def points_in(points: DataFrame, intervals: DataFrame, closed: bool = True, width: int = WIDTH, small: bool = False) -> DataFrame:
     """Pairs of points (chrom, pos) and the intervals that hold them, b_ before the intervals' columns; closed: stop is inside."""
-    stop = F.col("pos") + 1
     shifted = intervals.withColumn("stop", F.col("stop") + 1) if closed else intervals
-    found = overlap_join(points.withColumn("start", F.col("pos")).withColumn("stop", stop), shifted, width=width).drop("start", "stop", "overlap")
+    at = points.withColumn("start", F.col("pos")).withColumn("stop", F.col("pos") + 1)
+    found = overlap_join(at, shifted, width=width, points=True, small=small).drop("start", "stop", "overlap")
     return found.withColumn("b_stop", F.col("b_stop") - 1) if closed else found
 
 
@@ -77,10 +102,18 @@ def leaves(domains: DataFrame) -> DataFrame:
     return d.join(shorter, ["chrom", "start", "stop"], "left_anti")
 
 
+def islands(domains: DataFrame) -> DataFrame:
+    """domains with ``island``, where the run of overlapping domains that each is in begins."""
+    w = Window.partitionBy("chrom").orderBy("start", "stop")
+    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(before.isNull() | (before <= F.col("start")), F.col("start"))
+    return domains.withColumn("__begin", begins).withColumn("island", F.max("__begin").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__begin")
+
+
 def fold_bottom(domains: DataFrame, order: str) -> DataFrame:
     """Domains left when each, in order, is added after those strictly longer that overlap it are removed.
 
-    The result depends on the order, so each chromosome is folded in one task.
+    The result depends on the order, so each run of overlapping domains is folded in one task.
     """
 
     def fold(d: pd.DataFrame) -> pd.DataFrame:
@@ -91,11 +124,14 @@ def fold_bottom(domains: DataFrame, order: str) -> DataFrame:
                 kept.append((start, stop))
         return pd.DataFrame({"chrom": d["chrom"].iloc[0], "start": [k[0] for k in kept], "stop": [k[1] for k in kept]})
 
-    return domains.groupBy("chrom").applyInPandas(fold, "chrom string, start long, stop long")
+    return islands(domains).groupBy("chrom", "island").applyInPandas(fold, "chrom string, start long, stop long")
 
 
 def merge_keep_smallest(domains: DataFrame) -> DataFrame:
-    """Of overlapping domains the smaller stays: in order of (start, stop), each is held against the first kept one that it overlaps."""
+    """Of overlapping domains the smaller stays: in order of (start, stop), each is held against the first kept one that it overlaps.
+
+    Each run of overlapping domains is folded in one task.
+    """
 
     def fold(d: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[int, int]] = []
@@ -107,7 +143,7 @@ def merge_keep_smallest(domains: DataFrame) -> DataFrame:
                 kept[kept.index(hit)] = (start, stop)
         return pd.DataFrame({"chrom": d["chrom"].iloc[0], "start": [k[0] for k in kept], "stop": [k[1] for k in kept]})
 
-    return domains.groupBy("chrom").applyInPandas(fold, "chrom string, start long, stop long")
+    return islands(domains).groupBy("chrom", "island").applyInPandas(fold, "chrom string, start long, stop long")
 
 
 def boundaries(domains: DataFrame) -> DataFrame:

@@ -5,15 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
+#: Ranges of values that are ranked side by side; a p value is common if it has more than one in HOT rows.
+PARTS, HOT = 64, 256
+
+
+def counts_before(counts: DataFrame, by: list[str], value: str, n: str = "n") -> DataFrame:
+    """Rows of one distinct value and its count (by, value, n) with ``part``, which ascends with value, and ``before``, the sum
+    of n over smaller values of the group.
+
+    Quantiles of each group cut its values into PARTS, whose sums are added up first, so no task sorts a whole group.
+    """
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)], 10_000).alias("__cuts"))
+    same = [counts[c].eqNullSafe(cuts[c]) for c in by]
+    rows = counts.join(cuts, same).drop(*[cuts[c] for c in by]) if by else counts.crossJoin(F.broadcast(cuts))  # one row
+    rows = rows.withColumn("part", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    within = F.sum(n).over(Window.partitionBy(*by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    # One row a part: at most PARTS a group.
+    whole = rows.groupBy(*by, "part").agg(F.sum(n).alias("__n"))
+    base = whole.withColumn("__base", F.sum("__n").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("__n")
+    rows = rows.withColumn("__within", within)
+    rows = rows.join(base, [rows[c].eqNullSafe(base[c]) for c in [*by, "part"]]).drop(*[base[c] for c in [*by, "part"]])
+    return rows.withColumn("before", F.coalesce("__base", F.lit(0)) + F.coalesce("__within", F.lit(0))).drop("__base", "__within")
+
 
 def rank_sum(rows: DataFrame, by: str, group: str, value: str, first: str, second: str) -> DataFrame:
-    """Rank-sum z of two groups by `by`, average ranks, no tie correction."""
-    part = Window.partitionBy(by)
-    ranked = rows.where(F.col(group).isin(first, second)).withColumn("rk", F.rank().over(part.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(by, value)) - 1).cast("double") / 2)
-    n = ranked.groupBy(by).agg(
-        F.count(F.when(F.col(group) == first, 1)).cast("double").alias("n1"), F.count(F.when(F.col(group) == second, 1)).cast("double").alias("n2"),
-        F.sum(F.when(F.col(group) == first, F.col("rk")).otherwise(0.0)).alias("w"),
-    )
+    """Rank-sum z of two groups by `by`, average ranks, no tie correction. Ranks come from counts of distinct values."""
+    counts = rows.where(F.col(group).isin(first, second)).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(group) == first, 1)).alias("a"))
+    counts = checkpointed(counts)
+    rank = F.col("before") + (F.col("n") + 1).cast("double") / 2
+    n = counts_before(counts, [by], value).groupBy(by).agg(F.sum("a").cast("double").alias("n1"), F.sum(F.col("n") - F.col("a")).cast("double").alias("n2"), F.sum(F.col("a") * rank).alias("w"))
     n1, n2 = F.col("n1"), F.col("n2")
     z = (F.col("w") - n1 * (n1 + n2 + 1) / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
     return n.select(by, F.when((n1 > 0) & (n2 > 0), z).alias("z"))
@@ -30,27 +52,45 @@ def normal_p(z):
     return t * F.exp(-x * x + poly)
 
 
+def stars(p):
+    """**, * or ns."""
+    return F.when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+
+
 def t_test(rows: DataFrame, a: list[str], b: list[str]) -> DataFrame:
     """log2 fold change of means + 1 and two-sided p of Student's t test, three against three; constant replicates give p 0."""
     mean = lambda c: sum((F.col(x) for x in c[1:]), F.col(c[0])) / len(c)
     square = lambda c, m: sum(((F.col(x) - m) * (F.col(x) - m) for x in c[1:]), (F.col(c[0]) - m) * (F.col(c[0]) - m))
-    r = rows.withColumn("ma", mean(a)).withColumn("mb", mean(b))
-    r = r.withColumn("s", F.sqrt((square(a, F.col("ma")) + square(b, F.col("mb"))) / 4 * F.lit(2.0) / 3))
-    t = F.abs(F.col("ma") - F.col("mb")) / F.col("s")
-    u = t / F.sqrt(1 + t * t / 4)
-    p = F.when(F.col("s") > 0, F.greatest(F.lit(0.0), 2 * (F.lit(0.5) - F.lit(0.375) * u * (1 - u * u / 12)))).otherwise(0.0)
-    return r.withColumn("log2fc", F.log2((F.col("ma") + 1) / (F.col("mb") + 1))).withColumn("p", p).drop("ma", "mb", "s")
+
+    # Each step's numbers are bound once, as the variable of a one-element transform, so that no expression is written out again.
+    bound = lambda value, then: F.transform(F.array(value), then)[0]
+    spread = lambda m: F.sqrt((square(a, m["a"]) + square(b, m["b"])) / 4 * F.lit(2.0) / 3)
+    slope = lambda t: t / F.sqrt(1 + t * t / 4)
+    tail = lambda u: F.greatest(F.lit(0.0), 2 * (F.lit(0.5) - F.lit(0.375) * u * (1 - u * u / 12)))
+    tested = lambda m: bound(spread(m), lambda s: F.when(s > 0, bound(F.abs(m["a"] - m["b"]) / s, lambda t: bound(slope(t), tail))).otherwise(0.0))
+    result = bound(F.struct(mean(a).alias("a"), mean(b).alias("b")), lambda m: F.struct(F.log2((m["a"] + 1) / (m["b"] + 1)).alias("log2fc"), tested(m).alias("p")))
+    return rows.withColumn("__t", result).withColumn("log2fc", F.col("__t.log2fc")).withColumn("p", F.col("__t.p")).drop("__t")
 
 
 def false_discovery(rows: DataFrame, p: str, key: str) -> DataFrame:
-    """Benjamini-Hochberg rates. Distinct p values are ranked, so ties share a rate; ranks come from counts by value."""
-    by_p = rows.groupBy(p).agg(F.count(F.lit(1)).alias("__n"))
-    up = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("__n").over(Window.partitionBy())
-    ranked = by_p.withColumn("__r", F.sum("__n").over(up)).withColumn("__m", total)
-    rates = ranked.withColumn("fdr", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__r")).over(down))).select(p, "fdr")
-    return rows.join(rates, p)
+    """Benjamini-Hochberg rates. Distinct p values are ranked, so ties share a rate; ranks come from counts by value.
+
+    Rates of very frequent values are broadcast, at most HOT of them, so that a common p, such as 0, does not meet its rate in one task.
+    """
+    by_p = checkpointed(rows.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("n")))
+    total = by_p.agg(F.sum("n").alias("__m"))
+    ranked = counts_before(by_p, [], p).crossJoin(F.broadcast(total))  # one row
+    ranked = ranked.withColumn("__rate", F.col(p) * F.col("__m") / (F.col("before") + F.col("n")))
+    # The least rate of this value and all larger ones: within the part, then over the parts above, one row each.
+    within = F.min("__rate").over(Window.partitionBy("part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    above = ranked.groupBy("part").agg(F.min("__rate").alias("__least")).withColumn("__above", F.min("__least").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1))).drop("__least")
+    rates = ranked.withColumn("__within", within).join(F.broadcast(above), "part")  # at most PARTS rows
+    rates = rates.select(p, F.least(F.lit(1.0), F.col("__within"), F.coalesce("__above", F.lit(1.0))).alias("fdr"), (F.col("n") * HOT > F.col("__m")).alias("__hot"))
+    common = F.broadcast(rates.where("__hot").select(F.col(p).alias("__p"), F.col("fdr").alias("__fdr")))
+    rest = rates.where(~F.col("__hot")).select(p, "fdr")
+    first = rows.join(common, F.col(p) == F.col("__p"), "left").drop("__p")
+    found = first.where("__fdr is not null").withColumnRenamed("__fdr", "fdr")
+    return found.unionByName(first.where("__fdr is null").drop("__fdr").join(rest, p).select(*found.columns))
 
 
 def box(rows: DataFrame, by: list[str], value: str) -> DataFrame:

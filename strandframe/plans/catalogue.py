@@ -60,26 +60,28 @@ add("fragment_sizes", "STA-08", lambda v: rounded(T.histogram(v("valid_pairs"),
     "SELECT chr1, bin, n, round(cast(n AS double)/cast(sum(n) OVER (PARTITION BY chr1) AS double), 6) AS share FROM (SELECT chr1, cast(floor(frag_size/50)*50 AS bigint) AS bin, count(*) AS n FROM {valid_pairs} GROUP BY 1, 2) x")
 add("fragment_coverage", "AGG-09 SET-02", lambda v: (lambda p: p.select("chr1", F.explode(F.array("site1", "site2")).alias("site")).groupBy("chr1").agg(F.countDistinct("site").alias("fragments")))(v("valid_pairs")),
     "SELECT chr1, count(DISTINCT site) AS fragments FROM (SELECT chr1, site1 AS site FROM {valid_pairs} UNION ALL SELECT chr1, site2 FROM {valid_pairs}) x GROUP BY chr1")
-add("unused_sites", "AGG-09 SET-02 JN-05", lambda v: v("valid_pairs").select(F.col("site2").alias("site")).distinct().join(v("valid_pairs").where("chr1 = 'Chr1'").select(F.col("site1").alias("site")).distinct(), "site", "left_anti"),
-    "SELECT DISTINCT site2 AS site FROM {valid_pairs} WHERE site2 NOT IN (SELECT site1 FROM {valid_pairs} WHERE chr1 = 'Chr1')")
+add("unused_sites", "AGG-09 SET-02 JN-05", lambda v: v("valid_pairs").select(F.col("site2").alias("site")).distinct().join(v("valid_pairs").where("chr1 = 'Chr1' and read_id % 16 = 1").select(F.col("site1").alias("site")).distinct(), "site", "left_anti"),
+    "SELECT DISTINCT site2 AS site FROM {valid_pairs} WHERE site2 NOT IN (SELECT site1 FROM {valid_pairs} WHERE chr1 = 'Chr1' AND read_id % 16 = 1)")
 add("library_rates", "AGG-10 SRC-24 SCL-12", lambda v: v("valid_pairs").agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("chr1") == F.col("chr2"), 1)).alias("cis")).select("pairs", "cis", S.percent_text(F.col("cis"), F.col("pairs")).alias("cis_rate")),
     "SELECT count(*) AS pairs, count(*) FILTER (WHERE chr1 = chr2) AS cis, printf('%.2f%%', cast(count(*) FILTER (WHERE chr1 = chr2) AS double)*100/count(*)) AS cis_rate FROM {valid_pairs}")
 add("pairs_to_links", "SNK-07 SCL-08", lambda v: v("valid_pairs").select("read_id", S.strand_flag(F.col("strand1")).alias("flag1"), "chr1", "pos1", S.strand_flag(F.col("strand2")).alias("flag2"), "chr2", "pos2"),
     "SELECT read_id, CASE WHEN strand1 = '+' THEN 0 ELSE 16 END AS flag1, chr1, pos1, CASE WHEN strand2 = '+' THEN 0 ELSE 16 END AS flag2, chr2, pos2 FROM {valid_pairs}")
-add("resolution_estimate", "MAT-25 WIN-08", lambda v: C.resolution(v("valid_pairs"), 100, 50, 5),
+add("resolution_estimate", "MAT-25 WIN-08", lambda v: rounded(C.resolutions(v("valid_pairs"), v("chrom_sizes"), list(range(10, 1001, 10))), "share"),
     """WITH e AS (SELECT chr1 AS chrom, pos1 AS pos FROM {valid_pairs} UNION ALL SELECT chr2, pos2 FROM {valid_pairs}), b AS (SELECT chrom, cast(floor(pos/100) AS bigint) AS k, count(*) AS n FROM e GROUP BY 1, 2),
-    w AS (SELECT chrom, cast(floor(k/50) AS bigint) AS bin, sum(n) AS n FROM b WHERE k % 50 <> 49 GROUP BY 1, 2) SELECT chrom, count(*) AS bins, count(*) FILTER (WHERE n > 5) AS covered FROM w GROUP BY chrom""")
+    f AS (SELECT cast(unnest(range(10, 1001, 10)) AS integer) AS factor), w AS (SELECT factor, chrom, unnest(range(0, cast(floor(size/100) AS bigint) + factor, factor)) AS i FROM f, {chrom_sizes}),
+    c AS (SELECT factor, chrom, cast(floor(k/factor)*factor AS bigint) AS i, sum(n) AS n FROM b, f WHERE k % factor < factor - 1 GROUP BY 1, 2, 3)
+    SELECT w.factor, count(*) AS bins, count(*) FILTER (WHERE n > 1000) AS covered, round(cast(count(*) FILTER (WHERE n > 1000) AS double)/count(*), 6) AS share FROM w LEFT JOIN c ON c.factor = w.factor AND c.chrom = w.chrom AND c.i = w.i GROUP BY 1""")
 add("row_sum_quantiles", "AGG-16", lambda v: rounded(C.bin_sums(v("genome_pixels"), []).agg(*[F.percentile("total", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.25, 0.2, 0.1)], F.avg("total").alias("mean"), F.stddev_samp("total").alias("sd")), "p25", "p20", "p10", "mean", "sd"),
     "SELECT round(quantile_cont(total, 0.25), 6) AS p25, round(quantile_cont(total, 0.2), 6) AS p20, round(quantile_cont(total, 0.1), 6) AS p10, round(avg(total), 6) AS mean, round(stddev_samp(total), 6) AS sd FROM (SELECT bin, cast(sum(n) AS double) AS total FROM (SELECT bin1 AS bin, n FROM {genome_pixels} UNION ALL SELECT bin2, n FROM {genome_pixels} WHERE bin1 <> bin2) x GROUP BY bin) y")
 
 # --- matrices ----------------------------------------------------------------------------------------------------------
 add("contact_pixels", "MAT-01 MAT-18 SNK-16", lambda v: C.pixels(v("valid_pairs"), 20000), "SELECT chrom, bin1, bin2, n FROM {pixels}")
-add("pixels_by_resolution", "MAT-24", lambda v: C.pixels(v("valid_pairs"), 20000).withColumn("size", F.lit(20000)).unionByName(C.pixels(v("valid_pairs"), 100000).withColumn("size", F.lit(100000))).groupBy("size", "chrom").agg(F.count(F.lit(1)).alias("pixels")),
+add("pixels_by_resolution", "MAT-24", lambda v: (lambda fine: fine.withColumn("size", F.lit(20000)).unionByName(C.coarsen(fine, 5, ["chrom"]).withColumn("size", F.lit(100000))).groupBy("size", "chrom").agg(F.count(F.lit(1)).alias("pixels")))(C.pixels(v("valid_pairs"), 20000)),
     "SELECT size, chrom, count(*) AS pixels FROM (SELECT 20000 AS size, chrom, bin1, bin2 FROM {pixels} UNION SELECT 100000, chrom, cast(floor(bin1/5) AS bigint), cast(floor(bin2/5) AS bigint) FROM {pixels}) x GROUP BY 1, 2")
 add("contig_offsets", "MAT-02 WIN-03", lambda v: C.contig_offsets(v("contigs"), 10000).select("id", "bins", "offset"),
     "SELECT id, cast(ceil(length/10000) AS bigint) AS bins, cast(coalesce(sum(cast(ceil(length/10000) AS bigint)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS \"offset\" FROM {contigs}")
-add("pixels_from_alignments", "MAT-01 SRC-30 SNK-06", lambda v: C.pixels_from_alignments(v("alignments"), C.contig_offsets(v("contigs"), 1000), 5000, 20),
-    """WITH o AS (SELECT id, cast(coalesce(sum(cast(ceil(length/1000) AS bigint)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS off FROM {contigs})
+add("pixels_from_alignments", "MAT-01 SRC-30", lambda v: C.pixels_from_alignments(v("alignments"), C.contig_offsets(v("agp_old").select("id", F.col("tig_stop").alias("length")), 5000), 5000, 20),
+    """WITH o AS (SELECT id, cast(2*(row_number() OVER (ORDER BY id) - 1) AS bigint) AS off FROM {agp_old})
     SELECT least(a.off + cast(floor(p1/5000) AS bigint), b.off + cast(floor(p2/5000) AS bigint)) AS bin1, greatest(a.off + cast(floor(p1/5000) AS bigint), b.off + cast(floor(p2/5000) AS bigint)) AS bin2, count(*) AS n FROM {alignments} JOIN o a ON a.id = ref1 JOIN o b ON b.id = ref2 WHERE NOT is_unmapped AND is_read1 AND mapq >= 20 GROUP BY 1, 2""")
 add("symmetric_pixels", "MAT-03 SRC-11", lambda v: C.symmetric(v("pixels")), "SELECT chrom, bin1, bin2, n FROM {pixels} UNION ALL SELECT chrom, bin2, bin1, n FROM {pixels} WHERE bin1 <> bin2")
 add("cis_bin_sums", "MAT-04", lambda v: C.bin_sums(v("pixels"), ["chrom"]), "SELECT chrom, bin, cast(sum(n) AS bigint) AS total FROM (SELECT chrom, bin1 AS bin, n FROM {pixels} UNION ALL SELECT chrom, bin2, n FROM {pixels} WHERE bin1 <> bin2) x GROUP BY 1, 2")
@@ -103,10 +105,24 @@ add("two_matrices", "MAT-23", lambda v: v("genome_pixels").where("bin1 <= bin2")
     "SELECT bin1, bin2, n, 'upper' AS part FROM {genome_pixels} UNION ALL SELECT bin2, bin1, n*2, 'lower' FROM {genome_pixels} WHERE bin1 < bin2")
 add("log_matrix", "MAT-18", lambda v: C.counted_both_ways(v("genome_pixels").where("n > 0"), "bin1", "bin2").select("x", "y", F.round(F.log2(F.col("n").cast("double")), 6).alias("score")),
     "SELECT x, y, round(log2(cast(count(*) AS double)), 6) AS score FROM (SELECT bin1 AS x, bin2 AS y FROM {genome_pixels} UNION ALL SELECT bin2, bin1 FROM {genome_pixels}) t GROUP BY 1, 2")
-add("expected_by_log_bins", "MAT-10", lambda v: rounded(C.expected_by_log_bins(v("pixels"), 100), "mean"))
-add("balanced_matrix", "MAT-11 MAT-12", lambda v: rounded(C.balanced(v("genome_pixels"), rounds=4), "balanced"))
-add("balanced_off_diagonal", "MAT-13", lambda v: rounded(C.balanced(v("genome_pixels").where("n > 0"), rounds=3, drop=1), "balanced"))
-add("compartment_strength", "MAT-16", lambda v: rounded(C.strength(C.observed_over_expected(v("pixels").where("chrom = 'Chr1'")), v("bg1").where("chrom = 'Chr1'").select((F.col("start") / 20000).cast("long").alias("bin"), F.col("score").alias("pc1")).groupBy("bin").agg(F.min("pc1").alias("pc1"))), "mean"))
+LOG_OE = """WITH s AS (SELECT greatest(2, cast(floor(ln(50)/ln(1.03)) AS bigint)) AS many), pt AS (SELECT DISTINCT cast(round(pow(10.0, i*log10(50)/(many - 1))) AS bigint) AS x FROM s, unnest(range(0, many)) t(i)),
+    r AS (SELECT cast(0 AS bigint) AS low, cast(1 AS bigint) AS high UNION ALL SELECT x, y FROM (SELECT x, lead(x) OVER (ORDER BY x) AS y FROM pt) z WHERE y IS NOT NULL),
+    np AS (SELECT low, high, sum(50 - d) AS pairs FROM r, unnest(range(low, high)) t(d) GROUP BY 1, 2),
+    ex AS (SELECT p.chrom, low, high, cast(sum(n) AS double)/cast(min(pairs) AS double) AS expected FROM {pixels} p JOIN np ON bin2 - bin1 >= low AND bin2 - bin1 < high GROUP BY 1, 2, 3),
+    loe AS (SELECT p.chrom, bin1, bin2, n, n/expected AS oe FROM {pixels} p JOIN ex ON p.chrom = ex.chrom AND bin2 - bin1 >= low AND bin2 - bin1 < high) """
+add("expected_by_log_bins", "MAT-10", lambda v: rounded(C.expected_by_log_bins(v("pixels"), 50), "expected"), LOG_OE + "SELECT chrom, d, round(expected, 6) AS expected FROM ex, unnest(range(low, high)) t(d)")
+add("obs_over_log_bins", "MAT-10", lambda v: rounded(C.observed_over_log_bins(v("pixels"), 50), "oe"), LOG_OE + "SELECT chrom, bin1, bin2, n, round(oe, 6) AS oe FROM loe")
+add("balanced_matrix", "MAT-11", lambda v: rounded(C.balanced(v("genome_pixels")), "balanced"))
+add("balanced_both_ways", "MAT-12", lambda v: rounded(C.balanced_both_ways(v("genome_pixels"), rounds=10), "balanced"))
+add("balanced_off_diagonal", "MAT-13 MAT-15", lambda v: rounded(C.corrected_safely(v("genome_pixels"), 200, tolerance=1e-3), "balanced"))
+PC1 = lambda v: v("bg1").groupBy("chrom", (F.floor(F.col("start") / 20000)).cast("long").alias("bin")).agg(F.min("score").alias("pc1"))
+add("compartment_strength", "MAT-16", lambda v: rounded(C.strength(C.observed_over_log_bins(v("pixels"), 50), PC1(v)), "mean"),
+    LOG_OE + """, b AS (SELECT chrom, bin1, bin2, oe FROM loe UNION ALL SELECT chrom, bin2, bin1, oe FROM loe WHERE bin1 <> bin2), pc AS (SELECT g.chrom, cast(floor(start/20000) AS bigint) AS bin, min(score) AS pc1 FROM {bg1} g GROUP BY 1, 2),
+    pm AS (SELECT pc.* FROM pc WHERE EXISTS (SELECT 1 FROM b WHERE b.chrom = pc.chrom AND b.bin1 = pc.bin)), qs AS (SELECT chrom, quantile_cont(pc1, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS l FROM pm GROUP BY 1), q AS (SELECT chrom, i, l[i + 1] AS lo, l[i + 2] AS hi FROM qs, unnest([0, 1, 2, 3, 4]) t(i)),
+    c AS (SELECT pm.chrom, bin, i AS cell FROM pm JOIN q ON q.chrom = pm.chrom AND pc1 > lo AND pc1 < hi), sz AS (SELECT chrom, cell, count(*) AS bins FROM c GROUP BY 1, 2),
+    sm AS (SELECT b.chrom, x.cell AS cell1, y.cell AS cell2, sum(oe) AS total FROM b JOIN c x ON x.chrom = b.chrom AND x.bin = bin1 JOIN c y ON y.chrom = b.chrom AND y.bin = bin2 GROUP BY 1, 2, 3)
+    SELECT x.cell AS cell1, y.cell AS cell2, round(sum(coalesce(total, 0)/(x.bins*y.bins)), 6) AS mean, cast(sum(x.bins*y.bins) AS bigint) AS n FROM sz x JOIN sz y ON x.chrom = y.chrom LEFT JOIN sm ON sm.chrom = x.chrom AND cell1 = x.cell AND cell2 = y.cell GROUP BY 1, 2""")
+add("compartment_strength_draws", "MAT-16", lambda v: C.strength_draws(C.observed_over_log_bins(v("pixels"), 50), PC1(v)).agg(F.count(F.lit(1)).alias("draws"), F.round(F.stddev_pop("score"), 6).alias("sd")))
 add("group_row_medians", "MAT-19 MAT-20", lambda v: rounded(C.pair_medians(C.symmetric(v("genome_pixels")), v("genome_pixels").select(F.explode(F.array("bin1", "bin2")).alias("bin")).distinct().withColumn("grp", F.floor(F.col("bin") / 50).cast("long"))), "median", "mean"),
     """WITH s AS (SELECT bin1, bin2, n FROM {genome_pixels} UNION ALL SELECT bin2, bin1, n FROM {genome_pixels} WHERE bin1 <> bin2), b AS (SELECT DISTINCT bin1 AS bin, cast(floor(bin1/50) AS bigint) AS grp FROM s),
     g AS (SELECT DISTINCT floor(bin1/50) AS g1, floor(bin2/50) AS g2 FROM s), r AS (SELECT b.bin, b.grp AS grp1, cast(g.g2 AS bigint) AS grp2, coalesce(sum(s.n), 0) AS t FROM b JOIN g ON b.grp = g.g1 LEFT JOIN s ON s.bin1 = b.bin AND floor(s.bin2/50) = g.g2 GROUP BY 1, 2, 3)
@@ -121,8 +137,8 @@ add("genes_per_domain", "INT-02 INT-05", lambda v: I.count_overlaps(v("domains")
     "SELECT d.chrom, d.start, d.stop, d.level, count(g.gene) AS n FROM {domains} d LEFT JOIN {genes} g ON d.chrom = g.chrom AND d.start < g.stop AND d.stop > g.start AND least(d.stop, g.stop) - greatest(d.start, g.start) >= cast(0.7 AS double)*(g.stop-g.start) GROUP BY 1, 2, 3, 4")
 add("domain_of_gene", "INT-03", lambda v: I.overlap_join(v("genes"), v("domains"), fraction_a=0.7).groupBy("gene").agg(F.max_by(F.struct("b_start", "b_stop"), F.struct("overlap", "b_start", "b_stop")).alias("d")).select("gene", "d.b_start", "d.b_stop"),
     "SELECT gene, b_start, b_stop FROM (SELECT g.gene, d.start AS b_start, d.stop AS b_stop, row_number() OVER (PARTITION BY g.gene ORDER BY least(d.stop, g.stop) - greatest(d.start, g.start) DESC, d.start DESC, d.stop DESC) AS r FROM {genes} g JOIN {domains} d ON d.chrom = g.chrom AND d.start < g.stop AND d.stop > g.start WHERE least(d.stop, g.stop) - greatest(d.start, g.start) >= cast(0.7 AS double)*(g.stop-g.start)) x WHERE r = 1")
-add("gene_pc1_pairs", "INT-04 JN-08", lambda v: (lambda o, a: a.join(o.select(F.col("gene").alias("gene1"), F.col("b_score").alias("v1")), "gene1").join(o.select(F.col("gene").alias("gene2"), F.col("b_score").alias("v2")), "gene2").select("gene1", "gene2", F.round("v1", 6).alias("v1"), F.round("v2", 6).alias("v2")))(I.overlap_join(v("genes"), v("bg1"), fraction_a=0.51), v("anchors")),
-    "WITH o AS (SELECT g.gene, b.score FROM {genes} g JOIN {bg1} b ON b.chrom = g.chrom AND b.start < g.stop AND b.stop > g.start WHERE least(b.stop, g.stop) - greatest(b.start, g.start) >= cast(0.51 AS double)*(g.stop-g.start)) SELECT a.gene1, a.gene2, round(x.score, 6) AS v1, round(y.score, 6) AS v2 FROM {anchors} a JOIN o x ON x.gene = a.gene1 JOIN o y ON y.gene = a.gene2")
+PC1_PAIRS = "WITH o AS (SELECT g.gene, b.score FROM {genes} g JOIN {bg1} b ON b.chrom = g.chrom AND b.start < g.stop AND b.stop > g.start WHERE least(b.stop, g.stop) - greatest(b.start, g.start) >= cast(0.51 AS double)*(g.stop-g.start)), z AS (SELECT a.line_no, a.gene1, a.gene2, cast(round(x.score*10000000) AS bigint) AS v1, cast(round(y.score*10000000) AS bigint) AS v2 FROM {anchors} a JOIN o x ON x.gene = a.gene1 JOIN o y ON y.gene = a.gene2) "
+add("gene_pc1_pairs", "INT-04 JN-08", lambda v: AB.gene_pairs(v("anchors"), v("genes"), v("bg1"), v("genes"), v("bg1")).select("line_no", "gene1", "gene2", *[F.round(F.col(c) * 10_000_000).cast("long").alias(c) for c in ("v1", "v2")]), PC1_PAIRS + "SELECT line_no, gene1, gene2, v1, v2 FROM z")
 add("gene_density", "INT-05 INT-08 ASM-07", lambda v: I.count_overlaps(I.make_windows(v("chrom_sizes"), 100000), v("genes"), ["chrom", "start", "stop"]),
     "SELECT w.chrom, w.start, w.stop, count(g.gene) AS n FROM (SELECT chrom, s AS start, least(s + 100000, size) AS stop FROM (SELECT chrom, size, unnest(range(0, size, 100000)) AS s FROM {chrom_sizes}) t) w LEFT JOIN {genes} g ON g.chrom = w.chrom AND w.start < g.stop AND w.stop > g.start GROUP BY 1, 2, 3")
 add("snp_rate_per_gene", "INT-06 FLT-04 SRC-08", lambda v: (lambda g: g.join(I.points_in(v("variants").where(F.split("sample", ":")[0].isin("0/1", "1/1")), g).groupBy(F.col("b_gene").alias("gene")).agg(F.count(F.lit(1)).alias("n")), "gene", "left").select("gene", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce("n", F.lit(0)).cast("double") / (F.col("stop") - F.col("start") + 1), 9).alias("rate")))(v("genes")),
@@ -160,7 +176,7 @@ add("conserved_bins", "SCL-04", lambda v: AB.conserved(AB.paired(v("bg1"), v("bg
 add("switch_links", "ASM-09", lambda v: AB.switch_links(AB.paired(v("bg1"), v("bg2")), ["AB", "BA"], 1000), f"SELECT a.chrom, a.start + 1000 AS start1, a.stop - 1000 AS stop1, a.start + 1000 AS start2, a.stop + 1000 AS stop2, {SW} AS type FROM {PAIR} WHERE {SW} IN ('AB', 'BA')")
 add("genome_size", "AGG-06", lambda v: AB.genome_size(v("bg1")), "SELECT cast(sum(m) AS bigint) AS size FROM (SELECT chrom, max(stop) AS m FROM {bg1} GROUP BY chrom) x")
 add("sample_correlation", "STA-03", lambda v: AB.correlation(AB.paired(v("bg1"), v("bg2")), ["chrom"]), f"SELECT a.chrom, count(*) AS bins, CASE WHEN count(*) >= 3 THEN round(corr(a.score, b.score), 6) END AS r FROM {PAIR} GROUP BY a.chrom")
-add("correlation_by_switch", "STA-03", lambda v: AB.correlation(AB.paired(v("bg1"), v("bg2")), [S.switch_type(F.col("v1"), F.col("v2")).alias("type")]).select("type", "bins"), f"SELECT {SW} AS type, count(*) AS bins FROM {PAIR} GROUP BY 1")
+add("correlation_by_switch", "STA-03", lambda v: AB.correlation(AB.paired(v("bg1"), v("bg2")), [S.switch_type(F.col("v1"), F.col("v2")).alias("type")]), f"SELECT {SW} AS type, count(*) AS bins, CASE WHEN count(*) >= 3 THEN round(corr(a.score, b.score), 6) END AS r FROM {PAIR} GROUP BY 1")
 add("bins_in_range", "FLT-07", lambda v: v("bg1").where("chrom = 'Chr1' and stop between 100000 and 400000").select("chrom", "start", "stop"), "SELECT chrom, start, stop FROM {bg1} WHERE chrom = 'Chr1' AND stop BETWEEN 100000 AND 400000")
 add("domain_stats", "AGG-07 SRC-14", lambda v: rounded(v("domains").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("bases")).crossJoin(F.broadcast(v("chrom_sizes").agg(F.sum("size").alias("genome")))).select("n", "bases", (F.col("bases").cast("double") * 100 / F.col("genome")).alias("percent")), "percent"),
     "SELECT count(*) AS n, cast(sum(stop-start) AS bigint) AS bases, round(cast(sum(stop-start) AS double)*100/(SELECT cast(sum(size) AS double) FROM {chrom_sizes}), 6) AS percent FROM {domains}")
@@ -178,7 +194,10 @@ RS = """WITH r AS (SELECT chrom, score, start % 20000 = 0 AS even, rank() OVER (
     n AS (SELECT chrom, cast(count(*) FILTER (WHERE even) AS double) AS n1, cast(count(*) FILTER (WHERE NOT even) AS double) AS n2, sum(CASE WHEN even THEN rk ELSE 0.0 END) AS w FROM r GROUP BY chrom) """
 add("ranksum_ab", "STA-04", lambda v: rounded(T.rank_sum(v("bg1").withColumn("g", F.when(F.col("start") % 20000 == 0, "e").otherwise("o")), "chrom", "g", "score", "e", "o"), "z"),
     RS + "SELECT chrom, round(CASE WHEN n1 > 0 AND n2 > 0 THEN (w - n1*(n1+n2+1)/2)/sqrt(n1*n2*(n1+n2+1)/12) END, 6) AS z FROM n")
-add("ranksum_p", "STA-04", lambda v: T.rank_sum(v("bg1").withColumn("g", F.when(F.col("start") % 20000 == 0, "e").otherwise("o")), "chrom", "g", "score", "e", "o").select("chrom", F.round(T.normal_p(F.col("z")), 6).alias("p")))
+add("ranksum_p", "STA-04", lambda v: T.rank_sum(v("bg1").withColumn("g", F.when(F.col("start") % 20000 == 0, "e").otherwise("o")), "chrom", "g", "score", "e", "o").select("chrom", F.round(T.normal_p(F.col("z")), 5).alias("p"), T.stars(T.normal_p(F.col("z"))).alias("stars")),
+    RS + """, z AS (SELECT chrom, greatest(abs((w - n1*(n1+n2+1)/2)/sqrt(n1*n2*(n1+n2+1)/12))/sqrt(2.0), 1e-12) AS x FROM n),
+    p AS (SELECT chrom, 1 - 2/sqrt(pi())*sum(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END*exp((2*k + 1)*ln(x) - lgamma(k + 1))/(2*k + 1)) AS p FROM z, unnest(range(0, 60)) t(k) GROUP BY chrom)
+    SELECT chrom, round(p, 5) AS p, CASE WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM p""")
 TT = """WITH m AS (SELECT *, (a1+a2+a3)/3 AS ma, (b1+b2+b3)/3 AS mb FROM {expression}), s AS (SELECT *, sqrt(((a1-ma)*(a1-ma)+(a2-ma)*(a2-ma)+(a3-ma)*(a3-ma)+(b1-mb)*(b1-mb)+(b2-mb)*(b2-mb)+(b3-mb)*(b3-mb))/4*2.0/3) AS s FROM m),
     t AS (SELECT gene_a, gene_b, log2((ma+1)/(mb+1)) AS log2fc, CASE WHEN s > 0 THEN greatest(cast(0 AS double), 2*(0.5 - 0.375*(abs(ma-mb)/s/sqrt(1+(abs(ma-mb)/s)*(abs(ma-mb)/s)/4))*(1 - (abs(ma-mb)/s/sqrt(1+(abs(ma-mb)/s)*(abs(ma-mb)/s)/4))*(abs(ma-mb)/s/sqrt(1+(abs(ma-mb)/s)*(abs(ma-mb)/s)/4))/12))) ELSE cast(0 AS double) END AS p FROM s) """
 A3, B3 = ["a1", "a2", "a3"], ["b1", "b2", "b3"]
@@ -196,7 +215,7 @@ add("regression_by_chrom", "STA-02", lambda v: rounded(T.regression(AB.paired(v(
     f"SELECT a.chrom, count(*) AS n, round(regr_slope(b.score, a.score), 6) AS slope, round(regr_intercept(b.score, a.score), 6) AS intercept, round(corr(b.score, a.score), 6) AS r, round(sqrt(greatest(0.0, (1 - corr(b.score, a.score)*corr(b.score, a.score))*var_samp(b.score)/var_samp(a.score)/(count(*) - 2))), 6) AS error FROM {PAIR} GROUP BY a.chrom HAVING count(*) >= 3 AND var_samp(a.score) > 0")
 add("genes_in_compartments", "STA-10", lambda v: I.overlap_join(v("genes"), v("bg1"), fraction_a=0.51).groupBy(S.compartment(F.col("b_score")).alias("type")).agg(F.count(F.lit(1)).alias("n")),
     "SELECT CASE WHEN b.score >= 0 THEN 'A' ELSE 'B' END AS type, count(*) AS n FROM {genes} g JOIN {bg1} b ON b.chrom = g.chrom AND b.start < g.stop AND b.stop > g.start WHERE least(b.stop, g.stop) - greatest(b.start, g.start) >= cast(0.51 AS double)*(g.stop-g.start) GROUP BY 1")
-add("permuted_compartments", "SMP-03 STA-10", lambda v: T.permutation(v("bg1").select("chrom", "start", S.compartment(F.col("score")).alias("type")), "type", 50, 100))
+add("permuted_compartments", "SMP-03 STA-10", lambda v: T.permutation(v("bg1").select("chrom", "start", S.compartment(F.col("score")).alias("type")), "type", 50, 1000))
 add("log_scaled_expression", "SCL-10 STA-14", lambda v: v("expression").where("a1 >= 2 and b1 >= 2").select("gene_a", F.round(F.log2("a1"), 6).alias("x"), F.round(F.log2("b1"), 6).alias("y")), "SELECT gene_a, round(log2(a1), 6) AS x, round(log2(b1), 6) AS y FROM {expression} WHERE a1 >= 2 AND b1 >= 2")
 add("counts_per_million", "STA-13", lambda v: (lambda e: e.crossJoin(F.broadcast(e.agg(F.sum("a1").alias("t")))).select("gene_a", F.round(F.col("a1") * 1e6 / F.col("t"), 4).alias("cpm")).where("cpm >= 1"))(v("expression")), "SELECT gene_a, round(a1*cast(1000000 AS double)/(SELECT sum(a1) FROM {expression}), 4) AS cpm FROM {expression} WHERE round(a1*cast(1000000 AS double)/(SELECT sum(a1) FROM {expression}), 4) >= 1")
 add("top_terms", "SRT-07", lambda v: T.t_test(v("expression"), A3, B3).where("p > 0").select("gene_a", F.round(-F.log10("p"), 4).alias("score")).orderBy(F.desc("score"), "gene_a").limit(20), TT + "SELECT gene_a, round(-log10(p), 4) AS score FROM t WHERE p > 0 ORDER BY round(-log10(p), 4) DESC, gene_a LIMIT 20")
@@ -257,7 +276,7 @@ add("matrix_headers", "SNK-09 SCL-01", lambda v: v("bg1").select(F.concat_ws("|"
 add("range_ids", "SCL-01", lambda v: v("genes").select("gene", S.parse_range_id(S.range_id(F.col("chrom"), F.col("start"), F.col("stop"))).alias("r")).select("gene", "r.chrom", "r.start", "r.stop"), "SELECT gene, chrom, start, stop FROM {genes}")
 add("size_labels", "SCL-02 SCL-03", lambda v: v("domains").select("start", S.size_label(F.col("start") * 10).alias("label")), "SELECT start, CASE WHEN start*10 <= 1000 THEN (start*10) || ' bp' WHEN start*10 <= 400000 THEN cast(floor(start*10/1000) AS bigint) || ' Kbp' ELSE printf('%.1f', start*10/1000000.0) || ' Mbp' END AS label FROM {domains}")
 add("bin_size_words", "SCL-09", lambda v: v("contigs").select("id", S.bin_size(F.concat(F.col("re_sites").cast("string"), F.lit("K"))).alias("size")), "SELECT id, re_sites*1000 AS size FROM {contigs}")
-add("version_sorted", "SRT-02 SRT-03 SRT-01", lambda v: v("genes").withColumn("k", S.trailing_number(F.col("chrom"))).orderBy("k", "start", "gene").limit(50).select("chrom", "start", "gene"), "SELECT chrom, start, gene FROM {genes} ORDER BY cast(substring(chrom, 4, 5) AS bigint), start, gene LIMIT 50")
+add("version_sorted", "SRT-02 SRT-03 SRT-01", lambda v: v("genes").withColumn("k", S.trailing_number(F.col("chrom"))).orderBy("k", "start", "gene").select("chrom", "start", "gene"), "SELECT chrom, start, gene FROM {genes} ORDER BY cast(substring(chrom, 4, 5) AS bigint), start, gene")
 add("sampled_genes", "SMP-01", lambda v: v("genes").join(v("tandem").select(F.col("gene1").alias("gene")), "gene", "left_anti").withColumn("u", F.col("start") * 7919 % 10007).orderBy("u", "gene").limit(30).select("gene", "u"), "SELECT gene, start*7919 % 10007 AS u FROM {genes} WHERE gene NOT IN (SELECT gene1 FROM {tandem}) ORDER BY start*7919 % 10007, gene LIMIT 30")
 add("downsampled_pairs", "SMP-02", lambda v: v("valid_pairs").where("read_id * 7919 % 10007 < 1000").select("read_id"), "SELECT read_id FROM {valid_pairs} WHERE read_id * 7919 % 10007 < 1000")
 add("column_sum", "AGG-19", lambda v: v("genes").agg(F.sum(F.col("stop") - F.col("start")).alias("total")), "SELECT cast(sum(stop-start) AS bigint) AS total FROM {genes}")
@@ -281,12 +300,14 @@ add("partition_balance", "AGG-18", lambda v: rounded(ASM.balance(v("contigs"), "
 add("layout_changes", "ASM-05", lambda v: v("agp_old").select("id", F.col("chrom").alias("old_chrom"), F.col("number").alias("old_number")).join(v("agp_new").select("id", F.col("chrom").alias("new_chrom"), F.col("number").alias("new_number")), "id", "left"), "SELECT o.id, o.chrom AS old_chrom, o.number AS old_number, n.chrom AS new_chrom, n.number AS new_number FROM {agp_old} o LEFT JOIN {agp_new} n ON n.id = o.id")
 add("strongest_link", "SRT-06 MAT-27 MAT-28", lambda v: C.strongest(C.counted_both_ways(v("alignments").where("ref1 <> ref2"), "ref1", "ref2").join(v("agp_new").select(F.col("id").alias("x")), "x", "left_anti").join(v("agp_new").select(F.col("id").alias("y")), "y", "left_semi"), "x", [F.desc("n"), F.col("y")]).select("x", "y", "n"),
     "SELECT x, y, n FROM (SELECT x, y, count(*) AS n, row_number() OVER (PARTITION BY x ORDER BY count(*) DESC, y) AS r FROM (SELECT ref1 AS x, ref2 AS y FROM {alignments} WHERE ref1 <> ref2 UNION ALL SELECT ref2, ref1 FROM {alignments} WHERE ref1 <> ref2) t WHERE x NOT IN (SELECT id FROM {agp_new}) AND y IN (SELECT id FROM {agp_new}) GROUP BY 1, 2) u WHERE r = 1")
-add("gc_content", "SCL-07 SRC-19", lambda v: v("sequences").select("chrom", F.round(S.gc_percent(F.col("seq")), 6).alias("gc")))
-add("gc_windows", "ASM-08", lambda v: I.make_windows(v("sequences").select("chrom", F.length("seq").cast("long").alias("size")), 100).join(v("sequences"), "chrom").select("chrom", "start", "stop", F.round(S.gc_percent(F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))), 6).alias("gc")))
+GC = lambda x: f"CASE WHEN length(regexp_replace({x}, '[Nn]', '', 'g')) > 0 THEN round(cast(length(regexp_replace({x}, '[^GCgc]', '', 'g')) AS double)*100/length(regexp_replace({x}, '[Nn]', '', 'g')), 6) ELSE -1.0 END"
+add("gc_content", "SCL-07 SRC-19", lambda v: v("sequences").select("chrom", F.round(S.gc_percent(F.col("seq")), 6).alias("gc")), "SELECT chrom, " + GC("seq") + " AS gc FROM {sequences}")
+add("gc_windows", "ASM-08", lambda v: ASM.gc_windows(v("sequences"), 1000).select("chrom", "start", "stop", F.round("gc", 6).alias("gc")),
+    "SELECT chrom, s AS start, least(s + 1000, length(seq)) AS stop, " + GC("substring(seq, s + 1, 1000)") + " AS gc FROM (SELECT chrom, seq, unnest(range(0, length(seq), 1000)) AS s FROM {sequences}) t")
 add("split_fasta", "SNK-13 SNK-05", lambda v: v("contigs").withColumn("before", F.sum("length").over(Window.partitionBy("grp").orderBy("id"))).select("id", "grp", F.floor(F.col("before") / 100000).cast("long").alias("part")), "SELECT id, grp, cast(floor(sum(length) OVER (PARTITION BY grp ORDER BY id)/100000) AS bigint) AS part FROM {contigs}")
 add("excluded_contigs", "FLT-06 FLT-11", lambda v: v("contigs").where(~F.col("id").rlike("ctg1|ctg2")).select("id"), "SELECT id FROM {contigs} WHERE NOT regexp_matches(id, 'ctg1|ctg2')")
-add("repeat_numbers", "FLT-13 WIN-02", lambda v: (lambda W: v("anchors").withColumn("new", (F.col("block") != F.lag("block", 1, "").over(W)).cast("int")).where("new = 1").select("line_no", "block"))(Window.partitionBy(F.floor(F.col("line_no") / 1000)).orderBy("line_no")),
-    "SELECT line_no, block FROM (SELECT line_no, block, lag(block, 1, '') OVER (PARTITION BY floor(line_no/1000) ORDER BY line_no) AS p FROM {anchors}) x WHERE block <> p")
+add("repeat_numbers", "FLT-13 WIN-02", lambda v: G.renumbered_runs(v("anchors").select("line_no", F.floor((F.col("line_no") + 7) / 13).alias("id")), "id").select("line_no", "new_id"),
+    "SELECT line_no, max(CASE WHEN id IS DISTINCT FROM before THEN line_no + 1 END) OVER (ORDER BY line_no) AS new_id FROM (SELECT line_no, floor((line_no + 7)/13) AS id, lag(floor((line_no + 7)/13)) OVER (ORDER BY line_no) AS before FROM {anchors}) x")
 add("repeat_groups", "FLT-14 SRC-18", lambda v: v("contigs").select("id", G.repeat_group(F.when(F.col("grp") == "g1", "LTR/Copia").when(F.col("grp") == "g2", "LINE").when(F.col("grp") == "g3", "DNA/hAT").when(F.col("grp") == "g4", "RC/Helitron").otherwise("Unknown")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
     "SELECT CASE WHEN grp IN ('g1', 'g2') THEN 'I' WHEN grp IN ('g3', 'g4') THEN 'II' ELSE 'other' END AS kind, count(*) AS n FROM {contigs} GROUP BY 1")
 add("anchored_duplicates", "ALL-09", lambda v: G.with_anchored_dups(v("alleles").where("slot <> 'D'"), v("anchors")),

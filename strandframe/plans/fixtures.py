@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,7 +94,7 @@ VIEWS: dict[str, str] = {
   FROM {part} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) levels
     """,
     "sequences": """
-        SELECT concat('S', cast(doc_id AS varchar(12))) AS chrom, translate(substring(upper(text), 1, 400), 'BDEFHIJKLMOPQRSUVWXYZ ', 'ACGTACGTACGTACGTACGTNN') AS seq FROM {documents}
+        SELECT concat('S', cast(doc_id AS varchar(12))) AS chrom, translate(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'BDEFHIJKLMOPQRSUVWXYZ ', 'ACGTACGTACGTACGTACGTNN') AS seq FROM {documents}
     """,
     "pixels": """
         SELECT chr1 AS chrom, least(b1, b2) AS bin1, greatest(b1, b2) AS bin2, count(*) AS n FROM (
@@ -125,8 +126,9 @@ def _names(sql: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", sql)
 
 
+@functools.lru_cache(maxsize=256)
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view, or a table of the folder, as a DataFrame."""
+    """A view, or a table of the folder, as a DataFrame; its text is parsed once a session."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in set(_names(VIEWS[name]))})

@@ -1,4 +1,4 @@
-"""Readers of genomic text formats: tab-separated, without header, gzip as it comes."""
+"""Readers of genomic text formats: tab-separated, without header. Files that end in .gz are unzipped as they are read, one task a file."""
 
 from __future__ import annotations
 
@@ -76,8 +76,11 @@ def repeats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str, without: list[str] = []) -> DataFrame:  # noqa: B006
-    """(chrom, description, seq); sequences whose names contain one of the parts in `without` are left out."""
-    r = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    """(chrom, description, seq); sequences whose names contain one of the parts in `without` are left out.
+
+    Records are parted by a > at the beginning of a line; one within a header is part of it.
+    """
+    r = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.length(F.trim("value")) > 0)
     head = F.split("value", "\n")[0]
     seq = F.regexp_replace(F.substring("value", F.length(head) + 1, F.length("value")), r"\s", "")
     rows = r.select(F.split(F.trim(head), r"\s+")[0].alias("chrom"), F.trim(head).alias("description"), seq.alias("seq"))
@@ -86,19 +89,73 @@ def fasta(spark: SparkSession, path: str, without: list[str] = []) -> DataFrame:
     return rows
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value): the lines of each file, from 0 on, in order.
+
+    Lines are numbered within the blocks that Spark reads, whose lengths are added up first, so a file may be split. The order
+    of blocks of a file is that of their starts.
+    """
+    block, start, value = F.input_file_name(), F.input_file_block_start(), F.col("value")
+    rows = spark.read.text(path).select(block.alias("file"), start.alias("start"), value, F.monotonically_increasing_id().alias("__id"))
+    low = rows.groupBy("file", "start").agg(F.min("__id").alias("low"), F.count(F.lit(1)).alias("n"))
+    # One row a block of a file.
+    base = low.select("file", "start", "low", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return rows.join(base, ["file", "start"]).select("file", (F.col("base") + F.col("__id") - F.col("low")).alias("line_no"), "value")
+
+
+def fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(file, read_no, name, seq, quality) of FASTQ files, four lines a read by their number, whatever the qualities begin with."""
+    lines = numbered_lines(spark, path).withColumn("read_no", F.floor(F.col("line_no") / 4)).withColumn("__k", F.col("line_no") % 4)
+    at = lambda k: F.max(F.when(F.col("__k") == k, F.col("value")))
+    reads = lines.groupBy("file", "read_no").agg(at(0).alias("name"), at(1).alias("seq"), at(3).alias("quality")).where("quality is not null")
+    return reads.withColumn("name", F.regexp_replace("name", "^@", ""))
+
+
 def fastq_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Reads and bases of a FASTQ file: every second of four lines, told by whole-file records."""
-    r = spark.read.option("lineSep", "\n@").text(path)
-    seq = F.split(F.regexp_replace("value", "^@", ""), "\n")[1]
-    return r.where(F.size(F.split("value", "\n")) >= 4).agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length(seq)).alias("bases"))
+    """Reads and bases of FASTQ files: the second of every four lines, by its number; nothing is shuffled but counts of blocks."""
+    seq = numbered_lines(spark, path).where("line_no % 4 = 1")
+    return seq.agg(F.count(F.lit(1)).alias("reads"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("bases"))
 
 
 def collinearity(spark: SparkSession, path: str) -> DataFrame:
-    """Gene pairs of a collinearity file: block and order from each row's own number."""
-    row = r"^\s*(\d+)-\s*(\d+):\s+(\S+)\s+(\S+)"
-    part = lambda k: F.regexp_extract("value", row, k)
-    rows = spark.read.text(path).where(F.col("value").rlike(row))
-    return rows.select(part(1).cast("long").alias("block"), part(2).cast("long").alias("nth"), part(3).alias("gene1"), part(4).alias("gene2"))
+    """Gene pairs of a collinearity file: block and order from each row's own number, with what the block's header says of it."""
+    row = r"^\s*(\d+)-\s*(\d+):\s+(\S+)\s+(\S+)(?:\s+(\S+))?"
+    head = r"^## Alignment (\d+): score=(\S+) e_value=(\S+) N=(\d+) (\S+)&(\S+) (plus|minus)"
+    text = spark.read.text(path)
+    part = lambda how, k: F.regexp_extract("value", how, k)
+    rows = text.where(F.col("value").rlike(row)).select(part(row, 1).cast("long").alias("block"), part(row, 2).cast("long").alias("nth"), part(row, 3).alias("gene1"), part(row, 4).alias("gene2"), part(row, 5).try_cast("double").alias("pair_e_value"))
+    heads = text.where(F.col("value").rlike(head)).select(part(head, 1).cast("long").alias("block"), part(head, 2).cast("double").alias("score"), part(head, 3).cast("double").alias("e_value"), part(head, 4).cast("long").alias("pairs"), part(head, 5).alias("chr1"), part(head, 6).alias("chr2"), F.when(part(head, 7) == "plus", "+").otherwise("-").alias("orientation"))
+    return rows.join(heads, "block", "left")
+
+
+def anchors(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, gene1, gene2, score, block) of anchor files; a line that begins with # starts a block, counted from 1."""
+    from ..operators.genes import numbered_blocks
+
+    f = F.split("value", r"\s+")
+    lines = numbered_blocks(numbered_lines(spark, path), ["file"])
+    return lines.where(F.size(f) >= 2).select("file", "line_no", f[0].alias("gene1"), f[1].alias("gene2"), F.try_element_at(f, F.lit(3)).alias("score"), "block")
+
+
+def contact_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(bins, pixels) as writers.pixels stores them."""
+    return spark.read.parquet(f"{path}/bins"), spark.read.parquet(f"{path}/pixels")
+
+
+def rename_list(spark: SparkSession, path: str) -> DataFrame:
+    """(old, new), one row an old name; the last line of a name counts."""
+    lines = numbered_lines(spark, path).select("line_no", F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") >= 2)
+    return lines.groupBy(F.col("f")[0].alias("old")).agg(F.max_by(F.col("f")[1], "line_no").alias("new"))
+
+
+def tandem(spark: SparkSession, path: str) -> DataFrame:
+    """(gene1, gene2) of a comma-separated file."""
+    return spark.read.schema("gene1 string, gene2 string").csv(path)
+
+
+def mcscanx_gff(spark: SparkSession, path: str) -> DataFrame:
+    """Genes on chromosomes; those on contigs named tig... go."""
+    return read(spark, path, "mcscanx_gff").where(~F.col("chrom").startswith("tig"))
 
 
 def stat(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -128,7 +185,7 @@ def tour(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, path: str) -> DataFrame:
-    """(grp, nth, contig) of lines group, number, contigs."""
+    """(grp, nth, contig) of lines group, number, contigs. By contig it is the table of contigs' groups."""
     f = F.split("value", "\t")
     return spark.read.text(path).where(~F.col("value").startswith("#")).select(f[0].alias("grp"), F.posexplode(F.split(F.trim(f[2]), r"\s+")).alias("nth", "contig"))
 
