@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import reuse_freed_memory
+
 #: Rows of a block of queries and of one of candidates, about.
 QUERIES, CANDIDATES = 2048, 8192
 #: Components of a product that float32 adds without error: 127 * 127 * 1024 < 2**24.
@@ -57,8 +59,11 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     ids, vectors = ids[keep], vectors[keep]
 
     norm_q, norm_v = np.sqrt((queries * queries).sum(1)), np.sqrt((vectors * vectors).sum(1))
-    q8, scale_q, long_q, lost_q = _rounded(queries / norm_q[:, None])
-    v8, scale_v, long_v, lost_v = _rounded(vectors / norm_v[:, None])
+    # Very large or small components are brought near 1 before their lengths are taken; scores are of the vectors as they are.
+    unit = lambda v: (lambda w: w / np.sqrt((w * w).sum(1))[:, None])(v / np.abs(v).max(1)[:, None])
+    q8, scale_q, long_q, lost_q = _rounded(unit(queries))
+    v8, scale_v, long_v, lost_v = _rounded(unit(vectors))
+    odd_q, odd_v = (~np.isfinite(n) | (n < 1e-150) for n in (norm_q, norm_v))
     out = []
     for a in range(0, len(queries), 256):
         b = slice(a, a + 256)
@@ -73,7 +78,10 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
         i, j = np.nonzero((near + error >= bound[:, None]) & ~own)
         for c in range(0, len(i), 1 << 16):
             p, r = i[c : c + (1 << 16)] + a, j[c : c + (1 << 16)]
-            score = (queries[p] * vectors[r]).sum(1) / (norm_q[p] * norm_v[r])
+            with np.errstate(all="ignore"):
+                score = (queries[p] * vectors[r]).sum(1) / (norm_q[p] * norm_v[r])
+            far = np.flatnonzero(odd_q[p] | odd_v[r])  # squares overflow or vanish: of the vectors at unit length instead
+            score[far] = (unit(queries[p[far]]) * unit(vectors[r[far]])).sum(1) if len(far) else 0.0
             out.append(pd.DataFrame({"q": query_ids[p], "v": ids[r], "s": score}))
     if not out:
         return []
@@ -88,7 +96,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     an id; vectors of different length are not compared. Of rows that repeat an id the one with the smallest vector stands.
     Other columns are ignored. Each candidate is sent once for each block of queries, each query once for each block of candidates.
     """
-    rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), is_query.alias("q"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").alias("v"), is_query.alias("q"))
     n, m = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0))).first()
     by_q, by_v = max(1, -(-m // QUERIES)), max(1, -(-n // CANDIDATES))
     of = lambda blocks, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)).cast("int")
@@ -97,13 +105,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     right = rows.select("vec_id", "v", F.lit(False).alias("q"), of(by_v, 2).alias("bv")).select("*", every(by_q).alias("bq"))
 
     def best(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.assign(n=t["v"].map(len), key=t["v"].map(tuple)).sort_values(["vec_id", "key"])
+        reuse_freed_memory()
+        t = t.assign(n=t["v"].map(len)).sort_values("vec_id", kind="stable")
+        again = t.duplicated(["q", "vec_id"], keep=False)
+        if again.any():  # only rows that repeat an id are compared component by component
+            some = t[again].assign(key=t["v"][again].map(tuple)).sort_values(["vec_id", "key"]).drop_duplicates(["q", "vec_id"])
+            t = pd.concat([t[~again], some.drop(columns="key")]).sort_values("vec_id", kind="stable")
         out = []
-        t = t.groupby("q", sort=False, group_keys=False)[["vec_id", "v", "q", "n"]].apply(lambda x: x.drop_duplicates("vec_id"))
         for _, same in t.groupby("n"):
             q, v = same[same["q"]], same[~same["q"]]
             if len(q) and len(v):
-                out += tile(q["vec_id"].to_numpy(), np.stack(q["v"]), v["vec_id"].to_numpy(), np.stack(v["v"]), k)
+                out += tile(q["vec_id"].to_numpy(), np.stack(q["v"]).astype(float), v["vec_id"].to_numpy(), np.stack(v["v"]).astype(float), k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

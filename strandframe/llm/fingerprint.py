@@ -17,6 +17,8 @@ WORDS = 5
 SCALE = 8
 #: Documents in a bucket of neighbouring ids, and buckets up to which their ids may be broadcast (24 bytes each).
 BUCKET_ROWS, BROADCAST_BUCKETS = 4096, 100_000
+#: Parts into which quantiles cut the ids.
+CUTS = 128
 MAX_HASH = 2**63 - 1
 
 
@@ -70,18 +72,20 @@ def as_text(a: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, fp, next_text, next_fp): each document beside the next in descending doc_id; after the last comes the first.
 
-    Ids fall into ranges of equal width, each of which is sorted by itself, so texts are shuffled once and no task
-    sees more than its ranges. The first document of each range is also what follows the last of the range above it;
-    those few are read once more by their ids. Rows of equal doc_id follow in order of text, null ids come last.
+    Quantiles of the ids cut them into CUTS parts, however the ids are spread, and each part into ranges of equal width, each of
+    which is sorted by itself, so texts are shuffled once and no task sees more than its ranges. The first document of each
+    range is also what follows the last of the range above it; those few are read once more by their ids. Rows of equal
+    doc_id follow in order of text, null ids come last.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    lo, hi = lo or 0, hi or 0
-    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_ROWS))
-    width = float(max(1, -(-(hi - lo + 1) // buckets)))
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(lo))) / F.lit(width)), F.lit(-1)).cast("long")
-    docs = docs.withColumn("bucket", bucket)
+    cuts, low, high, n = docs.agg(F.percentile_approx("doc_id", [k / CUTS for k in range(1, CUTS)], 10_000), F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    starts = sorted({low or 0, *(cuts or [])})
+    ranges = max(1, -(-n // (BUCKET_ROWS * CUTS)))
+    buckets = ranges * len(starts)
+    widths = [max(1, -(-(b - a) // ranges)) for a, b in zip(starts, [*starts[1:], (high or 0) + 1], strict=True)]
+    part = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("doc_id")))
+    one = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("part"))
+    docs = docs.withColumn("part", part).withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise((F.col("part") - 1) * ranges + F.floor((F.col("doc_id") - one(starts)) / one(widths)))).drop("part")
 
     # One row a range: its highest id, and the range above, whose last document it follows; the highest follows the lowest.
     tops = docs.groupBy("bucket").agg(F.max("doc_id").alias("top"))

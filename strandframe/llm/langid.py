@@ -8,7 +8,6 @@ model did not see: texts far less likely than those, and texts without a letter,
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, fresh, reuse_freed_memory
 
 ORDER = 5
 #: Documents of each language learned from, about (each is taken with the same chance, by a hash of its id); the share of them kept for calibration.
@@ -32,7 +31,6 @@ EVIDENCE = 24.0
 LEAST = 2
 START = 1
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-LETTER = re.compile(r"[^\W\d_]")
 CHUNK = 1 << 20
 #: Distinct n-grams whose costs a task keeps; beyond, it starts afresh.
 KEPT_GRAMS = 600_000
@@ -49,6 +47,11 @@ class Model:
     bound: float
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of Unicode's letter categories; numbers that look like letters are none."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points in lower case of all texts, each after ORDER - 1 start marks; and where each text's marks begin."""
     pad = chr(START) * (ORDER - 1)
@@ -220,13 +223,14 @@ def identify(docs: DataFrame, models: list[Model], made: tuple[str, str, str] =
             yield first, len(texts)
 
     def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reuse_freed_memory()
         models = shared.value
         costs = Costs(models)
         langs, bounds = np.array([m.lang for m in models], object), np.array([m.bound for m in models])
         for b in batches:
             texts = b["text"].tolist()
             lang, score, rejected = np.full(len(b), "und", object), np.zeros(len(b)), np.ones(len(b), bool)
-            letters = np.array([bool(t and LETTER.search(t)) for t in texts])
+            letters = np.array([has_letter(t) for t in texts])
             if len(models):
                 for first, last in chunks(texts):
                     e = entropies(costs, texts[first:last])
@@ -251,6 +255,10 @@ def classify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
 
 
 def reject(docs: DataFrame) -> DataFrame:
-    """docs without those that are rejected."""
+    """docs without those that are rejected, in their own columns, whatever those are called.
+
+    Null texts, empty ones and others without a letter go; repeated rows stay or go together; an empty table stays empty.
+    """
     models = fit(docs, fold("doc_id", 4) != 2)
-    return identify(docs, models, ("__lang", "__score", "__rejected")).where(~F.col("__rejected")).select(*docs.columns)
+    made = fresh(docs, "lang_found", "lang_score", "lang_rejected")
+    return identify(docs, models, tuple(made)).where(~F.col(made[2])).select(*docs.columns)

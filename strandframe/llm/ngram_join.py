@@ -4,12 +4,16 @@ Texts of equal sets form a class, which is joined once. Each class sends its shi
 every shingle's frequency (in how many classes it is) is counted, and those that more than one class has come back. A class
 that lacks a partner for more shingles than the threshold lets it miss can link with nothing and is done.
 
+A shingle that many classes of one batch of texts have is not listed there: the batch reports its number once, and every class
+takes it for as frequent as can be, so a shingle of all texts fills no bucket.
+
 The rest order their shingles from rare to frequent. A set of n that links with another misses at most t = n - ceil(J n) of
 its shingles, so a prefix of t + 1 has one that both have. Rare shingles of the prefix are indexed one by one. Frequent ones
 fall, by their hash, into parts; the prefix is extended until no choice of t misses can leave fewer than two common shingles
-in every part, and pairs of one part's shingles are indexed (``signatures``). Classes that share a signature are drawn
-together into groups, each group's sets are compared in tiles of bounded size, and every pair of a tile is verified exactly.
-A tile returns no more links than join its components, so copies are never listed pair by pair.
+in every part, and pairs of one part's shingles are indexed (``signatures``). Each class is first verified against one class
+of each signature that it has, a few times over by different choices; what that links needs no further look. Of signatures
+whose classes still lie in several components, the classes are compared in tiles of bounded size, every pair across
+components exactly. A tile returns no more links than join its components, so copies are never listed pair by pair.
 """
 
 from __future__ import annotations
@@ -23,16 +27,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-from .components import components
+from .common import checkpointed, join_one, reuse_freed_memory
+from ..operators.graph import components
 from .shingles import shingle_set
 
 #: Shingles that more classes have are frequent, and are indexed in pairs.
 FREQUENT = 64
-#: Documents' worth of shingles in a bucket; the most buckets; classes, and shingles, of a block of a tile.
-BUCKET_DOCS, MOST_BUCKETS, BLOCK_SETS, BLOCK_SHINGLES = 8000, 1 << 15, 512, 1 << 19
-#: Texts whose shingles are dealt together; shares into which each signature's classes are dealt; bits of a shingle's hash that are kept beside its bucket.
-TEXTS, SALTS, KEPT_BITS = 2500, 8, 48
+#: Documents' worth of shingles in a bucket; the most buckets, enough for 30 billion documents; classes of a block of a tile.
+BUCKET_DOCS, MOST_BUCKETS, BLOCK_SETS = 8000, 1 << 22, 512
+#: Texts whose shingles are dealt together; classes of them from which on a shingle is only reported; bits of a shingle's hash, at most, that are kept beside its bucket.
+TEXTS, HOT, KEPT_BITS = 2500, 100, 48
+#: The frequency of shingles that are as frequent as can be told.
+MOST = 65535
+#: Rounds in which each class is verified against one of each of its signatures.
+ROUNDS = 2
 #: Ids of kept documents up to which they are broadcast, 8 bytes each.
 BROADCAST_IDS = 4_000_000
 #: Products of a tile that are counted at once.
@@ -59,7 +67,7 @@ def _pack(keys: np.ndarray, sizes: np.ndarray, many: np.ndarray, values: np.ndar
     return head + (values & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (values >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
-def _unpack(bucket: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(bucket: int, blob: bytes, kept: int = KEPT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     k, v, whole = np.frombuffer(blob, "<i8", 3).tolist()
     kinds = [("<u8", k), ("<i4", k), ("<i4", k)] + ([("<u8", v), ("<u2", v)] if whole else [("<u4", v), ("<u2", v)])
     out, at = [], 24
@@ -68,7 +76,7 @@ def _unpack(bucket: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarra
         at += out[-1].nbytes
     if whole:
         return tuple(out)
-    values = np.uint64(bucket << KEPT_BITS) | out[4].astype(np.uint64) << np.uint64(32) | out[3]
+    values = np.uint64(bucket << kept) | out[4].astype(np.uint64) << np.uint64(32) | out[3]
     return *out[:3], values, np.zeros(0, "<u2")
 
 
@@ -108,6 +116,17 @@ def signatures(n: int, alone: int, values: np.ndarray, frequency: np.ndarray, pe
     return np.unique(np.concatenate(out))
 
 
+def _times(values: np.ndarray) -> np.ndarray:
+    """How often each element comes."""
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    starts = np.flatnonzero(np.append(len(v) > 0, v[1:] != v[:-1])[: len(v)])
+    times = np.diff(np.append(starts, len(v)))
+    out = np.empty(len(v), np.int64)
+    out[order] = np.repeat(times, times)
+    return out
+
+
 def _ranks(part: np.ndarray) -> np.ndarray:
     """How many earlier elements equal each."""
     order = np.argsort(part, kind="stable")
@@ -121,9 +140,11 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """CHOSEN rows: one a document (doc, n, key), and one a class that may link (n, key, its signatures and shared shingles)."""
     n_docs = docs.count()
     buckets = min(MOST_BUCKETS, 1 << max(6, math.ceil(math.log2(max(n_docs, 1) / BUCKET_DOCS + 1))))
-    shift = np.uint64(64 - KEPT_BITS - int(math.log2(buckets)))
+    kept = min(KEPT_BITS, 64 - int(math.log2(buckets)))
+    shift = np.uint64(64 - kept - int(math.log2(buckets)))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reuse_freed_memory()
         seen: set[int] = set()
         for b in (b.iloc[k : k + TEXTS] for b in batches for k in range(0, len(b), TEXTS)):
             rows, keys, sets = [], [], []
@@ -136,9 +157,17 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     keys.append(key)
                     sets.append(s)
             if sets:
-                sizes = np.array([len(s) for s in sets])
+                sizes, keys = np.array([len(s) for s in sets]), np.array(keys, np.uint64)
                 values, owner = np.concatenate(sets) >> shift, np.repeat(np.arange(len(sets)), sizes)
-                rows += [(to, None, 0, 0, part) for to, part in _messages((values >> np.uint64(KEPT_BITS)).astype(np.int64), owner, np.array(keys, np.uint64), sizes, values)]
+                hot = _times(values) >= HOT
+                if hot.any():  # straight to their classes; to the bucket, once, under a class of no shingles
+                    to = (keys % np.uint64(buckets)).astype(np.int64)[owner[hot]]
+                    rows += [(at, None, 0, 0, part) for at, part in _messages(to, owner[hot], keys, sizes, values[hot], np.full(hot.sum(), MOST, np.int64))]
+                    reported = np.unique(values[hot])
+                    none = np.zeros(len(reported), np.int64)
+                    rows += [(-1 - to, None, 0, 0, part) for to, part in _messages((reported >> np.uint64(kept)).astype(np.int64), none, np.zeros(1, np.uint64), np.zeros(1, np.int64), reported)]
+                    values, owner = values[~hot], owner[~hot]
+                rows += [(-1 - to, None, 0, 0, part) for to, part in _messages((values >> np.uint64(kept)).astype(np.int64), owner, keys, sizes, values)]
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     def by_bucket(batches: Iterator[pd.DataFrame], work) -> Iterator[pd.DataFrame]:
@@ -158,25 +187,28 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield from work(now, parts)
 
     def counted(now: int | None, parts) -> Iterator[pd.DataFrame]:
+        """Buckets of shingles have numbers below 0; what goes to a class's bucket already passes."""
         if now is None:
             yield parts
             return
-        keys, sizes, many, values, _ = (np.concatenate(x) for x in zip(*(_unpack(now, p) for p in parts), strict=True))
-        # A class that several tasks sent counts once.
+        if now >= 0:
+            yield pd.DataFrame([(now, None, 0, 0, part) for part in parts], columns=COLUMNS)
+            return
+        keys, sizes, many, values, _ = (np.concatenate(x) for x in zip(*(_unpack(-1 - now, p, kept) for p in parts), strict=True))
+        # Shingles under a class of size 0 are reports. A class that several tasks sent counts once.
+        reported = np.unique(values[np.repeat(sizes == 0, many)])
+        listed = np.repeat(sizes > 0, many)
+        keys, sizes, many, values = keys[sizes > 0], sizes[sizes > 0], many[sizes > 0], values[listed]
         unique, first, owner = np.unique(keys, return_index=True, return_inverse=True)
         sent = np.zeros(len(keys), bool)
         sent[first] = True
         use = np.repeat(sent, many)
         owner, values = np.repeat(owner, many)[use], values[use]
-        order = np.argsort(values, kind="stable")
-        v = values[order]
-        starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-        times = np.diff(np.append(starts, len(v)))
-        frequency = np.empty(len(v), np.int64)
-        frequency[order] = np.repeat(times, times)
+        frequency = np.minimum(_times(values), MOST)
+        frequency[np.isin(values, reported)] = MOST
         shared = frequency > 1
         if shared.any():
-            owner, values, frequency = owner[shared], values[shared], np.minimum(frequency[shared], 65535)
+            owner, values, frequency = owner[shared], values[shared], frequency[shared]
             to = (unique % np.uint64(buckets)).astype(np.int64)[owner]
             yield pd.DataFrame([(at, None, 0, 0, part) for at, part in _messages(to, owner, unique, sizes[first], values, frequency)], columns=COLUMNS)
 
@@ -186,20 +218,22 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
             return
         keys, sizes, many, values, frequency = (np.concatenate(x) for x in zip(*(_unpack(now, p) for p in parts), strict=True))
         unique, first, owner = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.bincount(owner, weights=many).astype(np.int64)
-        sizes = sizes[first]
+        sizes, owner = sizes[first], np.repeat(owner, many)
+        order = np.lexsort((values, owner))
+        owner, values, frequency = owner[order], values[order], frequency[order]
+        again = (owner[1:] == owner[:-1]) & (values[1:] == values[:-1])  # reported by a batch and listed, or reported by several
+        once = np.append(True, ~again)[: len(owner)]
+        owner, values, frequency = owner[once], values[once], frequency[once]
+        total = np.bincount(owner, minlength=len(unique))
         may = sizes - total <= np.array([misses(n, percent) for n in sizes.tolist()])
-        owner = np.repeat(owner, many)
         use = may[owner]
-        owner, values, frequency = owner[use], values[use], frequency[use]
-        order = np.argsort(owner, kind="stable")
-        values, frequency = values[order], frequency[order]
+        values, frequency = values[use], frequency[use]
         ends = np.cumsum(np.where(may, total, 0))
         rows = []
         for k in np.flatnonzero(may).tolist():
             a, b = int(ends[k] - total[k]), int(ends[k])
             found = signatures(int(sizes[k]), int(sizes[k] - total[k]), values[a:b], frequency[a:b], percent)
-            rows.append((None, int(sizes[k]), int(unique[k : k + 1].view(np.int64)[0]), found.view(np.int64), np.sort(values[a:b]).view(np.int64)))
+            rows.append((None, int(sizes[k]), int(unique[k : k + 1].view(np.int64)[0]), found.view(np.int64), values[a:b].view(np.int64)))
         if rows:
             yield pd.DataFrame(rows, columns=["doc", "n", "key", "signatures", "shared"])
 
@@ -228,9 +262,9 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def linked(sizes: np.ndarray, many: np.ndarray, values: np.ndarray, block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets whose Jaccard similarity reaches the threshold, as far as they join components: pairs across the two
-    blocks, or all pairs where there is one block. values: the sets' shared shingles one after another, `many` of each."""
+def linked(sizes: np.ndarray, many: np.ndarray, values: np.ndarray, label: np.ndarray, block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of different labels whose Jaccard similarity reaches the threshold, as far as they join components: pairs
+    across the two blocks, or all pairs where there is one block. values: the sets' shared shingles one after another, `many` of each."""
     n = len(sizes)
     owner = np.repeat(np.arange(n), many)
     order = np.argsort(values, kind="stable")
@@ -247,7 +281,7 @@ def linked(sizes: np.ndarray, many: np.ndarray, values: np.ndarray, block: np.nd
             x, y = members[c : c + step][:, i].ravel(), members[c : c + step][:, j].ravel()
             common += np.bincount(np.minimum(x, y) * n + np.maximum(x, y), minlength=n * n).reshape(n, n).astype(np.int32)
     a, b = np.nonzero(100 * common.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - common))
-    use = a < b
+    use = (a < b) & (label[a] != label[b])
     if (block != block[0]).any():
         use &= block[a] != block[b]
     a, b = a[use], b[use]
@@ -255,46 +289,93 @@ def linked(sizes: np.ndarray, many: np.ndarray, values: np.ndarray, block: np.nd
     return a[keep], b[keep]
 
 
-def links(chosen: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between classes that join the components of the whole join."""
-    sets = chosen.where(F.col("shared").isNotNull())
+def _shared_signatures(sets: DataFrame) -> DataFrame:
+    """(key, signature) of signatures that several classes have; of those that the same classes have, one."""
     index = sets.select("key", F.explode("signatures").alias("signature"))
-    first = index.groupBy("signature").agg(F.min("key").alias("first"), F.max("key").alias("last")).where(F.col("first") != F.col("last"))
-    # A signature that very many classes have is joined in several shares.
-    salted = index.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(41)), F.lit(SALTS)))
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    near = salted.join(first, ["signature", "salt"]).where(F.col("key") != F.col("first")).select(F.col("key").alias("a"), F.col("first").alias("b"))
-    groups = components(near)
-
-    grouped = sets.select("key", "n", "shared").join(groups.select(F.col("node").alias("key"), F.col("label").alias("group")), "key")
-    size = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.size("shared").cast("long")).alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    grouped = grouped.join(size.select("group", blocks.alias("blocks")), "group").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    tiles = grouped.select("key", "n", "shared", "group", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = tiles.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "n", "shared", "block")
+    # Classes are summed up by their number and two sums of their hashes.
+    of = index.groupBy("signature").agg(F.count(F.lit(1)).alias("classes"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key", F.lit(43))).alias("y")).where("classes > 1")
+    once = of.groupBy("classes", "x", "y").agg(F.min("signature").alias("signature")).select("signature")
+    return checkpointed(join_one(index, once, "signature", by="key").select("key", "signature"))
+
+
+def _labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """rows with the label of their key's component, which is its own key until it has links."""
+    if found is None:
+        return rows.withColumn("label", F.col("key"))
+    return rows.join(found.select(F.col("node").alias("key"), F.col("label").alias("__l")), "key", "left").withColumn("label", F.coalesce("__l", "key")).drop("__l")
+
+
+def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), one of each a, whose sets' similarity reaches the threshold."""
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("shared").alias(f"s{c}"))
+    seconds = side("b").join(near.select("b").distinct(), "b", "left_semi")
+    both = join_one(near.join(side("a"), "a"), seconds, "b", by="a").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+
+def _tiles(sets: DataFrame, index: DataFrame) -> DataFrame:
+    """(tile, i, j, key, n, shared, label, block): classes of the signatures that are still open, dealt so that all pairs of a
+    signature meet.
+
+    Signatures that share classes make a group. A group that fits one tile is one, so each of its sets is sent once; in
+    larger groups each signature is dealt by itself, in blocks, and each pair of blocks is a tile.
+    """
+    first = index.groupBy("signature").agg(F.min("key").alias("b"))
+    groups = components(join_one(index, first, "signature", by="key").where("key <> b").select(F.col("key").alias("a"), "b"))
+    of = index.select("key", "label").distinct().join(groups.select(F.col("node").alias("key"), F.col("label").alias("tile")), "key")
+    size = of.groupBy("tile").agg(F.count(F.lit(1)).alias("classes"))
+    of = join_one(of, size, "tile", by="key")
+    whole = of.where(F.col("classes") <= BLOCK_SETS).select("tile", F.lit(0).alias("i"), F.lit(0).alias("j"), "key", "label", F.lit(0).alias("block"))
+    large = index.join(of.where(F.col("classes") > BLOCK_SETS).select("key"), "key", "left_semi")
+    blocks = large.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
+    large = join_one(large, blocks, "signature", by="key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select(F.col("signature").alias("tile"), (1 + F.least("block", "other")).alias("i"), (1 + F.greatest("block", "other")).alias("j"), "key", "label", "block")
+    return whole.unionByName(large).join(sets.select("key", "n", "shared"), "key")
+
+
+def links(chosen: DataFrame, percent: int) -> DataFrame:
+    """(node, label): the components of the links between classes."""
+    sets = chosen.where(F.col("shared").isNotNull()).select("key", "n", "shared", "signatures")
+    index = _shared_signatures(sets)
+    pairs, found = None, None
+    for r in range(ROUNDS):
+        open_ = _labelled(index, found)
+        order = F.xxhash64("key", F.lit(61 + r))
+        pivot = open_.groupBy("signature").agg(F.min(F.struct(order.alias("o"), "key", "label")).alias("p"))
+        near = join_one(open_, pivot, "signature", by="key").where(F.col("label") != F.col("p.label"))
+        near = near.groupBy(F.col("key").alias("a")).agg(F.min("p").alias("p")).select("a", F.col("p.key").alias("b"))
+        got = checkpointed(_verified(near, sets, percent))
+        pairs = got if pairs is None else pairs.unionByName(got)
+        found = components(pairs)
+
+    open_ = _labelled(index, found)
+    several = open_.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("signature")
+    tiles = _tiles(sets, checkpointed(join_one(open_, several, "signature", by="key").select("key", "signature", "label")))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Tiles come one after another."""
         now, held = None, []
 
         def done() -> pd.DataFrame:
-            key, n, shared, block = zip(*held, strict=True)
-            a, b = linked(np.array(n, np.int64), np.array([len(s) for s in shared]), np.concatenate(shared), np.array(block), percent)
+            key, n, shared, label, block = zip(*held, strict=True)
+            a, b = linked(np.array(n, np.int64), np.array([len(s) for s in shared]), np.concatenate(shared), np.array(label), np.array(block), percent)
             key = np.array(key)
             return pd.DataFrame({"a": key[a], "b": key[b]})
 
         for t in batches:
-            for group, i, j, key, n, shared, block in t.itertuples(index=False):
-                if (group, i, j) != now:
+            for tile, i, j, key, n, shared, label, block in t[["tile", "i", "j", "key", "n", "shared", "label", "block"]].itertuples(index=False):
+                if (tile, i, j) != now:
                     if len(held) > 1:
                         yield done()
-                    now, held = (group, i, j), []
-                held.append((key, n, np.asarray(shared), block))
+                    now, held = (tile, i, j), []
+                held.append((key, n, np.asarray(shared), label, block))
         if len(held) > 1:
             yield done()
 
     tasks = max(int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return tiles.repartition(tasks, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInPandas(verify, "a long, b long")
+    rest = tiles.repartition(tasks, "tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInPandas(verify, "a long, b long")
+    return components(pairs.unionByName(rest))
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -306,11 +387,13 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """
     chosen = checkpointed(candidates(docs, words, percent))
     rows = chosen.where(F.col("shared").isNull()).select(F.col("doc").cast("long").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "key")
-    found = components(links(chosen, percent))
+    found = links(chosen, percent)
     classes = rows.where(F.col("n_shingles") > 0).groupBy("key").agg(F.min("doc_id").alias("first"))
-    classes = classes.join(found.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    smallest = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = classes.join(smallest, "label").select("key", "component_id")
+    # Only classes with links meet their component's smallest id; of a large component in several tasks.
+    several = checkpointed(classes.join(found.select(F.col("node").alias("key"), "label"), "key"))
+    smallest = several.groupBy("label").agg(F.min("first").alias("least"))
+    several = join_one(several, smallest, "label", by="key").select("key", "least")
+    classes = classes.join(several, "key", "left").select("key", F.coalesce("least", "first").alias("component_id"))
     rows = rows.join(classes, "key", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 LOCAL, NAME = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: kind: (a text that has a span has this, expression, score, score with a context word nearby, context words)
 KINDS = {
@@ -25,6 +27,8 @@ KINDS = {
 BASE = ("email", "ip", "card", "phone")
 #: Code points before a span in which context words count, and the score that a span of an added kind needs.
 CONTEXT, LEAST = 40, 0.5
+#: Items whose array grows one by one; code points of a block of text.
+CHUNK, BLOCK = 64, 4096
 #: Parts matches from the rest; a text's own ones are replaced by MARK_2, which no expression matches either.
 MARK, MARK_2 = "\u0001", "\u0002"
 SPAN = "struct<start:int,rank:int,kind:string,stop:int,value:string>"
@@ -74,18 +78,46 @@ def _confirmed(kind: str):
     return lambda span: _valid(kind, span["value"])
 
 
+def scanned(items: Column, value, combine, emit, out: str) -> Column:
+    """emit(what combine makes of the values of all earlier items, item) of each item: an array of type `out`.
+
+    Items are taken by CHUNK, whose values are combined first, so that an array grows one by one within a chunk only.
+    """
+    empty = F.array().cast(f"array<{out}>")
+
+    def within(c: Column, base: Column) -> Column:
+        step = lambda a, x: F.struct(combine(a["at"], value(x)).alias("at"), F.concat(a["out"], F.array(emit(a["at"], x))).alias("out"))
+        return F.aggregate(c, F.struct(base.alias("at"), empty.alias("out")), step, lambda a: a["out"])
+
+    def by_chunks(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: combine(a, value(x))))
+        bases = F.aggregate(totals, F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(combine(F.element_at(a, -1), t))))
+        return F.flatten(F.transform(F.array(bases), lambda b: F.flatten(F.transform(chunks, lambda c, i: within(c, F.get(b, i))))))
+
+    def cut(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / CHUNK).cast("int")), lambda c: F.slice(p, c * CHUNK + 1, CHUNK))
+
+    # Arrays are bound once, as the variables of one-element transforms.
+    chunks = F.flatten(F.transform(F.array(items), cut))
+    return F.flatten(F.transform(F.array(chunks), by_chunks))
+
+
 def _proposed(text: Column, kind: str) -> Column:
     """Spans of a kind that its expression proposes: array of SPAN."""
     hint, pattern, *_ = KINDS[kind]
-    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    first = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(a: Column, p: Column) -> Column:
-        stop = a["at"] + F.length(p)
-        span = F.struct(a["at"].alias("start"), F.lit(list(KINDS).index(kind)).alias("rank"), F.lit(kind).alias("kind"), stop.alias("stop"), p.alias("value"))
-        return F.struct((a["i"] + 1).alias("i"), stop.alias("at"), F.when(a["i"] % 2 == 1, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+    # Even parts lie between matches, odd ones are matches.
+    def pairs(p: Column) -> Column:
+        both = F.zip_with(F.filter(p, lambda x, i: i % 2 == 0), F.filter(p, lambda x, i: i % 2 == 1), lambda gap, x: F.struct(F.length(gap).alias("gap"), x.alias("value")))
+        return F.filter(both, lambda x: x["value"].isNotNull())
 
-    return F.when(text.rlike(hint), F.aggregate(parts, first, step, lambda a: a["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def span(before: Column, x: Column) -> Column:
+        start = before + x["gap"]
+        return F.struct(start.alias("start"), F.lit(list(KINDS).index(kind)).alias("rank"), F.lit(kind).alias("kind"), (start + F.length(x["value"])).alias("stop"), x["value"].alias("value"))
+
+    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    found = scanned(F.flatten(F.transform(F.array(parts), pairs)), lambda x: x["gap"] + F.length(x["value"]), lambda a, x: a + x, span, SPAN)
+    return F.when(text.rlike(hint), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _score(text: Column, s: Column) -> Column:
@@ -98,17 +130,16 @@ def _score(text: Column, s: Column) -> Column:
 def with_spans(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
     """docs with all confirmed spans of each whole text: array of (start, rank, kind, stop, value, score) by start, then kind.
 
-    Null texts count as empty and have none.
+    Null texts count as empty and have none. A column called `out` is replaced; others stay, whatever they are called.
     """
-    safe = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, MARK_2)
-    docs = docs.withColumn("__safe", safe)
-    for kind in KINDS:
-        docs = docs.withColumn(f"__{kind}", F.filter(_proposed(F.col("__safe"), kind), _confirmed(kind)))
-    found = reduce(F.concat, [F.col(f"__{k}") for k in KINDS])
-    docs = docs.withColumn("__all", F.sort_array(found)).drop(*[f"__{k}" for k in KINDS])
-    scored = F.transform("__all", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["value"].alias("value"), _score(F.col("__safe"), s).alias("score")))
+    columns = [c for c in docs.columns if c != out]
+    safe, every, *by_kind = fresh(docs, "pii_safe", "pii_all", *[f"pii_{k}" for k in KINDS])
+    docs = docs.withColumn(safe, F.translate(F.coalesce(F.col(text), F.lit("")), MARK, MARK_2))
+    docs = docs.withColumns({name: F.filter(_proposed(F.col(safe), kind), _confirmed(kind)) for name, kind in zip(by_kind, KINDS, strict=True)})
+    docs = docs.withColumn(every, F.sort_array(reduce(F.concat, map(F.col, by_kind)))).drop(*by_kind)
+    scored = F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["value"].alias("value"), _score(F.col(safe), s).alias("score")))
     kept = F.filter(scored, lambda s: (s["rank"] < len(BASE)) | (s["score"] >= LEAST))
-    return docs.withColumn(out, F.when(F.size("__all") > 0, kept).otherwise(F.filter(scored, lambda s: F.lit(False)))).drop("__safe", "__all")
+    return docs.select(*columns, F.when(F.size(every) > 0, kept).otherwise(F.filter(scored, lambda s: F.lit(False))).alias(out))
 
 
 def _joined(spans: Column) -> Column:
@@ -116,7 +147,8 @@ def _joined(spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Counts and spans of personal data per document. Null and empty texts have none; repeated rows give repeated rows; other columns are ignored."""
+    """Counts and spans of personal data per document. Null and empty texts have none; texts of any length are searched whole;
+    repeated rows give repeated rows, an empty table none; other columns are ignored."""
     rows = with_spans(docs.select("doc_id", "text")).drop("text")
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("pii_spans", lambda s: s["rank"] < len(BASE))
@@ -124,16 +156,32 @@ def find(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *[count(k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii_spans")).alias("spans"), scores.alias("scores"))
 
 
+def _between(blocks: Column, a: Column, b: Column) -> Column:
+    """The code points from a to b of a text given in blocks of BLOCK."""
+    i, j = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+    part = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+    begin = (F.pmod(a, F.lit(BLOCK)) + 1).cast("int")
+    across = F.concat(F.substring(part(i), begin, F.lit(BLOCK)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(part(j), F.lit(1), F.pmod(b, F.lit(BLOCK)).cast("int")))
+    return F.when(i == j, F.substring(part(i), begin, (b - a).cast("int"))).otherwise(across)
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span in text replaced by its kind in brackets; overlapping spans become one, named after the first. Null texts stay null."""
-    columns = docs.columns
-    rows = with_spans(docs)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        apart = s["start"] >= a["at"]
-        before = F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"])
-        return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.when(apart, F.concat(a["out"], before, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(a["out"]).alias("out"))
-
-    text = F.aggregate("pii_spans", first, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return rows.withColumn("text", F.when(F.size("pii_spans") > 0, text).otherwise(F.col("text"))).select(*columns)
+    """docs with each span in text replaced by its kind in brackets; overlapping spans become one, named after the first.
+
+    Null texts stay null; other columns stay as they are, whatever they are called. The text is cut into blocks once, from which
+    what lies between spans is taken.
+    """
+    (made,) = fresh(docs, "pii_spans")
+    rows = with_spans(docs, out=made)
+    out = "struct<before:int,start:int,stop:int,kind:string>"
+    emit = lambda before, s: F.struct(before.alias("before"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))
+    seen = scanned(F.col(made), lambda s: s["stop"], F.greatest, emit, out)
+    blocks = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def rewritten(b: Column) -> Column:
+        apart = F.filter(seen, lambda s: s["start"] >= s["before"])
+        pieces = F.transform(apart, lambda s: F.concat(_between(b, s["before"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.concat(F.array_join(pieces, ""), _between(b, F.array_max(F.transform(made, lambda s: s["stop"])), F.length("text")))
+
+    text = F.get(F.transform(F.array(blocks), rewritten), F.lit(0))
+    return rows.withColumn("text", F.when(F.size(made) > 0, text).otherwise(F.col("text"))).select(*docs.columns)

@@ -17,12 +17,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held
+from .common import fold, fresh, held, reuse_freed_memory
 
 BITS = 22
 STEM = 4
 #: Labelled documents learned from, at most about so many (each is taken with the same chance, by a hash of its id).
-SAMPLE = 18_000
+SAMPLE = 40_000
 #: Rate, its softening, L1, L2 of FTRL-proximal; passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 6.0, 1.0, 5
 TOKEN = re.compile(r"[^\W_]+")
@@ -129,6 +129,7 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     schema = docs.drop(out).schema.add(out, "double")
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reuse_freed_memory()
         w = shared.value.dense()
         for b in batches:
             s = np.array([w[features(t)].sum(dtype=np.float64) for t in b["text"]])
@@ -148,6 +149,11 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without those that score as toxic."""
+    """docs without those that score as toxic, in their own columns, whatever those are called.
+
+    Null and empty texts have the score of the bias alone, which is that of a clean text; repeated rows stay or go together; an
+    empty table stays empty.
+    """
     model = train(docs, labels, fold("doc_id", 5) != 0)
-    return score(docs, model, "__score").where(F.col("__score") < threshold).select(*docs.columns)
+    (made,) = fresh(docs, "toxic_score")
+    return score(docs, model, made).where(F.col(made) < threshold).select(*docs.columns)

@@ -14,8 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandframe.llm import ann, attention, bpe, bpe_codec, components, fingerprint, langid, lm, ngram_join, packing, pii, registry, repair, shingles, toxicity
+from strandframe.llm import ann, attention, bpe, bpe_codec, fingerprint, langid, lm, ngram_join, packing, pii, registry, repair, shingles, toxicity
 from strandframe.llm.common import fold
+from strandframe.operators import graph
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -99,7 +100,7 @@ def test_splitting_as_the_tokenizers_do():
             assert np.frombuffer(words.encode(x), "<u2").tolist() == whole.encode(x, add_special_tokens=False).ids, repr(x)
 
 
-@pytest.mark.parametrize("limit", [bpe_codec.BROADCAST_BYTES, -1])
+@pytest.mark.parametrize("limit", [bpe_codec.BROADCAST_BYTES, 40_000, -1])
 def test_codec(spark, odd, docs, limit):
     whole = Tokenizer.from_file(BYTE)
     for d in (odd, docs.limit(60)):
@@ -226,7 +227,7 @@ def test_windows_score_each_token_once():
     assert (y[real] == np.concatenate(ids)).all() and (x[0, : attention.OVERLAP + 1] == 999).all()
 
 
-@pytest.mark.parametrize("limit", [lm.BROADCAST_BYTES, -1])
+@pytest.mark.parametrize("limit", [lm.BROADCAST_BYTES, 20_000, -1])
 def test_lm_base(spark, odd, docs, limit):
     d = docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text").limit(80).union(odd.select("doc_id", "text").distinct())
     rows = [(r["doc_id"], shingles.words(r["text"])) for r in d.collect()]
@@ -322,7 +323,7 @@ def test_one_of_each(spark, odd, docs):
 def test_components(spark):
     g = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in g.integers(-200, 200, (260, 2))]
-    label = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     groups = defaultdict(set)
     for a, b in edges:
         if a != b:
@@ -365,6 +366,7 @@ def test_agrees_with_sql(spark, sf, name):
 
 
 def test_lm_learns_from_all_training_documents(spark, docs):
+    docs = docs.withColumn("ids", F.encode("text", "utf-8"))
     ids = Counter(r["doc_id"] for r in docs.select("doc_id").collect())
     for n in (1_000, 3_000, 6_000, 200_000, 10_000_000):
         seen = {r["doc_id"] for k in range(lm.ROUNDS) for r in lm._share(docs, n, k).collect()}
@@ -378,8 +380,10 @@ def test_lm_groups_ids_by_neighbours_in_all_documents(spark, monkeypatch):
     monkeypatch.setattr(lm, "classes", lambda counts, sums: seen.update(counts=counts, sums=sums))
     d = spark.createDataFrame([(k, f"alpha beta gamma {k}") for k in range(3000)], "doc_id long, text string").repartition(7)
     vocabulary = bpe.read_vocabulary(BYTE)
-    counts = lm.id_counts(lm.word_counts(d), vocabulary)
-    lm.grouped(d, vocabulary, counts)
+    texts = lm.encoded(d.select("doc_id", F.lit(True).alias("learn"), F.lit(None).cast("string").alias("copy"), "text"), vocabulary, lm.Unigrams(np.zeros(0, np.uint64), np.zeros(0), 1, 1)).cache()
+    counts = lm.id_counts(texts, bpe.loaded(vocabulary).tokenizer.get_vocab_size())
+    lm.grouped(texts, counts)
+    assert counts[-1] == 3000
     assert (seen["sums"][:, -1] == counts).all()
 
 
