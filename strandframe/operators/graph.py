@@ -64,8 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
             labels = parent.select("node", F.col("parent").alias("label"))
         else:
             moved = join_one(labels, parent.select(F.col("node").alias("label"), "parent"), "label", "left", "node")
-            labels = moved.select("node", F.coalesce("parent", "label").alias("label"))
-        labels = checkpointed(labels)
+            labels = checkpointed(moved.select("node", F.coalesce("parent", "label").alias("label")))
         to_a, to_b = (parent.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}")) for c in "ab")
         moved = join_one(join_one(edges, to_a, "a", by="b"), to_b, "b", by="a")
         edges = moved.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).where(F.col("a") != F.col("b")).distinct()
