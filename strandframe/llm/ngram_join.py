@@ -40,7 +40,7 @@ TEXTS, HOT, KEPT_BITS = 2500, 100, 48
 #: The frequency of shingles that are as frequent as can be told.
 MOST = 65535
 #: Rounds in which each class is verified against one of each of its signatures.
-ROUNDS = 2
+ROUNDS = 1
 #: Ids of kept documents up to which they are broadcast, 8 bytes each.
 BROADCAST_IDS = 4_000_000
 #: Products of a tile that are counted at once.
