@@ -76,7 +76,7 @@ def test_features_turn_with_their_contig(spark):
 
 
 def test_text_formats(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">s1 first\nACGT\nAC\n>tig2\nGG\n")
+    (tmp_path / "a.fa").write_text(">s1 first a->b\nACGT\nAC\n>tig2\nGG\n")
     assert {(r["chrom"], r["seq"]) for r in readers.fasta(spark, str(tmp_path / "a.fa")).collect()} == {("s1", "ACGTAC"), ("tig2", "GG")}
     assert readers.fasta(spark, str(tmp_path / "a.fa"), ["tig"]).count() == 1
     (tmp_path / "x.agp").write_text("#c\nChr1\t1\t10\t1\tW\tctg1\t1\t10\t+\nChr1\t11\t20\t2\tU\t10\tcontig\tyes\tmap\n")
@@ -84,8 +84,9 @@ def test_text_formats(spark, tmp_path):
     assert placed.first()["id"] == "ctg1" and gaps.first()["length"] == 10
     (tmp_path / "t.tour").write_text(">old\na+ b-\n>new\nb+ a-\n")
     assert [tuple(r) for r in readers.tour(spark, str(tmp_path / "t.tour")).collect()] == [(0, "b", "+"), (1, "a", "-")]
-    (tmp_path / "r.fq").write_text("@r1\nACGT\n+\nIIII\n@r2\nAC\n+\nII\n")
-    assert tuple(readers.fastq_counts(spark, str(tmp_path / "r.fq")).first()) == (2, 6)
+    (tmp_path / "r.fq").write_text("@r1\nACGT\n+\n@III\n@r2\nAC\n+\n@I\n@r3\nACG\n+\nIII\n")
+    assert tuple(readers.fastq_counts(spark, str(tmp_path / "r.fq")).first()) == (3, 9)
+    assert sorted((r["name"], r["seq"], r["quality"]) for r in readers.fastq(spark, str(tmp_path / "r.fq")).collect())[0] == ("r1", "ACGT", "@III")
     (tmp_path / "m.txt").write_text("1\t1\t3\n1\t2\t4\n")
     assert readers.sparse_matrix(spark, str(tmp_path / "m.txt")).agg(F.min("bin1")).first()[0] == 0
     writers.tsv(spark.createDataFrame([("a", None, ["x", "y"])], "a string, b string, c array<string>"), str(tmp_path / "out"))
@@ -107,3 +108,65 @@ def test_alleles_that_share_genes_are_folded(spark):
     d = spark.createDataFrame([("c", "a", "g1"), ("c", "a", "g2"), ("c", "b", "g2"), ("c", "b", "g3"), ("c", "b", "g4"), ("c", "d", "g9"), ("e", "z", "g1")], "chrom string, allele_id string, gene string")
     got = {tuple(r) for r in genes.fold_shared(d).collect()}
     assert got == {("c", "b", "g1"), ("c", "b", "g2"), ("c", "b", "g3"), ("c", "b", "g4"), ("c", "d", "g9"), ("e", "z", "g1")}
+
+
+def test_pairs_meet_at_one_level(spark):
+    a = spark.createDataFrame([("c", k * 100, k * 100 + 60, k) for k in range(400)], "chrom string, start long, stop long, id long")
+    a = a.union(spark.createDataFrame([("c", 0, 40_000, 1000), ("c", 5, 9_000, 1001)], a.schema))
+    b = a.select([F.col(c).alias(f"b_{c}") for c in a.columns])
+    met = intervals.bucket_pairs(a, b, 16)
+    assert met.where("__level > 0 and __la = 0 and __lb = 0").count() == 0  # short ones never meet in wide buckets
+    rows = [tuple(r) for r in a.collect()]
+    want = sorted((x[3], y[3]) for x in rows for y in rows if x[1] < y[2] and x[2] > y[1])
+    assert sorted((r["id"], r["b_id"]) for r in intervals.overlap_join(a, a, width=16).collect()) == want
+
+
+def test_logarithmic_expectation_counts_empty_pairs(spark):
+    p = spark.createDataFrame([("c", 0, 0, 4), ("c", 0, 3, 2)], "chrom string, bin1 long, bin2 long, n long")
+    got = {r["d"]: r["expected"] for r in contacts.expected_by_log_bins(p, 6).collect()}
+    low, high = next(x for x in contacts.log_bins(6) if x[0] <= 3 < x[1])
+    assert abs(got[0] - 4 / 6) < 1e-12 and abs(got[3] - 2 / sum(6 - d for d in range(low, high))) < 1e-12
+
+
+def test_runs_of_lines_cross_ranges(spark, monkeypatch):
+    from strandframe.operators import genes
+
+    monkeypatch.setattr(genes._parts, "__defaults__", (10,))
+    d = spark.createDataFrame([(k, "x" if 5 <= k < 27 else "y") for k in range(40)], "line_no long, v string")
+    assert {r["line_no"] for r in genes.without_repeats(d, "v").collect()} == {0, 5, 27}
+    assert {(r["line_no"], r["new_id"]) for r in genes.renumbered_runs(d, "v").collect()} == {(k, 1 if k < 5 else 6 if k < 27 else 28) for k in range(40)}
+
+
+def test_anchors_and_collinearity(spark, tmp_path):
+    (tmp_path / "a.anchors").write_text("###\ng1\tg2\t100\ng3\tg4\t90\n###\ng5\tg6\t80\n")
+    assert sorted((r["gene1"], r["block"]) for r in readers.anchors(spark, str(tmp_path / "a.anchors")).collect()) == [("g1", 1), ("g3", 1), ("g5", 2)]
+    (tmp_path / "c.collinearity").write_text("## Alignment 0: score=250.0 e_value=1e-9 N=2 Chr1&Chr2 minus\n  0-  0:\tg1\tg2\t1e-5\n  0-  1:\tg3\tg4\t0\n")
+    got = sorted((r["block"], r["nth"], r["gene1"], r["score"], r["orientation"]) for r in readers.collinearity(spark, str(tmp_path / "c.collinearity")).collect())
+    assert got == [(0, 0, "g1", 250.0, "-"), (0, 1, "g3", 250.0, "-")]
+
+
+@pytest.mark.parametrize(("kind", "line", "want"), [
+    ("bed4", "c\t1\t5\tg", ("c", 1, 5, "g")),
+    ("bedgraph", "c\t1\t5\t0.5", ("c", 1, 5, 0.5)),
+    ("bg5", "c\t1\t5\t0.5\t-1", ("c", 1, 5, 0.5, -1.0)),
+    ("tad", "c\t1\t5\t2", ("c", 1, 5, 2)),
+    ("mcscanx_gff", "c\tg\t1\t5", ("c", "g", 1, 5)),
+    ("valid_pairs", "r\tc\t1\t+\td\t9\t-\t300\tF1\tF2", ("r", "c", 1, "+", "d", 9, "-", 300, "F1", "F2")),
+    ("blast6", "q\ts\t99.5\t100\t1\t0\t1\t100\t5\t104\t1e-9\t180", ("q", "s", 99.5, 100, 1, 0, 1, 100, 5, 104, 1e-9, 180.0)),
+    ("stat", "Total_pairs_processed\t12", ("Total_pairs_processed", 12)),
+    ("mosdepth", "c\t1\t5\tg\t3.5", ("c", 1, 5, "g", 3.5)),
+])
+def test_tables_are_read(spark, tmp_path, kind, line, want):
+    (tmp_path / "f").write_text("#comment\n" + line + "\n")
+    assert tuple(readers.read(spark, str(tmp_path / "f"), kind).first()) == want
+
+
+def test_p_values_share_rates_across_parts(spark):
+    values = [0.0] * 40 + [k / 997 for k in range(1, 400)]
+    d = spark.createDataFrame([(f"g{k}", v) for k, v in enumerate(values)], "gene string, p double")
+    got = {r["p"]: r["fdr"] for r in stats.false_discovery(d, "p", "gene").collect()}
+    order, m, least, want = sorted(values), len(values), 1.0, {}
+    for rank in range(m, 0, -1):
+        least = min(least, order[rank - 1] * m / rank)
+        want[order[rank - 1]] = least
+    assert len(got) == len(want) and all(abs(got[p] - want[p]) < 1e-12 for p in want)
