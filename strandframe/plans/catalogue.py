@@ -298,7 +298,7 @@ add("agp_to_assembly", "SNK-03", lambda v: ASM.signed_order(v("agp_old")), "WITH
 add("tour_neighbours", "WIN-05 MAT-28", lambda v: ASM.neighbours(v("agp_old")), "SELECT chrom, id, lag(id) OVER (PARTITION BY chrom ORDER BY number) AS before, lead(id) OVER (PARTITION BY chrom ORDER BY number) AS after FROM {agp_old}")
 add("partition_balance", "AGG-18", lambda v: rounded(ASM.balance(v("contigs"), "grp", "length"), "score"), "SELECT round(cast(max(l) - min(l) AS double)/cast(sum(l) AS double), 6) AS score FROM (SELECT grp, sum(length) AS l FROM {contigs} GROUP BY grp) x")
 add("layout_changes", "ASM-05", lambda v: v("agp_old").select("id", F.col("chrom").alias("old_chrom"), F.col("number").alias("old_number")).join(v("agp_new").select("id", F.col("chrom").alias("new_chrom"), F.col("number").alias("new_number")), "id", "left"), "SELECT o.id, o.chrom AS old_chrom, o.number AS old_number, n.chrom AS new_chrom, n.number AS new_number FROM {agp_old} o LEFT JOIN {agp_new} n ON n.id = o.id")
-add("strongest_link", "SRT-06 MAT-27 MAT-28", lambda v: C.strongest(C.counted_both_ways(v("alignments").where("ref1 <> ref2"), "ref1", "ref2").join(v("agp_new").select(F.col("id").alias("x")), "x", "left_anti").join(v("agp_new").select(F.col("id").alias("y")), "y", "left_semi"), "x", [F.desc("n"), F.col("y")]).select("x", "y", "n"),
+add("strongest_link", "SRT-06 MAT-28", lambda v: C.strongest(C.counted_both_ways(v("alignments").where("ref1 <> ref2"), "ref1", "ref2").join(v("agp_new").select(F.col("id").alias("x")), "x", "left_anti").join(v("agp_new").select(F.col("id").alias("y")), "y", "left_semi"), "x", [F.desc("n"), F.col("y")]).select("x", "y", "n"),
     "SELECT x, y, n FROM (SELECT x, y, count(*) AS n, row_number() OVER (PARTITION BY x ORDER BY count(*) DESC, y) AS r FROM (SELECT ref1 AS x, ref2 AS y FROM {alignments} WHERE ref1 <> ref2 UNION ALL SELECT ref2, ref1 FROM {alignments} WHERE ref1 <> ref2) t WHERE x NOT IN (SELECT id FROM {agp_new}) AND y IN (SELECT id FROM {agp_new}) GROUP BY 1, 2) u WHERE r = 1")
 GC = lambda x: f"CASE WHEN length(regexp_replace({x}, '[Nn]', '', 'g')) > 0 THEN round(cast(length(regexp_replace({x}, '[^GCgc]', '', 'g')) AS double)*100/length(regexp_replace({x}, '[Nn]', '', 'g')), 6) ELSE -1.0 END"
 add("gc_content", "SCL-07 SRC-19", lambda v: v("sequences").select("chrom", F.round(S.gc_percent(F.col("seq")), 6).alias("gc")), "SELECT chrom, " + GC("seq") + " AS gc FROM {sequences}")
