@@ -427,3 +427,53 @@ def test_language_rejects_what_it_did_not_learn(spark, sf):
     assert r.rejected.all(), r.groupby("lang").rejected.mean()
     kept = langid.identify(big, models).agg(F.avg((~F.col("rejected")).cast("int"))).first()[0]
     assert kept > 0.97, kept
+
+
+def test_fingerprints_against_plain_sketches(spark):
+    import xxhash
+
+    def plain(text):
+        w = [x for x in re.split(r"[ \t-\r]+", (text or "").lower()) if x]
+        h = lambda words: __import__("functools").reduce(lambda seed, x: xxhash.xxh64_intdigest(x.encode(), seed), words, 42) & (2**63 - 1)
+        all_ = {h(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {h([" ".join(w)])} if w else set()
+        low = {x for x in all_ if x < (2**63 - 1) // fingerprint.SCALE}
+        return low or ({min(all_)} if all_ else set())
+
+    g = random.Random(6)
+    texts = [" ".join(g.choice("abcdefgh") + str(g.randrange(3)) for _ in range(n)) for n in (1, 4, 5, 30, 300, 2000)] + ["", None, "same one", "same one"]
+    ids = [5, -(10**12), 10**15, 7, 8, 9, 10, 11, 12, 12]
+    d = spark.createDataFrame([(k, t, "x") for k, t in zip(ids, texts, strict=True)], "doc_id long, text string, fp string")
+    got = fingerprint.fingerprints(d).collect()
+    assert len(got) == len(texts)
+    order = sorted(zip(ids, texts, strict=True), key=lambda r: (-r[0], r[1] or ""))
+    following = {k: order[(n + 1) % len(order)][1] for n, (k, _) in enumerate(order)}
+    text_of = dict(order)
+    for r in got:
+        a = plain(text_of[r["doc_id"]])
+        assert r["fingerprint"] == ",".join(f"{x:x}" for x in sorted(a))
+        if r["doc_id"] != 12:
+            b = plain(following[r["doc_id"]])
+            assert abs(r["near_next"] - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
+    assert fingerprint.fingerprints(d.limit(0)).count() == 0 and fingerprint.fingerprints(d.limit(1)).count() == 1
+
+
+def test_columns_of_the_same_name_stay(spark):
+    d = spark.createDataFrame([(1, "write to a@b.cc today", "KEEP", "q"), (2, None, "NULL", "r"), (3, "", "EMPTY", "s")], "doc_id long, text string, pii_spans string, toxic_score string")
+    assert {(r["text"], r["pii_spans"]) for r in pii.redact(d).collect()} == {("write to [EMAIL] today", "KEEP"), (None, "NULL"), ("", "EMPTY")}
+    few = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    assert {r["toxic_score"] for r in toxicity.reject(d, few).collect()} <= {"q", "r", "s"}
+    assert pii.find(d.limit(0)).count() == 0 and pii.redact(d.limit(0)).columns == d.columns
+
+
+def test_redacts_many_spans_of_a_long_text(spark):
+    parts = [f"w{k} 😀 a{k}@b.cc" for k in range(700)]
+    d = spark.createDataFrame([(1, " ".join(parts)), (2, "x" * 4096 + " a@b.cc"), (3, "y" * 9000 + "\n a@b.cc " + "z" * 9000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
+    assert got[1] == " ".join(f"w{k} 😀 [EMAIL]" for k in range(700))
+    assert got[2] == "x" * 4096 + " [EMAIL]" and got[3] == "y" * 9000 + "\n [EMAIL] " + "z" * 9000
+
+
+def test_numbers_are_no_letters(spark):
+    d = spark.createDataFrame([(1, "²³ ½ ① Ⅷ 12"), (2, "word")], "doc_id long, text string")
+    models = langid.fit(spark.createDataFrame([(k, "some words here", "en") for k in range(20)], "doc_id long, text string, lang string"), F.lit(True))
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(d, models).collect()}[1] == ("und", 0.0)
