@@ -16,7 +16,9 @@ from ..operators import assembly as ASM
 from ..operators import compartments as AB
 from ..operators import contacts as C
 from ..operators import genes as G
+from ..operators import homology as H
 from ..operators import intervals as I
+from ..operators import rescue as R
 from ..operators import stats as T
 from .fixtures import oracle, view
 
@@ -314,3 +316,94 @@ add("anchored_duplicates", "ALL-09", lambda v: G.with_anchored_dups(v("alleles")
     "WITH k AS (SELECT gene, allele_id FROM {alleles} WHERE slot <> 'D'), b AS (SELECT gene1 AS x, gene2 AS gene FROM {anchors} UNION ALL SELECT gene2, gene1 FROM {anchors}) SELECT DISTINCT k.allele_id, b.gene FROM b JOIN k ON k.gene = b.x WHERE b.gene NOT IN (SELECT gene FROM k)")
 add("folded_alleles", "ALL-08", lambda v: G.fold_shared(v("anchors").select(F.concat(F.lit("al"), "block").alias("allele_id"), F.explode(F.array("gene1", "gene2")).alias("gene")).distinct().withColumn("chrom", F.lit("Chr1"))))
 add("alleles_from_pairs", "ALL-05 ALL-04", lambda v: G.fold_shared(v("anchors").join(v("genes").select(F.col("gene").alias("gene1"), "chrom"), "gene1").select("chrom", F.concat("gene1", F.lit("+"), "gene2").alias("allele_id"), F.explode(F.array("gene1", "gene2")).alias("gene"))))
+
+# --- homology, rescue, parts -------------------------------------------------------------------------------------------
+FIRST_TWO = "chrom in ('Chr1', 'Chr2')"
+
+
+def ortholog_table(v) -> DataFrame:
+    a, b, hits = v("genes").where(FIRST_TWO), v("genes").where(f"not {FIRST_TWO}"), v("blast6")
+    pick = lambda q, s: hits.join(q.select(F.col("gene").alias("qseqid")), "qseqid", "left_semi").join(s.select(F.col("gene").alias("sseqid")), "sseqid", "left_semi")
+    table = H.with_paralogs(H.orthologs(a, b, pick(a, b), pick(b, a)), a, b, hits)
+    return table.withColumn("paralogs", F.array_join("paralogs", ","))
+
+
+add("ortholog_table", "JN-07", ortholog_table,
+    f"""WITH a AS (SELECT gene FROM {{genes}} WHERE {FIRST_TWO}), b AS (SELECT gene FROM {{genes}} WHERE NOT {FIRST_TWO}),
+    r AS (SELECT qseqid, sseqid, row_number() OVER (PARTITION BY qseqid ORDER BY bitscore DESC, identity DESC, sseqid) AS k FROM {{blast6}}
+      WHERE (qseqid IN (SELECT gene FROM a) AND sseqid IN (SELECT gene FROM b)) OR (qseqid IN (SELECT gene FROM b) AND sseqid IN (SELECT gene FROM a))),
+    best AS (SELECT qseqid, sseqid FROM r WHERE k = 1),
+    mutual AS (SELECT x.qseqid AS gene_a, x.sseqid AS gene_b FROM best x JOIN best y ON x.qseqid = y.sseqid AND x.sseqid = y.qseqid WHERE x.qseqid IN (SELECT gene FROM a)),
+    way AS (SELECT min(qseqid) AS gene_a, sseqid AS gene_b FROM best WHERE qseqid IN (SELECT gene FROM a) AND qseqid NOT IN (SELECT gene_a FROM mutual) AND sseqid NOT IN (SELECT gene_b FROM mutual) GROUP BY sseqid),
+    pairs AS (SELECT gene_a, gene_b, 'reciprocal' AS kind, 0 AS k FROM mutual UNION ALL SELECT gene_a, gene_b, 'best', 1 FROM way),
+    paired AS (SELECT gene_a AS gene FROM pairs UNION ALL SELECT gene_b FROM pairs),
+    off_hits AS (SELECT qseqid, sseqid, identity, row_number() OVER (PARTITION BY qseqid ORDER BY bitscore DESC, identity DESC, sseqid) AS n FROM {{blast6}} WHERE qseqid IN (SELECT gene FROM paired) AND sseqid NOT IN (SELECT gene FROM paired)),
+    cand AS (SELECT p.gene_a, p.gene_b, o.sseqid AS paralog, row_number() OVER (PARTITION BY o.sseqid ORDER BY o.identity DESC, p.k DESC, p.gene_a DESC, p.gene_b DESC) AS n FROM pairs p JOIN off_hits o ON o.n = 1 AND (o.qseqid = p.gene_a OR o.qseqid = p.gene_b)),
+    lists AS (SELECT gene_a, gene_b, string_agg(paralog, ',' ORDER BY paralog) AS paralogs FROM cand WHERE n = 1 GROUP BY 1, 2)
+    SELECT p.gene_a, p.gene_b, p.kind, coalesce(l.paralogs, '') AS paralogs FROM pairs p LEFT JOIN lists l ON l.gene_a = p.gene_a AND l.gene_b = p.gene_b
+    UNION ALL SELECT gene, NULL, 'none', '' FROM a WHERE gene NOT IN (SELECT gene FROM paired) AND gene NOT IN (SELECT paralog FROM cand)
+    UNION ALL SELECT NULL, gene, 'none', '' FROM b WHERE gene NOT IN (SELECT gene FROM paired) AND gene NOT IN (SELECT paralog FROM cand)""")
+
+
+def copy_numbers(v) -> DataFrame:
+    depth = v("genes").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select(F.concat(F.lit("s"), F.col("k")).alias("sample"), "gene", "start", "stop", ((F.col("stop") - F.col("start")) % 97 + F.col("k")).alias("coverage"))
+    reads = depth.groupBy("sample").agg((F.count(F.lit(1)) * 1000).alias("n"))
+    return rounded(H.copy_numbers(depth, reads, 150, 4_000_000), "copies")
+
+
+add("copy_number_by_sample", "AGG-15", copy_numbers,
+    """WITH d AS (SELECT 's' || cast(k AS varchar) AS sample, gene, start, stop, (stop - start) % 97 + k AS coverage FROM {genes} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) ks),
+    n AS (SELECT sample, count(*)*1000 AS n FROM d GROUP BY 1)
+    SELECT d.sample, gene, round(cast(coverage*150 AS double)/abs(stop - start)/(cast(n AS double)*150/4000000), 6) AS copies FROM d JOIN n ON n.sample = d.sample""")
+add("gene_evidence_labels", "FLT-12", lambda v: H.gene_evidence(
+    v("blast6").select(F.col("qseqid").alias("gene"), "identity", "length"), v("tandem").select(F.col("gene1").alias("gene")).unionByName(v("anchors").select(F.col("gene2").alias("gene"))),
+    v("expression").select(F.col("gene_a").alias("gene"), (F.col("a1") + 0.7).alias("fpkm")), v("expression").select(F.col("gene_a").alias("gene"), (F.col("b1") / 100).alias("cov")),
+    v("genes").select("gene", ((F.col("stop") - F.col("start")) % 101).alias("support")), fpkm=20),
+    """WITH b AS (SELECT qseqid AS gene, count(*) AS n FROM {blast6} WHERE identity >= 30 AND length >= 100 GROUP BY 1),
+    p AS (SELECT gene, count(*) AS n FROM (SELECT gene1 AS gene FROM {tandem} UNION ALL SELECT gene2 FROM {anchors}) x GROUP BY 1),
+    every AS (SELECT gene FROM b UNION SELECT gene FROM p UNION SELECT gene_a FROM {expression} UNION SELECT gene FROM {genes}),
+    t AS (SELECT e.gene, coalesce(b.n, 0) AS blast, coalesce(p.n, 0) AS pfam, coalesce(cast(floor(x.a1 + 0.7) AS bigint), 0) AS fpkm, coalesce(x.b1/100, 0.0) AS cov, coalesce((g.stop - g.start) % 101, 0) AS support
+      FROM every e LEFT JOIN b ON b.gene = e.gene LEFT JOIN p ON p.gene = e.gene LEFT JOIN {expression} x ON x.gene_a = e.gene LEFT JOIN {genes} g ON g.gene = e.gene)
+    SELECT *, CASE WHEN blast > 1 OR pfam > 1 OR (fpkm > 20 AND cov > 0.5) OR support > 90 THEN 'keep' ELSE 'remove' END AS label FROM t""")
+add("ko_rows", "SNK-14", lambda v: H.ko_list(v("anchors").select(F.col("gene1").alias("gene"), F.when(F.col("line_no") % 3 != 0, F.concat(F.lit('"'), "gene2", F.lit(",K"), "block", F.lit('"'))).alias("kos"))),
+    "SELECT gene1 AS gene, gene2 AS ko FROM {anchors} WHERE line_no % 3 <> 0 UNION ALL SELECT gene1, 'K' || block FROM {anchors} WHERE line_no % 3 <> 0 UNION ALL SELECT gene1, NULL FROM {anchors} WHERE line_no % 3 = 0")
+add("contig_targets", "INT-15", lambda v: rounded(H.contig_targets(H.suppressed(v("blast6").where("qseqid <> sseqid").select(F.col("qseqid").alias("q"), F.col("sseqid").alias("t"), F.least(F.col("bitscore"), F.col("length")).alias("score"), (F.col("bitscore") * 7 % 500).alias("start"), (F.col("bitscore") * 7 % 500 + F.col("length")).alias("stop"))),
+    v("blast6").select(F.col("qseqid").alias("q"), F.lit(600).alias("size")).distinct(), 0.7, 0.3), "identity", "overlap"))
+
+
+def alignment_lines(v) -> DataFrame:
+    strand = lambda k: F.when(F.col("mapq") % k == 0, "+").otherwise("-")
+    number = lambda c: F.substring(c, 4, 9).cast("long")
+    a = C.strongest(v("alignments"), "read_id", [F.col("ref1"), F.col("ref2")])  # ids repeat in the view
+    a = a.withColumns({"line_no": F.col("read_id"), "name": F.floor(F.col("read_id") / 8).cast("string"), "strand1": strand(2), "strand2": strand(3), "is_paired": F.lit(True)})
+    return a.withColumns({"ref_id1": number("ref1"), "ref_id2": number("ref2")})
+
+
+add("alignment_links", "SNK-06 SRC-30", lambda v: R.links_of_alignments(alignment_lines(v)),
+    """SELECT line_no, name, CASE WHEN mapq % 2 = 0 THEN 0 ELSE 16 END AS flag1, ref1, p1, CASE WHEN i <= j THEN 0 ELSE 1 END AS order1, CASE WHEN mapq % 3 = 0 THEN 0 ELSE 16 END AS flag2, ref2, p2, CASE WHEN i <= j THEN 1 ELSE 0 END AS order2
+    FROM (SELECT *, read_id AS line_no, cast(read_id // 8 AS varchar) AS name, cast(substring(ref1, 4, 9) AS bigint) AS i, cast(substring(ref2, 4, 9) AS bigint) AS j, lag(read_id // 8) OVER (ORDER BY read_id) AS b FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY ref1, ref2) AS r FROM {alignments}) y WHERE r = 1) x WHERE (b IS NULL OR b <> read_id // 8) AND NOT is_unmapped""")
+add("insert_positions", "MAT-28", lambda v: R.insert_positions(C.counted_both_ways(v("alignments").where("ref1 <> ref2"), "ref1", "ref2"), v("agp_new").select("chrom", "id", (F.row_number().over(Window.partitionBy("chrom").orderBy("number")) - 1).alias("number"))),
+    """WITH s AS (SELECT x, y, count(*) AS n FROM (SELECT ref1 AS x, ref2 AS y FROM {alignments} WHERE ref1 <> ref2 UNION ALL SELECT ref2, ref1 FROM {alignments} WHERE ref1 <> ref2) z GROUP BY 1, 2),
+    t AS (SELECT chrom, id, row_number() OVER (PARTITION BY chrom ORDER BY number) - 1 AS k FROM {agp_new}),
+    f AS (SELECT s.x, t.chrom, s.y, s.n, t.k FROM s JOIN t ON t.id = s.y WHERE s.x NOT IN (SELECT id FROM t)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY x, chrom ORDER BY n DESC, k) AS r FROM f),
+    p AS (SELECT b.x, b.chrom, b.y AS nearest, b.n, CASE WHEN b.k = 0 THEN -1 WHEN coalesce(d.n, 0) > coalesce(u.n, 0) THEN b.k ELSE b.k - 1 END AS before FROM b LEFT JOIN f u ON u.x = b.x AND u.chrom = b.chrom AND u.k = b.k - 1 LEFT JOIN f d ON d.x = b.x AND d.chrom = b.chrom AND d.k = b.k + 1 WHERE b.r = 1)
+    SELECT *, before + 1 AS after FROM p""")
+add("fastq_parts", "SNK-13", lambda v: R.parts_by_count(v("valid_pairs").select("read_id", F.col("read_id").alias("line_no")), 1000).select("read_id", "part"), "SELECT read_id, read_id // 1000 AS part FROM {valid_pairs}")
+add("fasta_parts", "SNK-13 SNK-05", lambda v: R.parts_by_length(v("contigs").select("id", "length", F.substring("id", 4, 9).cast("long").alias("line_no")), "length", 100_000).select("id", "part"),
+    "SELECT id, cast(sum(length) OVER (ORDER BY cast(substring(id, 4, 9) AS bigint)) // 100000 AS bigint) AS part FROM {contigs}")
+add("most_even_partition", "AGG-18", lambda v: rounded(R.most_even(v("contigs").withColumn("k", F.explode(F.array(F.lit(3), F.lit(5), F.lit(7)))).groupBy("k", (F.substring("id", 4, 9).cast("long") % F.col("k")).alias("g")).agg(F.sum("length").alias("l")), ["k"], "l"), "score"),
+    "SELECT k, round(cast(max(l) - min(l) AS double)/cast(sum(l) AS double), 6) AS score FROM (SELECT k, cast(substring(id, 4, 9) AS bigint) % k AS g, sum(length) AS l FROM {contigs} CROSS JOIN (SELECT 3 AS k UNION ALL SELECT 5 UNION ALL SELECT 7) ks GROUP BY 1, 2) x GROUP BY k ORDER BY cast(max(l) - min(l) AS double)/cast(sum(l) AS double), k LIMIT 1")
+add("cluster_of_contig", "JN-09", lambda v: R.inverted(ASM.clusters(v("agp_old")), "chrom", "contigs"), "SELECT id AS item, chrom FROM {agp_old}")
+add("listed_genes", "FLT-11", lambda v: R.listed(v("genes"), v("tandem").select("gene1"), "gene").select("gene", F.lit(True).alias("listed")).unionByName(R.listed(v("genes"), v("tandem").select("gene1"), "gene", keep=False).select("gene", F.lit(False).alias("listed"))),
+    "SELECT gene, gene IN (SELECT gene1 FROM {tandem}) AS listed FROM {genes}")
+add("row_sum_summary", "AGG-16", lambda v: rounded(C.bin_sums(v("genome_pixels"), []).agg(F.count("total").alias("n"), F.min("total").cast("double").alias("least"), F.max("total").cast("double").alias("most"), F.avg("total").alias("mean"), F.stddev_samp("total").alias("sd"), *[F.percentile("total", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.25, 0.2, 0.1)]), "p25", "p20", "p10", "mean", "sd"),
+    "SELECT count(*) AS n, min(total) AS least, max(total) AS most, round(quantile_cont(total, 0.25), 6) AS p25, round(quantile_cont(total, 0.2), 6) AS p20, round(quantile_cont(total, 0.1), 6) AS p10, round(avg(total), 6) AS mean, round(stddev_samp(total), 6) AS sd FROM (SELECT bin, cast(sum(n) AS double) AS total FROM (SELECT bin1 AS bin, n FROM {genome_pixels} UNION ALL SELECT bin2, n FROM {genome_pixels} WHERE bin1 <> bin2) x GROUP BY bin) y")
+add("smallest_domains", "SRT-04", lambda v: v("domains").withColumn("size", F.col("stop") - F.col("start")).orderBy("size", "chrom", "start").limit(20), "SELECT chrom, start, stop, level, stop-start AS size FROM {domains} ORDER BY stop-start, chrom, start LIMIT 20")
+add("decay_slope_pooled", "STA-01", lambda v: C.decay_slope(C.decay(v("valid_pairs"), 10000, 50000, 300000, by=[]), by=[]),
+    "SELECT round(regr_slope(log10(n), log10(dist)), 6) AS slope FROM (SELECT cast(floor(abs(pos2-pos1)/10000)*10000 AS bigint) AS dist, count(*) AS n FROM {valid_pairs} WHERE chr1 = chr2 GROUP BY 1) x WHERE dist BETWEEN 50000 AND 300000")
+add("dosage_regression", "STA-14", lambda v: rounded(T.regression(v("expression").where("a1 >= 2 and b1 >= 2").select(F.log2("a1").alias("x"), F.log2("b1").alias("y")), [], "x", "y"), "slope", "intercept", "r").drop("error"),
+    "SELECT count(*) AS n, round(regr_slope(log2(b1), log2(a1)), 6) AS slope, round(regr_intercept(log2(b1), log2(a1)), 6) AS intercept, round(corr(log2(b1), log2(a1)), 6) AS r FROM {expression} WHERE a1 >= 2 AND b1 >= 2")
+add("log_plus_one", "SCL-10", lambda v: v("expression").select("gene_a", F.round(F.log1p("a1"), 6).alias("natural"), F.round(F.log2(F.col("a1") + 1), 6).alias("binary")), "SELECT gene_a, round(ln(1 + a1), 6) AS natural, round(log2(a1 + 1), 6) AS binary FROM {expression}")
+add("pairs_by_chrom_text", "SCL-12", lambda v: v("valid_pairs").groupBy("chr1").agg(F.format_number(F.count(F.lit(1)), 0).alias("pairs")), "SELECT chr1, format('{:,}', count(*)) AS pairs FROM {valid_pairs} GROUP BY chr1")
+add("pairs_of_both_tables", "SET-01", lambda v: v("anchors").select("gene1", "gene2", "block").unionByName(v("tandem").select("gene1", "gene2"), allowMissingColumns=True), "SELECT gene1, gene2, block FROM {anchors} UNION ALL SELECT gene1, gene2, NULL FROM {tandem}")
