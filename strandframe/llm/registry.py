@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, bpe_codec, fingerprint, langid, lm, ngram_join, packing, pii, repair, toxicity
+from . import alignment, ann, bpe, bpe_codec, fingerprint, langid, lm, ngram_join, packing, pii, repair, toxicity
 from .common import table
 
 
@@ -52,7 +52,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_bpe, op4_language, op5_pii, op6_lm, op7_packing, op8_neighbours, op9_token_files, op10_jaccard)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, model = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")), alignment.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary, model)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_bpe, op4_language, op5_pii, op6_lm, op7_packing, op8_neighbours, op9_token_files, op10_jaccard, op13_alignment)}
 #: The classifiers, tokenizers, packing and sketches have no SQL, nor has the nearest neighbours' last bit; they are tested against plain versions.
 ORACLE_SQL: dict[str, str] = {
     "op10_jaccard": r"""
