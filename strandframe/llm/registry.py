@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, bpe, bpe_codec, fingerprint, langid, lm, ngram_join, packing, pii, repair, toxicity
+from . import alignment, ann, bpe, bpe_codec, fingerprint, langid, lm, ngram_join, packing, pii, repair, search, toxicity
 from .common import table
 
 
@@ -52,12 +52,16 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, model = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")), alignment.read_model(public_tokenizers.path("piece_bpe_32k.model"))
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary, model)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_bpe, op4_language, op5_pii, op6_lm, op7_packing, op8_neighbours, op9_token_files, op10_jaccard, op13_alignment)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_bpe, op4_language, op5_pii, op6_lm, op7_packing, op8_neighbours, op9_token_files, op10_jaccard, op12_search, op13_alignment)}
 #: The classifiers, tokenizers, packing and sketches have no SQL, nor has the nearest neighbours' last bit; they are tested against plain versions.
 ORACLE_SQL: dict[str, str] = {
     "op10_jaccard": r"""
@@ -71,4 +75,21 @@ ORACLE_SQL: dict[str, str] = {
             GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
         r AS (SELECT doc_id AS x, doc_id AS c FROM s UNION SELECT l.x, r.c FROM links l JOIN r ON r.x = l.y)
         SELECT s.doc_id, cast(len(s.sh) AS bigint) AS n_shingles, min(r.c) AS component_id FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.sh)""",
+    "op12_search": r"""
+        WITH t AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+        total AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS terms FROM t WHERE len(t) > 0),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        weight AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM df, total),
+        m AS (SELECT doc_id, 25 + (75 * len(t) * docs) // terms AS m FROM t, total),
+        q AS (
+            SELECT item_id, term, count(*) AS n FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+            GROUP BY ALL),
+        s AS (
+            SELECT item_id, doc_id, sum(n * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM q JOIN weight USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
 }
