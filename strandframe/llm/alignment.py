@@ -11,10 +11,10 @@ successor's pointer, for all tokens at once, doubles the distance until all poin
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +27,15 @@ from .common import checkpointed, held, least_count
 
 #: Bytes of the table of linked pairs that are broadcast, the most frequent pairs first, and of each pair.
 BROADCAST_BYTES, PAIR_BYTES = 96 << 20, 24
-#: Distinct units whose alignments a worker keeps; distinct units that a task counts before it turns them into pairs.
-KEPT_UNITS, GATHERED = 200_000, 200_000
-#: Texts whose new units are aligned together; linked pairs that a task holds before it adds up equal ones.
-TEXTS, HELD_PAIRS = 200, 2_000_000
+#: Distinct units whose alignments a worker keeps; beyond, it starts afresh. Linked pairs that a task holds before it adds up equal ones.
+KEPT_UNITS, HELD_PAIRS = 400_000, 4_000_000
+#: Texts whose new units are aligned together.
+TEXTS = 200
 UNITS = re.compile(r"(?<=\S)(?= )")
+#: A space after white space; without one, units are what single spaces part.
+AFTER_SPACE = re.compile(r"\s ")
+#: How the byte-level tokenizer parts words (fixed value).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A pair of ids is one number: the first id times this, plus the second.
 SHIFT = 1 << 16
 PAIRS = "pair long, n long"
@@ -45,8 +49,10 @@ def read_model(path: str) -> bytes:
 
 
 def units(text: str) -> list[str]:
-    """A space and the text, cut into units; each begins with a space."""
-    return UNITS.split(" " + text)
+    """A space and the text, cut into units; each is given without the space that it begins with."""
+    if text[:1] != " " and not AFTER_SPACE.search(text):
+        return text.split(" ")
+    return [u[1:] for u in UNITS.split(" " + text)]
 
 
 def farthest(first_ends: np.ndarray, second_ends: np.ndarray) -> np.ndarray:
@@ -65,12 +71,12 @@ def farthest(first_ends: np.ndarray, second_ends: np.ndarray) -> np.ndarray:
         pointer = doubled
 
 
-class Aligner(dict):
-    """Alignments by unit: (tokens of A, of B, groups, links, the groups as text, the links' pairs as little-endian 64-bit numbers).
-    Units whose bytes a tokenizer does not give back are in `bad`."""
+class Aligner:
+    """Alignments of distinct units by number: the numbers of tokens of A and B, of groups and of links, what is known of the links
+    (best, total), the groups as text with a ; before each, and the links' pairs one unit after another. Units whose bytes a
+    tokenizer does not give back have the number -1."""
 
     def __init__(self, vocabulary: str, model: bytes):
-        super().__init__()
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -78,66 +84,103 @@ class Aligner(dict):
         self.a.no_truncation()
         self.a.no_padding()
         self.a.encode_special_tokens = True
+        self.a_ranks = bpe._by_ranks(vocabulary, json.loads(vocabulary), WORDS)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.a_pieces = bpe.pieces(vocabulary)
-        special = {x["id"] for x in json.loads(vocabulary)["added_tokens"]}
         self.b_pieces = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in ((k, self.b.id_to_piece(k)) for k in range(self.b.get_piece_size()))]
         if max(len(self.a_pieces), len(self.b_pieces)) > SHIFT:
             raise ValueError("ids of both vocabularies must fit in 16 bits")
-        self.a_sizes = np.array([0 if k in special else len(p) for k, p in enumerate(self.a_pieces)])
-        self.b_sizes = np.array([len(p) for p in self.b_pieces])
-        self.bad: set[str] = set()
-
-    def fill(self, wanted: set[str]) -> None:
-        """Aligns those units that are new, all at once."""
-        if len(self) + len(self.bad) >= KEPT_UNITS:
-            self.clear()
-            self.bad.clear()
-        new = [u for u in wanted if u not in self and u not in self.bad]
-        if not new:
-            return
-        a_ids = [x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        # The model puts a space before a text, but not before an empty one.
-        b_ids = [found or [self.b.piece_to_id("▁")] for found in self.b.encode([u[1:] for u in new], num_threads=1)]
-        good = []
-        for k, u in enumerate(new):
-            raw = u.encode()
-            if b"".join([self.a_pieces[i] for i in a_ids[k]]) == raw == b"".join([self.b_pieces[i] for i in b_ids[k]]):
-                good.append(k)
+        self.a_sizes, self.b_sizes = (np.array([len(p) for p in pieces]) for pieces in (self.a_pieces, self.b_pieces))
+        #: Each id as text after each mark: before a group, within a side, between its sides.
+        many = max(len(self.a_pieces), len(self.b_pieces))
+        self.marked = [f"{mark}{k}" for mark in ";,|" for k in range(many)]
+        self.marked_sizes = np.array([len(x) for x in self.marked])
+        self.many = many
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.good = 0
+        self.fields, self.texts, self.pairs = np.zeros((1024, 6), np.int64), [], []
+
+    def full(self) -> bool:
+        return len(self.index) >= KEPT_UNITS
+
+    def _a_ids(self, text: str) -> list[int]:
+        if self.a_ranks is not None:
+            return self.a_ranks.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def fill(self, wanted: set[str]) -> tuple[int, np.ndarray]:
+        """Aligns those units that are new, all at once; returns the number of the first, and their links' pairs."""
+        new = [u for u in wanted if u not in self.index]
+        # A unit that ends in white space ends a text; elsewhere its space would go with the next unit's.
+        whole = [u for u in new if not u[-1:].isspace() and u]
+        last = [u for u in new if u[-1:].isspace() or not u]
+        # Bytes that a tokenizer does not give back are looked for unit by unit, if there are any.
+        raw = "".join([" " + u for u in whole])
+        a_ids, b_ids = self._a_ids(raw), self.b.encode(whole, num_threads=1)
+        if self._gives(raw.encode(), a_ids, [i for x in b_ids for i in x]):
+            a_ids = [a_ids]
+        else:
+            a_ids, b_ids, whole = self._checked(whole, b_ids)
+        if last:
+            more_a, more_b, last = self._checked(last, [x or [self.b.piece_to_id("▁")] for x in self.b.encode(last, num_threads=1)])
+            a_ids, b_ids, whole = a_ids + more_a, b_ids + more_b, whole + last
+        return self._align(whole, list(itertools.chain.from_iterable(a_ids)), b_ids) if whole else (self.good, np.zeros(0, np.int64))
+
+    def _gives(self, raw: bytes, a_ids: list[int], b_ids: list[int]) -> bool:
+        return b"".join([self.a_pieces[i] for i in a_ids]) == raw == b"".join([self.b_pieces[i] for i in b_ids])
+
+    def _checked(self, found: list[str], b_ids: list[list[int]]) -> tuple[list[list[int]], list[list[int]], list[str]]:
+        out_a, out_b, out = [], [], []
+        for u, y in zip(found, b_ids, strict=True):
+            x = self._a_ids(" " + u)
+            if self._gives((" " + u).encode(), x, y):
+                out_a.append(x)
+                out_b.append(y)
+                out.append(u)
             else:
-                self.bad.add(u)
-        if good:
-            self._align([new[k] for k in good], [a_ids[k] for k in good], [b_ids[k] for k in good])
+                self.index[u] = -1
+        return out_a, out_b, out
 
-    def _align(self, names: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> None:
-        a, b = np.concatenate(a_ids).astype(np.int64), np.concatenate(b_ids).astype(np.int64)
+    def _align(self, names: list[str], a_ids: list[int], b_ids: list[list[int]]) -> tuple[int, np.ndarray]:
+        a, b = np.array(a_ids, np.int64), np.fromiter(itertools.chain.from_iterable(b_ids), np.int64)
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        unit_ends = np.cumsum([1 + len(u) if u.isascii() else 1 + len(u.encode()) for u in names])
         last = farthest(a_ends, b_ends)
         # Each stretch of bytes between neighbouring ends lies in one token of either side: those two are linked.
         ends = np.union1d(a_ends, b_ends)
         pairs = a[np.searchsorted(a_ends, ends)] * SHIFT + b[np.searchsorted(b_ends, ends)]
-        unit_ends = np.cumsum([len(u.encode()) for u in names])
-        cuts = np.searchsorted(ends, unit_ends, "right").tolist()
-        raw, at, a_at, b_at = pairs.tobytes(), 0, 0, 0
-        a_last, b_last = last[: len(a)].tolist(), last[len(a) :].tolist()
-        for name, x, y, cut in zip(names, a_ids, b_ids, cuts, strict=True):
-            groups: dict[int, tuple[list[str], list[str]]] = {}
-            for k, i in enumerate(x, a_at):
-                groups.setdefault(a_last[k], ([], []))[0].append(str(i))
-            for k, i in enumerate(y, b_at):
-                groups[b_last[k]][1].append(str(i))
-            text = ";".join([f"{','.join(g)}|{','.join(h)}" for g, h in groups.values()])
-            self[name] = (len(x), len(y), len(groups), cut - at, text, raw[8 * at : 8 * cut])
-            at, a_at, b_at = cut, a_at + len(x), b_at + len(y)
-
-
-def _split(texts: list[str | None], aligner: Aligner) -> list[list[str]]:
-    """The units of each text, all aligned; of texts that have no tokens, none."""
-    found = [units(t) if t else [] for t in texts]
-    aligner.fill(set().union(*found))
-    if aligner.bad:
-        found = [f if aligner.bad.isdisjoint(f) else [] for f in found]
-    return found
+        group_ends = np.unique(np.concatenate((a_ends, b_ends))[last])
+        counts = [np.diff(np.searchsorted(e, unit_ends, "right"), prepend=0) for e in (a_ends, b_ends, group_ends, ends)]
+        # The text of all groups: tokens by group, those of A before those of B, each after its mark.
+        group, side = last, np.repeat([0, 1], [len(a), len(b)])
+        order = np.lexsort((side, group))
+        group, side = group[order], side[order]
+        new_side = np.concatenate(([True], (group[1:] != group[:-1]) | (side[1:] != side[:-1])))
+        chosen = np.where(~new_side, 1, np.where(side == 0, 0, 2)) * self.many + np.concatenate((a, b))[order]
+        cuts = np.cumsum(self.marked_sizes[chosen])[np.cumsum(counts[0] + counts[1]) - 1].tolist()
+        text = "".join(map(self.marked.__getitem__, chosen.tolist()))
+        first, at = self.good, 0
+        for k, (name, cut) in enumerate(zip(names, cuts, strict=True), first):
+            self.index[name] = k
+            self.texts.append(text[at:cut])
+            at = cut
+        self.good += len(names)
+        while self.good > len(self.fields):
+            self.fields = np.concatenate((self.fields, np.zeros_like(self.fields)))
+        for j, n in enumerate(counts):
+            self.fields[first : self.good, j] = n
+        self.pairs.append(pairs)
+        return first, pairs
+
+
+def _numbered(found: list[list[str]], aligner: Aligner) -> list[list[int]]:
+    """The numbers of the units of each text, all aligned; of texts that have no tokens, none."""
+    number = aligner.index.__getitem__
+    out = [list(map(number, f)) for f in found]
+    return [[] if -1 in x else x for x in out] if aligner.good < len(aligner.index) else out
 
 
 def _summed(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,17 +197,17 @@ def link_counts(docs: DataFrame, vocabulary: str, model: bytes) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = held(("aligner", hash(shared.value)), lambda: Aligner(*shared.value))
-        seen, pending = Counter(), []
+        aligner.clear()
+        seen, pending = np.zeros(0, np.int64), []
 
         def flush() -> None:
-            names = list(seen)
-            for k in range(0, len(names), KEPT_UNITS // 4):
-                some = names[k : k + KEPT_UNITS // 4]
-                aligner.fill(set(some))
-                pending.append(_summed(np.frombuffer(b"".join([aligner[u][5] for u in some]), "<i8"), np.repeat([seen[u] for u in some], [aligner[u][3] for u in some]).astype(np.int64)))
-            seen.clear()
-            if pending:
+            nonlocal seen
+            if aligner.pairs:
+                n = np.repeat(np.pad(seen, (0, aligner.good - len(seen))), aligner.fields[: aligner.good, 3])
+                pending.append(_summed(np.concatenate(aligner.pairs), n))
                 pending[:] = [_summed(*map(np.concatenate, zip(*pending, strict=True)))]
+            aligner.clear()
+            seen = np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
             pairs, n = pending.pop()
@@ -173,12 +216,15 @@ def link_counts(docs: DataFrame, vocabulary: str, model: bytes) -> DataFrame:
         for batch in batches:
             texts = batch["text"].to_pylist()
             for k in range(0, len(texts), TEXTS):
-                for found in _split(texts[k : k + TEXTS], aligner):
-                    seen.update(found)
-                if len(seen) >= GATHERED:
+                if aligner.full():
                     flush()
                     if pending and len(pending[0][0]) >= HELD_PAIRS:
                         yield out()
+                found = [units(t) if t else [] for t in texts[k : k + TEXTS]]
+                aligner.fill(set().union(*found))
+                more = np.bincount(np.array(list(itertools.chain.from_iterable(_numbered(found, aligner))), np.int64), minlength=aligner.good)
+                more[: len(seen)] += seen
+                seen = more
         flush()
         if pending:
             yield out()
@@ -186,23 +232,29 @@ def link_counts(docs: DataFrame, vocabulary: str, model: bytes) -> DataFrame:
     return docs.select("text").mapInArrow(count, PAIRS).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-class Counts(dict):
-    """What a worker knows of units: (n_best, count_sum, pairs that the broadcast table lacks)."""
+class Counts:
+    """The broadcast table of pairs, and the units of an aligner that have pairs beyond it."""
 
     def __init__(self, pairs: np.ndarray, n: np.ndarray, best: np.ndarray):
-        super().__init__()
         self.pairs, self.n, self.best = pairs, n, best
-
-    def of(self, name: str, raw: bytes) -> tuple[int, int, list[int]]:
-        found = self.get(name)
-        if found is None:
-            if len(self) >= KEPT_UNITS:
-                self.clear()
-            pairs = np.frombuffer(raw, "<i8")
-            k = np.minimum(np.searchsorted(self.pairs, pairs), max(len(self.pairs) - 1, 0))
-            known = self.pairs[k] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
-            found = self[name] = (int(self.best[k[known]].sum()), int(self.n[k[known]].sum()), pairs[~known].tolist())
-        return found
+        self.lacking: dict[int, list[int]] = {}
+
+    def fill(self, aligner: Aligner, wanted: set[str]) -> None:
+        """Aligns new units and enters how many of their links are best, and the sum of their links' counts, as far as the table goes."""
+        if aligner.full():
+            aligner.clear()
+            self.lacking.clear()
+        first, pairs = aligner.fill(wanted)
+        if not len(pairs):
+            return
+        k = np.minimum(np.searchsorted(self.pairs, pairs), max(len(self.pairs) - 1, 0))
+        known = self.pairs[k] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
+        ends = np.cumsum(aligner.fields[first : aligner.good, 3])
+        for j, values in ((4, self.best), (5, self.n)):
+            found = np.where(known, values[k], 0) if len(values) else np.zeros(len(pairs), np.int64)
+            aligner.fields[first : aligner.good, j] = np.add.reduceat(found.astype(np.int64), np.concatenate(([0], ends[:-1])))
+        for at in np.flatnonzero(~known).tolist():
+            self.lacking.setdefault(first + int(np.searchsorted(ends, at, "right")), []).append(int(pairs[at]))
 
 
 def _worker(shared, table) -> tuple[Aligner, Counts]:
@@ -215,24 +267,21 @@ def _digests(docs: DataFrame, shared, table) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, counts = _worker(shared, table)
         for batch in batches:
-            texts, rare, rows = batch["text"].to_pylist(), batch["rare"].to_pylist(), []
+            texts, rare, sums, digests = batch["text"].to_pylist(), batch["rare"].to_pylist(), [], []
             for k in range(0, len(texts), TEXTS):
-                for found, other in zip(_split(texts[k : k + TEXTS], aligner), rare[k : k + TEXTS], strict=True):
-                    if not found:
-                        rows.append((0, 0, 0, 0, 0, 0, ""))
-                        continue
-                    parts = [aligner[u] for u in found]
-                    known = [counts.of(u, p[5]) for u, p in zip(found, parts, strict=True)]
-                    best, total = sum([c[0] for c in known]), sum([c[1] for c in known])
+                found = [units(t) if t else [] for t in texts[k : k + TEXTS]]
+                counts.fill(aligner, set().union(*found))
+                for numbers, other in zip(_numbered(found, aligner), rare[k : k + TEXTS], strict=True):
+                    total = aligner.fields[numbers].sum(0) if numbers else np.zeros(6, np.int64)
                     if other:
                         of = {r["pair"]: (r["best"], r["n"]) for r in other}
-                        for c in known:
-                            for pair in c[2]:
-                                best, total = best + of[pair][0], total + of[pair][1]
-                    text = ";".join([p[4] for p in parts])
-                    rows.append((*(sum([p[j] for p in parts]) for j in range(4)), best, total, hashlib.sha256(text.encode()).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+                        for pair in itertools.chain.from_iterable(counts.lacking.get(x, ()) for x in numbers):
+                            total[4:] += of[pair]
+                    sums.append(total)
+                    text = "".join([aligner.texts[x] for x in numbers])
+                    digests.append(hashlib.sha256(text[1:].encode()).hexdigest() if text else "")
+            columns = np.array(sums, np.int64).reshape(-1, 6).T
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, columns), pa.array(digests, pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", "rare").mapInArrow(digest, ALIGNED)
 
@@ -246,8 +295,9 @@ def _with_rare_pairs(docs: DataFrame, pairs: DataFrame, shared, table) -> DataFr
         for batch in batches:
             texts, out = batch["text"].to_pylist(), []
             for k in range(0, len(texts), TEXTS):
-                for found in _split(texts[k : k + TEXTS], aligner):
-                    out.append(list(set().union(*(counts.of(u, aligner[u][5])[2] for u in found))))
+                found = [units(t) if t else [] for t in texts[k : k + TEXTS]]
+                counts.fill(aligner, set().union(*found))
+                out += [list(set().union(*(counts.lacking.get(x, ()) for x in numbers))) for numbers in _numbered(found, aligner)]
             yield pa.RecordBatch.from_arrays([batch["doc"], batch["copy"], pa.array(out, pa.list_(pa.int64()))], ["doc", "copy", "pairs"])
 
     docs = docs.withColumn("doc", F.col("doc_id").cast("string")).withColumn("copy", F.sha2(F.coalesce("text", F.lit("")), 256))

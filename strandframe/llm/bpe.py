@@ -146,7 +146,7 @@ class Words(dict):
         return b"".join(map(self.table.__getitem__, found))
 
 
-def _by_ranks(vocabulary: str, conf: dict):
+def _by_ranks(vocabulary: str, conf: dict, words: str = r"(?s:.+)"):
     """The same byte-level merges by the ranks of their results, where ids follow the merges in order; that is faster for single words."""
     vocab, merges = conf["model"]["vocab"], conf["model"]["merges"]
     joined = ("".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges)
@@ -156,7 +156,7 @@ def _by_ranks(vocabulary: str, conf: dict):
 
     special = {x["id"] for x in conf["added_tokens"]}
     ranks = {p: k for k, p in enumerate(pieces(vocabulary)) if p and k not in special}
-    return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("words", pat_str=words, mergeable_ranks=ranks, special_tokens={})
 
 
 def pieces(vocabulary: str) -> list[bytes]:
