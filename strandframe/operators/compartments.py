@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import compartment, is_conserved, switch_type
+from .graph import checkpointed
 from .intervals import overlap_join, points_in
 
 
@@ -97,3 +98,27 @@ def flips_of_links(links: DataFrame, bg1: DataFrame, bg2: DataFrame, least: floa
         rows = points_in(at, bg.select("chrom", "start", "stop", "score"), closed=False).withColumnRenamed("b_score", f"v{k}").drop("chrom", "pos", "b_chrom", "b_start", "b_stop")
     rows = rows.where((F.col("v1") * F.col("v2") < 0) & (F.abs(F.col("v1") - F.col("v2")) >= least))
     return rows.withColumn("way", F.when(F.col("v1") > F.col("v2"), "a2b").otherwise("b2a"))
+
+
+def conserved_domains(domains1: DataFrame, genes1: DataFrame, domains2: DataFrame, genes2: DataFrame, anchors: DataFrame, fraction: float = 0.7, least_share: float = 0.0, least_genes: int = 0, least_anchored: int = 0) -> DataFrame:
+    """Pairs of domains that anchors (gene1, gene2, line_no) join, a gene being of a domain that holds at least `fraction` of it (of several, the
+    one with most of it, then the first): their genes, those of them in anchors, the joining anchors, their shares of either, and the genes' names
+    in the anchors' order. Pairs whose counts or shares lie below the thresholds are left out; pairs that share nothing are never listed."""
+
+    def side(domains: DataFrame, genes: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        ends = domains.select("chrom", "start", "stop").distinct()
+        held = overlap_join(genes.select("chrom", "start", "stop", "gene"), ends, fraction_a=fraction)
+        one = held.groupBy("gene").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "b_chrom", "b_start", "b_stop")).alias("d")).select("gene", F.concat_ws(":", "d.b_chrom", "d.b_start", "d.b_stop").alias(f"domain{k}"))
+        one = checkpointed(one)
+        linked = anchors.select(F.col(f"gene{k}").alias("gene")).distinct().withColumn("__linked", F.lit(1))
+        many = one.join(linked, "gene", "left").groupBy(f"domain{k}").agg(F.count(F.lit(1)).alias(f"genes{k}"), F.count("__linked").alias(f"anchored{k}"))
+        return one.withColumnRenamed("gene", f"gene{k}"), many
+
+    (of1, many1), (of2, many2) = side(domains1, genes1, 1), side(domains2, genes2, 2)
+    pairs = anchors.select("gene1", "gene2", "line_no").join(of1, "gene1").join(of2, "gene2")
+    pairs = pairs.groupBy("domain1", "domain2").agg(F.count(F.lit(1)).alias("pairs"), F.array_sort(F.collect_list(F.struct("line_no", "gene1", "gene2"))).alias("g"))
+    names = [F.array_join(F.col(f"g.gene{k}"), ",").alias(f"names{k}") for k in (1, 2)]
+    out = pairs.join(many1, "domain1").join(many2, "domain2")
+    share = lambda c: F.col("pairs").cast("double") / F.col(c)
+    out = out.select("domain1", "domain2", "pairs", "genes1", "genes2", "anchored1", "anchored2", share("genes1").alias("share1"), share("genes2").alias("share2"), share("anchored1").alias("anchored_share1"), share("anchored2").alias("anchored_share2"), *names)
+    return out.where((F.least("share1", "share2") >= least_share) & (F.least("genes1", "genes2") >= least_genes) & (F.least("anchored1", "anchored2") >= least_anchored))

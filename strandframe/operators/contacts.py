@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .genes import running_total
 from .graph import checkpointed
 
 #: Bins up to which their biases may be broadcast, 16 bytes each.
@@ -341,3 +342,35 @@ def allelic_pairs(alleles: DataFrame) -> DataFrame:
 def strongest(links: DataFrame, by: str, order: list[Column]) -> DataFrame:
     """The first link of each `by` in an order that must be total."""
     return links.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("__r = 1").drop("__r")
+
+
+def territories_by_distance(pairs: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
+    """(chrom1, chrom2, observed, expected, score) of pairs of chromosomes, chrom1 the one laid out first, by name: contacts between them, those to be
+    expected from the mean of all bin pairs at each distance on the whole genome laid out in one line, and the logarithm to 2 of their ratio.
+
+    A distance d has N - d bin pairs on a genome of N bins. Between two chromosomes the number of bin pairs at a distance rises, stays
+    and falls as four ramps, so the expected sum needs prefix sums of the means at four distances a pair of chromosomes; no bin pairs are listed.
+    """
+    laid = contig_offsets(sizes.select(F.col("chrom").alias("id"), F.col("size").alias("length")), width)
+    laid = checkpointed(laid.select(F.col("id").alias("chrom"), F.col("offset").alias("first"), "bins"))
+    many = laid.agg(F.sum("bins").alias("n")).first()["n"] or 0
+    side = lambda k: laid.select(F.col("chrom").alias(f"chr{k}"), F.col("first").alias(f"first{k}"), F.col("bins").alias(f"bins{k}"))
+    bins = [F.floor(F.col(f"pos{k}") / width).cast("long").alias(f"b{k}") for k in (1, 2)]
+    pixels = pairs.groupBy("chr1", "chr2", *bins).agg(F.count(F.lit(1)).alias("n")).join(side(1), "chr1").join(side(2), "chr2")
+    pixels = checkpointed(pixels.withColumn("d", F.abs(F.col("first2") + F.col("b2") - F.col("first1") - F.col("b1"))))
+    mean = pixels.groupBy(F.col("d").alias("line_no")).agg((F.sum("n").cast("double") / (F.lit(many) - F.first("d"))).alias("m"))
+    turn = lambda a, b: F.when(F.col("first1") <= F.col("first2"), F.col(a)).otherwise(F.col(b)).alias(a)
+    swapped = [turn(f"{c}{k}", f"{c}{3 - k}") for c in ("chr", "first", "bins") for k in (1, 2)]
+    seen = checkpointed(pixels.where("chr1 <> chr2").select(*swapped, "n").groupBy("chr1", "chr2", "first1", "first2", "bins1", "bins2").agg(F.sum("n").alias("observed")))
+    gap = F.col("first2") - F.col("first1")
+    ramps = F.array(*[F.struct(F.lit(sign).alias("sign"), at.alias("t")) for sign, at in ((1, gap - F.col("bins1")), (-1, gap), (-1, gap + F.col("bins2") - F.col("bins1")), (1, gap + F.col("bins2")))])
+    ramps = seen.select("chr1", "chr2", F.explode(ramps).alias("r")).select("chr1", "chr2", "r.sign", F.col("r.t").alias("line_no"))
+    lines = ramps.select("line_no").distinct().join(mean, "line_no", "full_outer").select("line_no", F.coalesce("m", F.lit(0.0)).alias("m"))
+    lines = lines.withColumn("md", F.col("m") * F.col("line_no"))
+    sums = running_total(running_total(lines, "m").withColumnRenamed("total", "m_to"), "md").withColumnRenamed("total", "md_to")
+    whole = mean.agg(F.sum("m").alias("m_all"), F.sum(F.col("m") * F.col("line_no")).alias("md_all"))
+    ramps = ramps.join(sums, "line_no").crossJoin(F.broadcast(whole))  # one row
+    above = (F.col("md_all") - F.col("md_to")) - F.col("line_no") * (F.col("m_all") - F.col("m_to"))
+    expected = ramps.groupBy("chr1", "chr2").agg(F.sum(F.col("sign") * above).alias("expected"))
+    out = seen.select("chr1", "chr2", "observed").join(expected, ["chr1", "chr2"])
+    return out.select(F.col("chr1").alias("chrom1"), F.col("chr2").alias("chrom2"), "observed", "expected", F.log2(F.col("observed") / F.col("expected")).alias("score"))

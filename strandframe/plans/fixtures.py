@@ -115,6 +115,23 @@ VIEWS: dict[str, str] = {
         SELECT 'Chr' || cast(1 + p_partkey % 4 AS varchar(8)) AS chrom, 'G' || cast(p_partkey AS varchar(12)) AS gene, k AS nth, 'ctg' || cast((p_partkey*7 + k*13) % 400 AS varchar(8)) AS contig
   FROM {part} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks
     """,
+    "hap_links": """
+        SELECT concat('G', cast(p AS varchar(12))) AS gene1, concat('G', cast(q AS varchar(12))) AS gene2, substring('ABCD', 1 + cast(p % 4 AS integer), 1) AS hap1,
+          substring('ABCD', 1 + cast(q % 4 AS integer), 1) AS hap2, p*4 + k AS line_no,
+          CASE WHEN p % 4 = q % 4 THEN 'intra' WHEN (p + k) % 7 = 0 THEN 'elsewhere' WHEN (p + k) % 5 = 0 THEN 'tandem' ELSE 'homolog' END AS kind
+        FROM (SELECT p_partkey AS p, k, cast(floor(p_partkey/6) AS bigint)*6 + (p_partkey*5 + p_size + 2*k) % 6 + CASE WHEN p_size % 25 = 0 THEN 6 ELSE 0 END AS q
+          FROM {part} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks) x WHERE p <> q
+    """,
+    "allele_cells": """
+        SELECT allele_id, CASE WHEN r = 1 THEN slot END AS hap, gene, CASE WHEN r > 1 THEN cast(row_number() OVER (PARTITION BY allele_id, r > 1 ORDER BY slot, gene) AS bigint) END AS nth
+        FROM (SELECT allele_id, slot, gene, row_number() OVER (PARTITION BY allele_id, slot ORDER BY gene) AS r FROM (SELECT DISTINCT allele_id, slot, gene FROM {alleles} WHERE cast(floor(cast(substring(gene, 2, 12) AS bigint)/6) AS bigint) % 5 <> 0) d) x
+    """,
+    "allele_cells2": """
+        SELECT concat('R', cast(p_partkey % 80 AS varchar(8))) AS allele_id, cast(NULL AS varchar(1)) AS hap, concat('G', cast(p_partkey AS varchar(12))) AS gene, cast(floor(p_partkey/80) AS bigint) + 1 AS nth FROM {part} WHERE p_partkey % 3 = 0
+    """,
+    "hap_of_gene": """
+        SELECT concat('G', cast(p_partkey AS varchar(12))) AS gene, substring('ABCD', 1 + cast(p_partkey % 4 AS integer), 1) AS hap FROM {part}
+    """,
     "gene_pc1": """
         SELECT concat('G', cast(p_partkey AS varchar(12))) AS gene, concat('Chr', cast(1 + (p_partkey % 4) AS varchar(8))) AS chrom, (p_partkey*9973) % 990000 AS start,
   cast((p_partkey*37) % 201 - 100 AS double)/cast(100 AS double) AS v1, cast((p_partkey*53) % 201 - 100 AS double)/cast(100 AS double) AS v2 FROM {part}
