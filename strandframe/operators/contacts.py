@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,20 +189,86 @@ def observed_over_log_bins(p: DataFrame, bins: int, by: str = "chrom", ratio: fl
     return rows.select(by, "bin1", "bin2", "n", F.when(F.col("expected") != 0, F.col("n") / F.col("expected")).otherwise(F.col("n")).alias("oe"))
 
 
+def _side_sums(p: DataFrame, ids: np.ndarray, left: np.ndarray, right: np.ndarray, sides: tuple[bool, bool], drop: int | None) -> np.ndarray:
+    """Sums over bins (in the order of ids) of n times both its bins' factors, by one job: each task adds up its own pixels. sides: whether
+    bin1 and bin2 get a pixel's value; a pixel on the diagonal gives it once. drop: diagonals up to this one count as 0."""
+    shared = p.sparkSession.sparkContext.broadcast((ids, left, right))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, left, right = shared.value
+        total = np.zeros(len(ids))
+        for batch in batches:
+            bin1, bin2, n = (batch[c].to_numpy() for c in ("bin1", "bin2", "n"))
+            k1, k2 = np.searchsorted(ids, bin1), np.searchsorted(ids, bin2)
+            x = n * left[k1] * right[k2]
+            if drop is not None:
+                x[bin2 - bin1 <= drop] = 0
+            if sides[0]:
+                total += np.bincount(k1, x, len(ids))
+            if sides[1]:
+                apart = k1 != k2 if sides[0] else slice(None)
+                total += np.bincount(k2[apart], x[apart], len(ids))
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "s"])
+
+    got = p.mapInArrow(add, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).toArrow()  # one row a bin
+    out = np.zeros(len(ids))
+    out[got["k"].to_numpy()] = got["s"].to_numpy()
+    shared.unpersist()
+    return out
+
+
+def _scaled(p: DataFrame, ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> DataFrame:
+    """(bin1, bin2, n, balanced): n times both its bins' factors."""
+    shared = p.sparkSession.sparkContext.broadcast((ids, left, right))
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, left, right = shared.value
+        for batch in batches:
+            k1, k2 = (np.searchsorted(ids, batch[c].to_numpy()) for c in ("bin1", "bin2"))
+            yield pa.RecordBatch.from_arrays([batch["bin1"], batch["bin2"], batch["n"], pa.array(batch["n"].to_numpy() * left[k1] * right[k2])], ["bin1", "bin2", "n", "balanced"])
+
+    return p.mapInArrow(scale, "bin1 long, bin2 long, n double, balanced double")
+
+
+def _written(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pixels that are not 0, and their bins, both written: what every round reads."""
+    p = checkpointed(p.select(F.col("bin1").cast("long").alias("bin1"), F.col("bin2").cast("long").alias("bin2"), F.col("n").cast("double").alias("n")).where("n <> 0 and bin1 is not null and bin2 is not null"))
+    return p, checkpointed(p.select(F.explode(F.array("bin1", "bin2")).alias("bin")).distinct())
+
+
 def balanced(p: DataFrame, rounds: int = 599, tolerance: float = 1e-5, damping: float = 0.8, drop: int = -1) -> DataFrame:
     """Iterative correction of upper-triangle pixels (bin1, bin2, n): in each round every bin's bias takes up `damping` of how far
     its sum lies from the mean sum, until none lies further than `tolerance` or the rounds are over. ``balanced`` is the count
     over both biases, rescaled by the squared mean bias. drop: diagonals up to this one count in no sum; their pixels stay.
 
-    A round reads the pixels, checkpointed once, in one pass; the biases, one row a bin, are broadcast where they were counted
-    to be few. Only sums over bins reach the driver.
+    Where the bins were counted to be few, their biases are one array, and a round is one job over the pixels, whose tasks send
+    sums; beyond BROADCAST_BINS the biases are a table that the pixels meet in joins.
     """
-    p = checkpointed(p.select("bin1", "bin2", F.col("n").cast("double").alias("n")).where("n <> 0"))
-    bias = checkpointed(bin_sums(p, []).select("bin", F.lit(1.0).alias("bias")))
-    hint = F.broadcast if bias.count() <= BROADCAST_BINS else (lambda df: df)
+    p, bins = _written(p)
+    if bins.count() > BROADCAST_BINS:
+        return _balanced_by_joins(p, bins, rounds, tolerance, damping, drop)
+    ids = np.sort(bins.toArrow()["bin"].to_numpy())
+    bias = np.ones(len(ids))
+    for _ in range(rounds):
+        total = _side_sums(p, ids, 1 / bias, 1 / bias, (True, True), drop)
+        mean = total.mean() if len(total) else 0
+        if not mean:
+            break
+        step = 1 + damping * (total / mean - 1)
+        bias *= step
+        if np.abs(step - 1).max() < tolerance:
+            break
+    corr = bias.mean() if len(bias) else 1.0
+    return _scaled(p, ids, corr / bias, corr / bias)
+
+
+def _balanced_by_joins(p: DataFrame, bins: DataFrame, rounds: int, tolerance: float, damping: float, drop: int) -> DataFrame:
+    """balanced() with the biases in a table."""
+    bias = bins.select("bin", F.lit(1.0).alias("bias"))
 
     def corrected(bias: DataFrame) -> DataFrame:
-        u, v = (hint(bias.select(F.col("bin").alias(f"bin{k}"), F.col("bias").alias(c))) for k, c in ((1, "u"), (2, "v")))
+        u, v = (bias.select(F.col("bin").alias(f"bin{k}"), F.col("bias").alias(c)) for k, c in ((1, "u"), (2, "v")))
         return p.join(u, "bin1").join(v, "bin2").select("bin1", "bin2", "n", (F.col("n") / (F.col("u") * F.col("v"))).alias("x"))
 
     for k in range(rounds):
@@ -210,7 +278,7 @@ def balanced(p: DataFrame, rounds: int = 599, tolerance: float = 1e-5, damping:
         if not mean:
             break
         step = sums.select("bin", (1 + damping * (F.col("total") / mean - 1)).alias("s"))
-        bias = bias.join(hint(step), "bin").select("bin", (F.col("bias") * F.col("s")).alias("bias"))
+        bias = bias.join(step, "bin").select("bin", (F.col("bias") * F.col("s")).alias("bias"))
         bias = checkpointed(bias) if k % 3 == 2 else bias  # its sums are checkpointed, so it is cheap to work out again
         if damping * max(high / mean - 1, 1 - low / mean) < tolerance:
             break
@@ -241,8 +309,26 @@ def corrected_safely(p: DataFrame, bins: int, least_sum: float = 40, diagonals:
 
 def balanced_both_ways(p: DataFrame, rounds: int = 50) -> DataFrame:
     """Iterative correction of pixels (bin1, bin2, n) of a matrix that is not symmetric: each round divides by the rows' sums, then
-    by the columns', each over their mean. ``balanced`` keeps the matrix's total."""
-    x = checkpointed(p.select("bin1", "bin2", F.col("n").cast("double").alias("x")).where("x <> 0"))
+    by the columns', each over their mean. ``balanced`` keeps the matrix's total. Bins as in balanced()."""
+    p, bins = _written(p)
+    if bins.count() > BROADCAST_BINS:
+        return _both_ways_by_joins(p, rounds)
+    ids = np.sort(bins.toArrow()["bin"].to_numpy())
+    factors, whole = [np.ones(len(ids)), np.ones(len(ids))], None
+    for k in range(2 * rounds):
+        total = _side_sums(p, ids, *factors, (k % 2 == 0, k % 2 == 1), None)
+        there = total != 0
+        if not there.any():
+            break
+        whole = total.sum() if whole is None else whole
+        factors[k % 2][there] *= total[there].mean() / total[there]
+    last = _side_sums(p, ids, *factors, (True, False), None).sum() if len(ids) else 0
+    return _scaled(p, ids, factors[0] * ((whole or 1.0) / (last or 1.0)), factors[1]).select("bin1", "bin2", "balanced")
+
+
+def _both_ways_by_joins(p: DataFrame, rounds: int) -> DataFrame:
+    """balanced_both_ways() with the sums in tables."""
+    x = p.select("bin1", "bin2", F.col("n").alias("x"))
     total = x.agg(F.sum("x")).first()[0]
     for k in range(2 * rounds):
         side = "bin1" if k % 2 == 0 else "bin2"

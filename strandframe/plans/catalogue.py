@@ -115,8 +115,8 @@ LOG_OE = """WITH s AS (SELECT greatest(2, cast(floor(ln(50)/ln(1.03)) AS bigint)
 add("expected_by_log_bins", "MAT-10", lambda v: rounded(C.expected_by_log_bins(v("pixels"), 50), "expected"), LOG_OE + "SELECT chrom, d, round(expected, 6) AS expected FROM ex, unnest(range(low, high)) t(d)")
 add("obs_over_log_bins", "MAT-10", lambda v: rounded(C.observed_over_log_bins(v("pixels"), 50), "oe"), LOG_OE + "SELECT chrom, bin1, bin2, n, round(oe, 6) AS oe FROM loe")
 add("balanced_matrix", "MAT-11", lambda v: rounded(C.balanced(v("genome_pixels")), "balanced"))
-add("balanced_both_ways", "MAT-12", lambda v: rounded(C.balanced_both_ways(v("genome_pixels"), rounds=10), "balanced"))
-add("balanced_off_diagonal", "MAT-13 MAT-15", lambda v: rounded(C.corrected_safely(v("genome_pixels"), 200, tolerance=1e-3), "balanced"))
+add("balanced_both_ways", "MAT-12", lambda v: rounded(C.balanced_both_ways(v("genome_pixels")), "balanced"))
+add("balanced_off_diagonal", "MAT-13 MAT-15", lambda v: rounded(C.corrected_safely(v("genome_pixels"), 200), "balanced"))
 PC1 = lambda v: v("bg1").groupBy("chrom", (F.floor(F.col("start") / 20000)).cast("long").alias("bin")).agg(F.min("score").alias("pc1"))
 add("compartment_strength", "MAT-16", lambda v: rounded(C.strength(C.observed_over_log_bins(v("pixels"), 50), PC1(v)), "mean"),
     LOG_OE + """, b AS (SELECT chrom, bin1, bin2, oe FROM loe UNION ALL SELECT chrom, bin2, bin1, oe FROM loe WHERE bin1 <> bin2), pc AS (SELECT g.chrom, cast(floor(start/20000) AS bigint) AS bin, min(score) AS pc1 FROM {bg1} g GROUP BY 1, 2),

@@ -20,7 +20,8 @@ def test_agrees_with_sql(spark, sf, con, name):
     assert parity.rows(df.columns, [tuple(x) for x in df.collect()]) == parity.rows(columns, r.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
+# At this scale no bin of balanced_off_diagonal passes its least sum, so that no rows are right; test_balancing has dense matrices.
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) - {"balanced_off_diagonal"}))
 def test_has_rows(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
