@@ -14,7 +14,6 @@ import hashlib
 import itertools
 import json
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,23 +22,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import checkpointed, held, least_count
+from .common import checkpointed, held, least_count, shared_path
 
 #: Bytes of the table of linked pairs that are broadcast, the most frequent pairs first, and of each pair.
 BROADCAST_BYTES, PAIR_BYTES = 96 << 20, 24
-#: Distinct units whose alignments a worker keeps; beyond, it starts afresh. Linked pairs that a task holds before it adds up equal ones.
-KEPT_UNITS, HELD_PAIRS = 400_000, 4_000_000
-#: Texts whose new units are aligned together.
-TEXTS = 200
+#: Distinct units whose alignments a worker keeps; beyond, it starts afresh.
+KEPT_UNITS = 250_000
+#: Texts whose new units are aligned together; bytes of links that a task's writer holds.
+TEXTS, ROW_GROUP = 200, 16 << 20
 UNITS = re.compile(r"(?<=\S)(?= )")
 #: A space after white space; without one, units are what single spaces part.
 AFTER_SPACE = re.compile(r"\s ")
 #: How the byte-level tokenizer parts words (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A pair of ids is one number: the first id times this, plus the second.
+#: A pair of ids is one number of 32 bits: the first id times this, plus the second.
 SHIFT = 1 << 16
-PAIRS = "pair long, n long"
+LINKED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+COUNTED = [c.split()[0] for c in ALIGNED.split(", ")]
 
 
 def read_model(path: str) -> bytes:
@@ -72,9 +72,8 @@ def farthest(first_ends: np.ndarray, second_ends: np.ndarray) -> np.ndarray:
 
 
 class Aligner:
-    """Alignments of distinct units by number: the numbers of tokens of A and B, of groups and of links, what is known of the links
-    (best, total), the groups as text with a ; before each, and the links' pairs one unit after another. Units whose bytes a
-    tokenizer does not give back have the number -1."""
+    """Alignments of distinct units by number: the numbers of tokens of A and B, of groups and of links, the groups as text with a ;
+    before each, and the links' pairs as little-endian 32-bit numbers. Units whose bytes a tokenizer does not give back have the number -1."""
 
     def __init__(self, vocabulary: str, model: bytes):
         import sentencepiece
@@ -101,7 +100,7 @@ class Aligner:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.good = 0
-        self.fields, self.texts, self.pairs = np.zeros((1024, 6), np.int64), [], []
+        self.fields, self.texts, self.pairs = np.zeros((1024, 4), np.int64), [], []
 
     def full(self) -> bool:
         return len(self.index) >= KEPT_UNITS
@@ -111,12 +110,12 @@ class Aligner:
             return self.a_ranks.encode_ordinary(text)
         return self.a.encode(text, add_special_tokens=False).ids
 
-    def fill(self, wanted: set[str]) -> tuple[int, np.ndarray]:
-        """Aligns those units that are new, all at once; returns the number of the first, and their links' pairs."""
-        new = [u for u in wanted if u not in self.index]
+    def fill(self, wanted: set[str]) -> None:
+        """Aligns those units that are new, all at once."""
+        new = wanted.difference(self.index) if len(wanted) > len(self.index) else {u for u in wanted if u not in self.index}
         # A unit that ends in white space ends a text; elsewhere its space would go with the next unit's.
-        whole = [u for u in new if not u[-1:].isspace() and u]
-        last = [u for u in new if u[-1:].isspace() or not u]
+        last = [u for u in new if not u or u[-1] <= " " or u[-1] > "~" and u[-1].isspace()]
+        whole = list(new.difference(last))
         # Bytes that a tokenizer does not give back are looked for unit by unit, if there are any.
         raw = "".join([" " + u for u in whole])
         a_ids, b_ids = self._a_ids(raw), self.b.encode(whole, num_threads=1)
@@ -127,7 +126,8 @@ class Aligner:
         if last:
             more_a, more_b, last = self._checked(last, [x or [self.b.piece_to_id("▁")] for x in self.b.encode(last, num_threads=1)])
             a_ids, b_ids, whole = a_ids + more_a, b_ids + more_b, whole + last
-        return self._align(whole, list(itertools.chain.from_iterable(a_ids)), b_ids) if whole else (self.good, np.zeros(0, np.int64))
+        if whole:
+            self._align(whole, list(itertools.chain.from_iterable(a_ids)), b_ids)
 
     def _gives(self, raw: bytes, a_ids: list[int], b_ids: list[int]) -> bool:
         return b"".join([self.a_pieces[i] for i in a_ids]) == raw == b"".join([self.b_pieces[i] for i in b_ids])
@@ -144,7 +144,7 @@ class Aligner:
                 self.index[u] = -1
         return out_a, out_b, out
 
-    def _align(self, names: list[str], a_ids: list[int], b_ids: list[list[int]]) -> tuple[int, np.ndarray]:
+    def _align(self, names: list[str], a_ids: list[int], b_ids: list[list[int]]) -> None:
         a, b = np.array(a_ids, np.int64), np.fromiter(itertools.chain.from_iterable(b_ids), np.int64)
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         unit_ends = np.cumsum([1 + len(u) if u.isascii() else 1 + len(u.encode()) for u in names])
@@ -162,18 +162,16 @@ class Aligner:
         chosen = np.where(~new_side, 1, np.where(side == 0, 0, 2)) * self.many + np.concatenate((a, b))[order]
         cuts = np.cumsum(self.marked_sizes[chosen])[np.cumsum(counts[0] + counts[1]) - 1].tolist()
         text = "".join(map(self.marked.__getitem__, chosen.tolist()))
-        first, at = self.good, 0
-        for k, (name, cut) in enumerate(zip(names, cuts, strict=True), first):
-            self.index[name] = k
-            self.texts.append(text[at:cut])
-            at = cut
+        first = self.good
+        self.index.update(zip(names, range(first, first + len(names)), strict=True))
+        self.texts += [text[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        raw, link_cuts = pairs.astype("<u4").tobytes(), (4 * np.cumsum(counts[3])).tolist()
+        self.pairs += [raw[a:b] for a, b in zip([0, *link_cuts], link_cuts, strict=False)]
         self.good += len(names)
         while self.good > len(self.fields):
             self.fields = np.concatenate((self.fields, np.zeros_like(self.fields)))
         for j, n in enumerate(counts):
             self.fields[first : self.good, j] = n
-        self.pairs.append(pairs)
-        return first, pairs
 
 
 def _numbered(found: list[list[str]], aligner: Aligner) -> list[list[int]]:
@@ -183,128 +181,46 @@ def _numbered(found: list[list[str]], aligner: Aligner) -> list[list[int]]:
     return [[] if -1 in x else x for x in out] if aligner.good < len(aligner.index) else out
 
 
-def _summed(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs and the sums of their counts."""
-    order = np.argsort(pairs, kind="stable")
-    pairs, n = pairs[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
-    return pairs[first], np.add.reduceat(n, first) if len(first) else n
-
-
-def link_counts(docs: DataFrame, vocabulary: str, model: bytes) -> DataFrame:
-    """(pair, n): how many links of all texts hold each pair of ids; each task adds up its own first."""
+def aligned(docs: DataFrame, vocabulary: str, model: bytes) -> DataFrame:
+    """LINKED: per document its tokens, groups and links, the digest of its groups and its links' pairs."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = held(("aligner", hash(shared.value)), lambda: Aligner(*shared.value))
-        aligner.clear()
-        seen, pending = np.zeros(0, np.int64), []
-
-        def flush() -> None:
-            nonlocal seen
-            if aligner.pairs:
-                n = np.repeat(np.pad(seen, (0, aligner.good - len(seen))), aligner.fields[: aligner.good, 3])
-                pending.append(_summed(np.concatenate(aligner.pairs), n))
-                pending[:] = [_summed(*map(np.concatenate, zip(*pending, strict=True)))]
-            aligner.clear()
-            seen = np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            pairs, n = pending.pop()
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
-
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for k in range(0, len(texts), TEXTS):
+            for k in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(k, TEXTS)
+                found = [units(t) if t else [] for t in some["text"].to_pylist()]
                 if aligner.full():
-                    flush()
-                    if pending and len(pending[0][0]) >= HELD_PAIRS:
-                        yield out()
-                found = [units(t) if t else [] for t in texts[k : k + TEXTS]]
+                    aligner.clear()
                 aligner.fill(set().union(*found))
-                more = np.bincount(np.array(list(itertools.chain.from_iterable(_numbered(found, aligner))), np.int64), minlength=aligner.good)
-                more[: len(seen)] += seen
-                seen = more
-        flush()
-        if pending:
-            yield out()
-
-    return docs.select("text").mapInArrow(count, PAIRS).groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-class Counts:
-    """The broadcast table of pairs, and the units of an aligner that have pairs beyond it."""
-
-    def __init__(self, pairs: np.ndarray, n: np.ndarray, best: np.ndarray):
-        self.pairs, self.n, self.best = pairs, n, best
-        self.lacking: dict[int, list[int]] = {}
-
-    def fill(self, aligner: Aligner, wanted: set[str]) -> None:
-        """Aligns new units and enters how many of their links are best, and the sum of their links' counts, as far as the table goes."""
-        if aligner.full():
-            aligner.clear()
-            self.lacking.clear()
-        first, pairs = aligner.fill(wanted)
-        if not len(pairs):
-            return
-        k = np.minimum(np.searchsorted(self.pairs, pairs), max(len(self.pairs) - 1, 0))
-        known = self.pairs[k] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
-        ends = np.cumsum(aligner.fields[first : aligner.good, 3])
-        for j, values in ((4, self.best), (5, self.n)):
-            found = np.where(known, values[k], 0) if len(values) else np.zeros(len(pairs), np.int64)
-            aligner.fields[first : aligner.good, j] = np.add.reduceat(found.astype(np.int64), np.concatenate(([0], ends[:-1])))
-        for at in np.flatnonzero(~known).tolist():
-            self.lacking.setdefault(first + int(np.searchsorted(ends, at, "right")), []).append(int(pairs[at]))
-
-
-def _worker(shared, table) -> tuple[Aligner, Counts]:
-    return held(("aligned", table.value[0]), lambda: (Aligner(*shared.value), Counts(*table.value[1:])))
-
-
-def _digests(docs: DataFrame, shared, table) -> DataFrame:
-    """ALIGNED of (doc_id, text, rare), rare being the text's pairs that the table lacks with their counts, or null."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, counts = _worker(shared, table)
-        for batch in batches:
-            texts, rare, sums, digests = batch["text"].to_pylist(), batch["rare"].to_pylist(), [], []
-            for k in range(0, len(texts), TEXTS):
-                found = [units(t) if t else [] for t in texts[k : k + TEXTS]]
-                counts.fill(aligner, set().union(*found))
-                for numbers, other in zip(_numbered(found, aligner), rare[k : k + TEXTS], strict=True):
-                    total = aligner.fields[numbers].sum(0) if numbers else np.zeros(6, np.int64)
-                    if other:
-                        of = {r["pair"]: (r["best"], r["n"]) for r in other}
-                        for pair in itertools.chain.from_iterable(counts.lacking.get(x, ()) for x in numbers):
-                            total[4:] += of[pair]
-                    sums.append(total)
-                    text = "".join([aligner.texts[x] for x in numbers])
-                    digests.append(hashlib.sha256(text[1:].encode()).hexdigest() if text else "")
-            columns = np.array(sums, np.int64).reshape(-1, 6).T
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, columns), pa.array(digests, pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text", "rare").mapInArrow(digest, ALIGNED)
-
-
-def _with_rare_pairs(docs: DataFrame, pairs: DataFrame, shared, table) -> DataFrame:
-    """(doc_id, text, rare): each text beside its pairs that the broadcast table lacks. No pair of this join is frequent, and a text's
-    rare pairs are no more than its links. Texts are told apart by doc_id and a digest."""
-
-    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, counts = _worker(shared, table)
-        for batch in batches:
-            texts, out = batch["text"].to_pylist(), []
-            for k in range(0, len(texts), TEXTS):
-                found = [units(t) if t else [] for t in texts[k : k + TEXTS]]
-                counts.fill(aligner, set().union(*found))
-                out += [list(set().union(*(counts.lacking.get(x, ()) for x in numbers))) for numbers in _numbered(found, aligner)]
-            yield pa.RecordBatch.from_arrays([batch["doc"], batch["copy"], pa.array(out, pa.list_(pa.int64()))], ["doc", "copy", "pairs"])
+                numbers = _numbered(found, aligner)
+                sums = np.array([aligner.fields[x].sum(0) if x else np.zeros(4, np.int64) for x in numbers], np.int64).reshape(-1, 4)
+                texts = ["".join([aligner.texts[i] for i in x])[1:] for x in numbers]
+                digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+                pairs = pa.array(np.frombuffer(b"".join([aligner.pairs[i] for x in numbers for i in x]), "<i4"))
+                pairs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sums[:, 3]))).astype(np.int32)), pairs)
+                yield pa.RecordBatch.from_arrays([some["doc_id"], *map(pa.array, sums.T), pa.array(digests, pa.string()), pairs], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(link, LINKED)
+
+
+def _counted(linked: DataFrame, table) -> DataFrame:
+    """linked without its pairs, with n_best and count_sum as far as the broadcast table of pairs goes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, values = table.value
+        for batch in (whole.slice(k, TEXTS) for whole in batches for k in range(0, whole.num_rows, TEXTS)):
+            own, ends = batch["pairs"].flatten().to_numpy(), np.concatenate(([0], np.cumsum(batch["n_links"].to_numpy())))
+            sums = [np.zeros(batch.num_rows, np.int64)] * 2
+            if len(pairs):
+                k = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
+                known = pairs[k] == own
+                totals = [np.concatenate(([0], np.cumsum(np.where(known, v[k], 0)))) for v in values]
+                sums = [t[ends[1:]] - t[ends[:-1]] for t in totals]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in COUNTED[:5]), *map(pa.array, sums), batch["groups_sha256"]], COUNTED)
 
-    docs = docs.withColumn("doc", F.col("doc_id").cast("string")).withColumn("copy", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rare = docs.select("doc", "copy", "text").mapInArrow(lacking, "doc string, copy string, pairs array<long>")
-    rare = rare.select("doc", F.col("copy").alias("c"), F.explode("pairs").alias("pair")).distinct().join(pairs.select("pair", "n", "best"), "pair")
-    rare = rare.groupBy(F.col("doc").alias("d"), "c").agg(F.collect_list(F.struct("pair", "n", "best")).alias("rare"))
-    return docs.join(rare, F.col("doc").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left")
+    return linked.mapInArrow(count, ALIGNED)
 
 
 def align(docs: DataFrame, vocabulary: str, model: bytes, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -316,16 +232,22 @@ def align(docs: DataFrame, vocabulary: str, model: bytes, broadcast_bytes: int =
     columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast((vocabulary, model))
-    counted = checkpointed(link_counts(docs, vocabulary, model))
+    path = shared_path(spark, "links")
+    aligned(docs, vocabulary, model).write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    linked = spark.read.schema(LINKED).parquet(path)
+    counted = checkpointed(linked.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")))
     # An id of B meets at most as many pairs as A has ids, so no part of this window outgrows a task.
-    pairs = checkpointed(counted.withColumn("best", (F.col("n") == F.max("n").over(Window.partitionBy(F.col("pair") % SHIFT))).cast("int")))
+    best = F.col("n") == F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(SHIFT - 1)))
+    pairs = checkpointed(counted.withColumn("best", best.cast("long")))
     least = least_count(pairs, PAIR_BYTES, broadcast_bytes)
     got = pairs.where(F.col("n") >= least).toArrow().sort_by("pair")
-    table = spark.sparkContext.broadcast((uuid.uuid4().hex, got["pair"].to_numpy(), got["n"].to_numpy(), got["best"].to_numpy()))
-    if least > 1:
-        docs = _with_rare_pairs(docs, pairs.where(F.col("n") < least), shared, table)
-    else:
-        docs = docs.withColumn("rare", F.lit(None).cast("array<struct<pair long, n long, best int>>"))
-    return _digests(docs, shared, table)
+    table = spark.sparkContext.broadcast((got["pair"].to_numpy(), (got["best"].to_numpy(), got["n"].to_numpy())))
+    out = _counted(linked, table)
+    if least == 1:
+        return out
+    # Pairs beyond the table are all rare: each text's meet their counts in a shuffle. Rows of one id and digest are alike.
+    rare = linked.select("doc_id", "groups_sha256", "pairs").dropDuplicates(["doc_id", "groups_sha256"]).withColumn("pair", F.explode("pairs"))
+    rare = rare.join(pairs.where(F.col("n") < least), "pair").groupBy(F.col("doc_id").alias("d"), F.col("groups_sha256").alias("g")).agg(F.sum("best").alias("b"), F.sum("n").alias("s"))
+    out = out.join(rare, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("groups_sha256") == F.col("g")), "left")
+    more = {"n_best": F.col("n_best") + F.coalesce("b", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("s", F.lit(0))}
+    return out.withColumns(more).select(*COUNTED)
