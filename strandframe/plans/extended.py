@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import annotation as AN
+from ..operators import assembly as ASM
 from ..operators import collinearity as L
 from ..operators import compartments as AB
 from ..operators import contacts as C
+from ..operators import genes as G
 from ..operators import kmers as K
 from ..operators import placement as P
 from ..operators import stats as T
@@ -105,3 +107,15 @@ add("domain_size_density", "STA-12", lambda v: rounded(T.density(v("domains").wi
     """WITH s AS (SELECT level, cast(stop - start AS double) AS x FROM {domains}), g AS (SELECT level, count(*) AS n, stddev_samp(x)*power(count(*), -0.2) AS h, min(x) AS lo, max(x) AS hi FROM s GROUP BY level HAVING stddev_samp(x) > 0),
     p AS (SELECT *, lo - 3*h AS f, (hi - lo + 6*h)/63 AS step FROM g), b AS (SELECT s.level, cast(floor((s.x - f)/step + 0.5) AS bigint) AS i, count(*) AS c FROM s JOIN p ON p.level = s.level GROUP BY 1, 2)
     SELECT p.level, cast(j AS integer) AS nth, round(f + j*step, 6) AS x, round(1e6*(SELECT sum(c*exp(-0.5*power((j - b.i)*step/h, 2))) FROM b WHERE b.level = p.level)/(n*h*sqrt(2*pi())), 6) AS density FROM p, range(0, 64) r(j)""")
+
+# --- compartments and contigs by position ------------------------------------------------------------------------------
+add("bins_by_position", "JN-08 INT-04", lambda v: (lambda b: rounded(AB.beside(b(v("bg1")), b(v("bg2").where("start >= 20000")), ["chrom", "start"]), "score", "score2"))(lambda d: d.select("chrom", "start", "score")),
+    """WITH a AS (SELECT chrom, start, score, row_number() OVER (ORDER BY chrom, start) - 1 AS place FROM {bg1}), b AS (SELECT chrom AS chrom2, start AS start2, score AS score2, row_number() OVER (ORDER BY chrom, start) - 1 AS place FROM {bg2} WHERE start >= 20000)
+    SELECT a.chrom, a.start, round(score, 6) AS score, chrom2, start2, round(score2, 6) AS score2, a.place FROM a JOIN b ON b.place = a.place""")
+add("link_flips", "INT-07", lambda v: rounded(AB.flips_of_links(G.anchor_links(v("anchors"), v("genes"), v("genes")).select("gene1", "gene2", "chrom1", "start1", "stop1", "chrom2", "start2", "stop2"), v("bg1"), v("bg2")).select("gene1", "gene2", "v1", "v2", "way"), "v1", "v2"),
+    """SELECT gene1, gene2, round(x.score, 6) AS v1, round(y.score, 6) AS v2, CASE WHEN x.score > y.score THEN 'a2b' ELSE 'b2a' END AS way FROM {anchors} JOIN {genes} a ON a.gene = gene1 JOIN {genes} b ON b.gene = gene2
+    JOIN {bg1} x ON x.chrom = a.chrom AND (a.stop - a.start) // 2 + a.start >= x.start AND (a.stop - a.start) // 2 + a.start < x.stop JOIN {bg2} y ON y.chrom = b.chrom AND (b.stop - b.start) // 2 + b.start >= y.start AND (b.stop - b.start) // 2 + b.start < y.stop
+    WHERE x.score*y.score < 0 AND abs(x.score - y.score) >= 0.005""")
+add("contig_pairs_on_chromosomes", "ASM-04", lambda v: ASM.contig_pairs_to_chrom(v("alignments").where("not is_unmapped"), v("agp_new")),
+    """SELECT read_id, a.chrom AS chr1, CASE WHEN a.orientation = '+' THEN a.start + p1 ELSE a.stop - p1 END AS pos1, b.chrom AS chr2, CASE WHEN b.orientation = '+' THEN b.start + p2 ELSE b.stop - p2 END AS pos2
+    FROM {alignments} JOIN {agp_new} a ON a.id = ref1 JOIN {agp_new} b ON b.id = ref2 WHERE NOT is_unmapped""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .schemas import SCHEMAS
 
 
-def tsv(spark: SparkSession, path: str, schema: str, null: str = ".", comment: str | None = "#", header: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
+def tsv(spark: SparkSession, path: str | list[str], schema: str, null: str = ".", comment: str | None = "#", header: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
     reader = spark.read.option("sep", "\t").option("nullValue", null).option("header", header).option("mode", mode)
     if comment:
         reader = reader.option("comment", comment)
@@ -159,12 +159,10 @@ def mcscanx_gff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stat(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Library statistics, one row a sample and a column an item."""
-    rows = None
-    for sample, path in paths.items():
-        one = read(spark, path, "stat").withColumn("sample", F.lit(sample))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy("sample").pivot("item").agg(F.first("value"))
+    """Library statistics, one row a sample and a column an item; all files are read at once and told apart by their paths."""
+    rows = tsv(spark, list(paths.values()), SCHEMAS["stat"]).withColumn("__file", F.expr("url_decode(input_file_name())"))
+    sample = F.coalesce(*[F.when(F.col("__file").endswith(path), F.lit(name)) for name, path in sorted(paths.items(), key=lambda x: -len(x[1]))])
+    return rows.withColumn("sample", sample).groupBy("sample").pivot("item").agg(F.first("value"))
 
 
 def allele_table(spark: SparkSession, path: str) -> DataFrame:
@@ -175,7 +173,7 @@ def allele_contigs(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, gene, nth, contig) of rows with as many contigs as they like."""
     f = F.split("value", r"\s+")
     rows = spark.read.text(path).where(F.size(f) > 2)
-    return rows.select(f[0].alias("chrom"), f[1].alias("gene"), F.posexplode(F.slice(f, 3, 1_000_000)).alias("nth", "contig")).where("contig <> ''")
+    return rows.select(f[0].alias("chrom"), f[1].alias("gene"), F.posexplode(F.slice(f, F.lit(3), F.size(f) - 2)).alias("nth", "contig")).where("contig <> ''")
 
 
 def tour(spark: SparkSession, path: str) -> DataFrame:
