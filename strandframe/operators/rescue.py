@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import strand_flag
+from .intervals import points_in
 from .genes import running_total, with_line_before
 
 
@@ -35,6 +36,21 @@ def links_of_alignments(lines: DataFrame) -> DataFrame:
     return first.select("line_no", "name", strand_flag(F.col("strand1")).alias("flag1"), "ref1", "p1", order1.alias("order1"), strand_flag(F.col("strand2")).alias("flag2"), "ref2", "p2", (1 - order1).alias("order2"))
 
 
+def fragment_pairs(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """pairs (read_id, chr1, pos1, strand1, chr2, pos2, strand2) with the restriction fragment of either end: (up1, down1) and (up2, down2), null for
+    an end that lies in no fragment (chrom, start, stop; half open) or in several. Of both ends the first by chromosome and place comes first;
+    strands are 1 and 0."""
+    later = (F.col("chr1") > F.col("chr2")) | ((F.col("chr1") == F.col("chr2")) & (F.col("pos1") > F.col("pos2")))
+    turned = [F.when(later, F.col(f"{c}{3 - k}")).otherwise(F.col(f"{c}{k}")).alias(f"{c}{k}") for k in (1, 2) for c in ("chr", "pos", "strand")]
+    rows = pairs.select("read_id", *turned)
+    for k in (1, 2):
+        at = rows.select("read_id", F.col(f"chr{k}").alias("chrom"), F.col(f"pos{k}").alias("pos"))
+        hits = points_in(at, fragments.select("chrom", "start", "stop"), closed=False).groupBy("read_id")
+        one = hits.agg(F.count(F.lit(1)).alias("__n"), F.min("b_start").alias(f"up{k}"), F.min("b_stop").alias(f"down{k}")).where("__n = 1").drop("__n")
+        rows = rows.join(one, "read_id", "left").withColumn(f"strand{k}", F.when(F.col(f"strand{k}") == "+", 1).otherwise(0))
+    return rows.select("read_id", *[f"{c}{k}" for k in (1, 2) for c in ("chr", "pos", "strand", "up", "down")])
+
+
 def parts_by_count(records: DataFrame, n: int) -> DataFrame:
     """records (line_no from 0) with ``part``, from 0: n records each."""
     return records.withColumn("part", F.floor(F.col("line_no") / n).cast("long"))

@@ -11,7 +11,9 @@ from ..operators import compartments as AB
 from ..operators import contacts as C
 from ..operators import genes as G
 from ..operators import kmers as K
+from ..operators import naming as N
 from ..operators import placement as P
+from ..operators import rescue as R
 from ..operators import stats as T
 from .catalogue import add, rounded
 
@@ -119,3 +121,18 @@ add("link_flips", "INT-07", lambda v: rounded(AB.flips_of_links(G.anchor_links(v
 add("contig_pairs_on_chromosomes", "ASM-04", lambda v: ASM.contig_pairs_to_chrom(v("alignments").where("not is_unmapped"), v("agp_new")),
     """SELECT read_id, a.chrom AS chr1, CASE WHEN a.orientation = '+' THEN a.start + p1 ELSE a.stop - p1 END AS pos1, b.chrom AS chr2, CASE WHEN b.orientation = '+' THEN b.start + p2 ELSE b.stop - p2 END AS pos2
     FROM {alignments} JOIN {agp_new} a ON a.id = ref1 JOIN {agp_new} b ON b.id = ref2 WHERE NOT is_unmapped""")
+
+# --- names and fragments -----------------------------------------------------------------------------------------------
+CHROM_NAMES = lambda v: v("chrom_sizes").where("chrom <> 'Chr3'").select(F.col("chrom").alias("old"), F.concat(F.lit("LG$"), F.substring("chrom", 4, 2)).alias("new"))
+add("layout_renamed", "FLT-08", lambda v: N.by_list(v("agp_old"), "chrom", CHROM_NAMES(v)).select("chrom", "start", "id"), "SELECT CASE WHEN chrom <> 'Chr3' THEN 'LG$' || substring(chrom, 4, 2) ELSE chrom END AS chrom, start, id FROM {agp_old}")
+add("annotation_on_renamed", "FLT-08", lambda v: N.by_list(v("gff").drop("level"), "chrom", CHROM_NAMES(v), keep_others=False), "SELECT 'LG$' || substring(chrom, 4, 2) AS chrom, type, start, stop, strand, attributes FROM {gff} WHERE chrom <> 'Chr3'")
+add("attributes_renamed", "FLT-08", lambda v: N.attribute_by_list(v("gff").drop("level"), "Parent", v("part").where("p_partkey % 2 = 0").select(F.format_string("G%d.t1", "p_partkey").alias("old"), F.format_string("T%d$1", "p_partkey").alias("new"))),
+    "SELECT chrom, type, start, stop, strand, regexp_replace(attributes, 'Parent=G([0-9]+).t1', 'Parent=T\\1$1') AS attributes FROM {gff} WHERE type = 'CDS' AND cast(regexp_extract(attributes, 'G([0-9]+)', 1) AS bigint) % 2 = 0")
+add("genes_affixed", "FLT-08", lambda v: N.affixed(v("genes"), "gene", "x_", ".v2"), "SELECT chrom, start, stop, 'x_' || gene || '.v2' AS gene, strand FROM {genes}")
+add("genes_by_haplotype", "FLT-08", lambda v: N.prefixed_by_haplotype(v("genes"), "gene", ["1", "2", "3"]), "SELECT chrom, start, stop, CASE right(chrom, 1) WHEN '1' THEN 'A|' WHEN '2' THEN 'B|' WHEN '3' THEN 'C|' ELSE '' END || gene AS gene, strand FROM {genes}")
+add("fragment_pairs", "SNK-10", lambda v: R.fragment_pairs(v("valid_pairs"), v("genes")),
+    """WITH o AS (SELECT *, chr1 > chr2 OR (chr1 = chr2 AND pos1 > pos2) AS t FROM {valid_pairs}),
+    r AS (SELECT read_id, CASE WHEN t THEN chr2 ELSE chr1 END AS chr1, CASE WHEN t THEN pos2 ELSE pos1 END AS pos1, CASE WHEN (CASE WHEN t THEN strand2 ELSE strand1 END) = '+' THEN 1 ELSE 0 END AS strand1,
+      CASE WHEN t THEN chr1 ELSE chr2 END AS chr2, CASE WHEN t THEN pos1 ELSE pos2 END AS pos2, CASE WHEN (CASE WHEN t THEN strand1 ELSE strand2 END) = '+' THEN 1 ELSE 0 END AS strand2 FROM o),
+    f1 AS (SELECT read_id, min(start) AS up1, min(stop) AS down1 FROM r JOIN {genes} ON chrom = chr1 AND pos1 >= start AND pos1 < stop GROUP BY 1 HAVING count(*) = 1), f2 AS (SELECT read_id, min(start) AS up2, min(stop) AS down2 FROM r JOIN {genes} ON chrom = chr2 AND pos2 >= start AND pos2 < stop GROUP BY 1 HAVING count(*) = 1)
+    SELECT r.read_id, chr1, pos1, strand1, up1, down1, chr2, pos2, strand2, up2, down2 FROM r LEFT JOIN f1 ON f1.read_id = r.read_id LEFT JOIN f2 ON f2.read_id = r.read_id""")
