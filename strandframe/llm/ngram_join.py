@@ -11,7 +11,7 @@ The rest order their shingles from rare to frequent. A set of n that links with
 its shingles, so a prefix of t + 1 has one that both have. Rare shingles of the prefix are indexed one by one. Frequent ones
 fall, by their hash, into parts; the prefix is extended until no choice of t misses can leave fewer than two common shingles
 in every part, and pairs of one part's shingles are indexed (``signatures``). Each class is first verified against one class
-of each signature that it has, a few times over by different choices; what that links needs no further look. Of signatures
+of each signature that it has (ROUNDS times, by different choices); what that links needs no further look. Of signatures
 whose classes still lie in several components, the classes are compared in tiles of bounded size, every pair across
 components exactly. A tile returns no more links than join its components, so copies are never listed pair by pair.
 """
