@@ -460,3 +460,22 @@ def territories_by_distance(pairs: DataFrame, sizes: DataFrame, width: int) -> D
     expected = ramps.groupBy("chr1", "chr2").agg(F.sum(F.col("sign") * above).alias("expected"))
     out = seen.select("chr1", "chr2", "observed").join(expected, ["chr1", "chr2"])
     return out.select(F.col("chr1").alias("chrom1"), F.col("chr2").alias("chrom2"), "observed", "expected", F.log2(F.col("observed") / F.col("expected")).alias("score"))
+
+
+def homolog(chrom: Column, letters: int = 1) -> Column:
+    """A chromosome's name without its haplotype letters: that of its homologous group."""
+    return chrom.substr(F.lit(1), F.greatest(F.length(chrom) - letters, F.lit(0)))
+
+
+def placed_log_matrices(pairs: DataFrame, sizes: DataFrame, width: int, whole: str = "genome") -> DataFrame:
+    """(matrix, x, y, score) of pairs (chr1, pos1, chr2, pos2): one matrix a chromosome, of its own pairs, and one of all chromosomes laid out in one line by
+    name. A pair counts at (x, y) and at (y, x), on the diagonal twice; score is the count's logarithm to 2, and empty cells have no row."""
+    laid = contig_offsets(sizes.select(F.col("chrom").alias("id"), F.col("size").alias("length")), width)
+    rows = pairs
+    for k in (1, 2):
+        rows = rows.join(laid.select(F.col("id").alias(f"chr{k}"), F.col("offset").alias(f"offset{k}")), f"chr{k}")
+    b1, b2 = (F.floor(F.col(f"pos{k}") / width).cast("long") for k in (1, 2))
+    cells = lambda name, x, y: F.array(*[F.struct(name.alias("matrix"), a.cast("long").alias("x"), b.cast("long").alias("y")) for a, b in ((x, y), (y, x))])
+    own = F.when(F.col("chr1") == F.col("chr2"), cells(F.col("chr1"), b1, b2)).otherwise(F.array().cast("array<struct<matrix:string,x:bigint,y:bigint>>"))
+    both = F.concat(own, cells(F.lit(whole), F.col("offset1") + b1, F.col("offset2") + b2))
+    return rows.select(F.explode(both).alias("c")).groupBy("c.matrix", "c.x", "c.y").agg(F.log2(F.count(F.lit(1)).cast("double")).alias("score"))

@@ -136,3 +136,15 @@ add("fragment_pairs", "SNK-10", lambda v: R.fragment_pairs(v("valid_pairs"), v("
       CASE WHEN t THEN chr1 ELSE chr2 END AS chr2, CASE WHEN t THEN pos1 ELSE pos2 END AS pos2, CASE WHEN (CASE WHEN t THEN strand1 ELSE strand2 END) = '+' THEN 1 ELSE 0 END AS strand2 FROM o),
     f1 AS (SELECT read_id, min(start) AS up1, min(stop) AS down1 FROM r JOIN {genes} ON chrom = chr1 AND pos1 >= start AND pos1 < stop GROUP BY 1 HAVING count(*) = 1), f2 AS (SELECT read_id, min(start) AS up2, min(stop) AS down2 FROM r JOIN {genes} ON chrom = chr2 AND pos2 >= start AND pos2 < stop GROUP BY 1 HAVING count(*) = 1)
     SELECT r.read_id, chr1, pos1, strand1, up1, down1, chr2, pos2, strand2, up2, down2 FROM r LEFT JOIN f1 ON f1.read_id = r.read_id LEFT JOIN f2 ON f2.read_id = r.read_id""")
+
+# --- matrices of placed contigs and of homologous groups ---------------------------------------------------------------
+add("placed_log_matrices", "MAT-18", lambda v: rounded(C.placed_log_matrices(ASM.contig_pairs_to_chrom(v("alignments").where("not is_unmapped"), v("agp_new")), v("chrom_sizes"), 50000), "score"),
+    """WITH p AS (SELECT a.chrom AS c1, b.chrom AS c2, CASE WHEN a.orientation = '+' THEN a.start + p1 ELSE a.stop - p1 END // 50000 AS b1, CASE WHEN b.orientation = '+' THEN b.start + p2 ELSE b.stop - p2 END // 50000 AS b2
+      FROM {alignments} JOIN {agp_new} a ON a.id = ref1 JOIN {agp_new} b ON b.id = ref2 WHERE NOT is_unmapped),
+    f AS (SELECT chrom, cast(sum(ceil(size/50000.0)) OVER (ORDER BY chrom) - ceil(size/50000.0) AS bigint) AS f FROM {chrom_sizes}),
+    h AS (SELECT c1 AS matrix, b1 AS x, b2 AS y FROM p WHERE c1 = c2 UNION ALL SELECT 'genome', u.f + b1, w.f + b2 FROM p JOIN f u ON u.chrom = c1 JOIN f w ON w.chrom = c2)
+    SELECT matrix, x, y, round(log2(cast(count(*) AS double)), 6) AS score FROM (SELECT matrix, x, y FROM h UNION ALL SELECT matrix, y, x FROM h) z GROUP BY 1, 2, 3""")
+add("homolog_row_medians", "MAT-20 MAT-19", lambda v: rounded(C.pair_medians(C.symmetric(v("genome_pixels")), v("genome_pixels").select(F.explode(F.array("bin1", "bin2")).alias("bin")).distinct().withColumn("chrom", F.format_string("Ch%d%s", F.floor(F.col("bin") / 100) + 1, F.when(F.col("bin") % 100 < 50, "A").otherwise("B"))).select("bin", C.homolog(F.col("chrom")).alias("grp"))), "median", "mean"),
+    """WITH s AS (SELECT bin1, bin2, n FROM {genome_pixels} UNION ALL SELECT bin2, bin1, n FROM {genome_pixels} WHERE bin1 <> bin2), b AS (SELECT DISTINCT bin1 AS bin, 'Ch' || (bin1 // 100 + 1) AS grp FROM s),
+    g AS (SELECT DISTINCT 'Ch' || (bin1 // 100 + 1) AS g1, 'Ch' || (bin2 // 100 + 1) AS g2 FROM s), r AS (SELECT b.bin, b.grp AS grp1, g.g2 AS grp2, coalesce(sum(s.n), 0) AS t FROM b JOIN g ON b.grp = g.g1 LEFT JOIN s ON s.bin1 = b.bin AND 'Ch' || (s.bin2 // 100 + 1) = g.g2 GROUP BY 1, 2, 3)
+    SELECT grp1, grp2, round(cast(median(t) AS double), 6) AS median, round(cast(avg(t) AS double), 6) AS mean FROM r GROUP BY 1, 2""")
