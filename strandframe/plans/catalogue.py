@@ -402,7 +402,7 @@ add("row_sum_summary", "AGG-16", lambda v: rounded(C.bin_sums(v("genome_pixels")
 add("smallest_domains", "SRT-04", lambda v: v("domains").withColumn("size", F.col("stop") - F.col("start")).orderBy("size", "chrom", "start").limit(20), "SELECT chrom, start, stop, level, stop-start AS size FROM {domains} ORDER BY stop-start, chrom, start LIMIT 20")
 add("decay_slope_pooled", "STA-01", lambda v: C.decay_slope(C.decay(v("valid_pairs"), 10000, 50000, 300000, by=[]), by=[]),
     "SELECT round(regr_slope(log10(n), log10(dist)), 6) AS slope FROM (SELECT cast(floor(abs(pos2-pos1)/10000)*10000 AS bigint) AS dist, count(*) AS n FROM {valid_pairs} WHERE chr1 = chr2 GROUP BY 1) x WHERE dist BETWEEN 50000 AND 300000")
-add("dosage_regression", "STA-14", lambda v: rounded(T.regression(v("expression").where("a1 >= 2 and b1 >= 2").select(F.log2("a1").alias("x"), F.log2("b1").alias("y")), [], "x", "y"), "slope", "intercept", "r").drop("error"),
+add("dosage_regression", "STA-14", lambda v: rounded(T.regression(v("expression").where("a1 >= 2 and b1 >= 2").select(F.log2("a1").alias("x"), F.log2("b1").alias("y")), [], "x", "y"), "slope", "intercept", "r").drop("error", "p"),
     "SELECT count(*) AS n, round(regr_slope(log2(b1), log2(a1)), 6) AS slope, round(regr_intercept(log2(b1), log2(a1)), 6) AS intercept, round(corr(log2(b1), log2(a1)), 6) AS r FROM {expression} WHERE a1 >= 2 AND b1 >= 2")
 add("log_plus_one", "SCL-10", lambda v: v("expression").select("gene_a", F.round(F.log1p("a1"), 6).alias("natural"), F.round(F.log2(F.col("a1") + 1), 6).alias("binary")), "SELECT gene_a, round(ln(1 + a1), 6) AS natural, round(log2(a1 + 1), 6) AS binary FROM {expression}")
 add("pairs_by_chrom_text", "SCL-12", lambda v: v("valid_pairs").groupBy("chr1").agg(F.format_number(F.count(F.lit(1)), 0).alias("pairs")), "SELECT chr1, format('{:,}', count(*)) AS pairs FROM {valid_pairs} GROUP BY chr1")
