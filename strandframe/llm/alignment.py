@@ -77,13 +77,15 @@ class Aligner:
 
     def __init__(self, vocabulary: str, model: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(vocabulary)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
         self.a_ranks = bpe._by_ranks(vocabulary, json.loads(vocabulary), WORDS)
+        if self.a_ranks is None:  # else the vocabulary is held once only
+            from tokenizers import Tokenizer
+
+            self.a = Tokenizer.from_str(vocabulary)
+            self.a.no_truncation()
+            self.a.no_padding()
+            self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.a_pieces = bpe.pieces(vocabulary)
         self.b_pieces = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in ((k, self.b.id_to_piece(k)) for k in range(self.b.get_piece_size()))]
