@@ -350,11 +350,11 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == d.count()
 
 
-def test_pipeline_on_odd_and_empty_tables(spark, odd, docs, tmp_path):
+def test_pipeline_on_odd_and_empty_tables(spark, sf, odd, docs, tmp_path):
     import corpus_pipeline
 
-    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(10)], "doc_id long, quality int, toxic int")
-    plain = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id between 10 and 60")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id > 9")
     rows = plain.unionByName(odd.selectExpr("doc_id", "text", "lang", "'s' AS source", "cast(length(text) AS long) AS n_chars")).withColumn("score", F.lit(1)).withColumn("label", F.lit("x"))
     for name, d in (("odd", rows), ("empty", rows.limit(0))):
         d.write.parquet(str(tmp_path / name / "documents.parquet"))
