@@ -30,3 +30,7 @@ def test_halves_fall_as_in_sql(spark, x):
 
 def test_bins_by_position_to_the_last_digit(spark):
     assert agrees(spark, "bins_by_position")
+
+
+def test_link_flips_to_the_last_digit(spark):
+    assert agrees(spark, "link_flips")
