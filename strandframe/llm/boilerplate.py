@@ -3,7 +3,8 @@
 The words of a host's pages are put behind one another, a mark after each block, and suffixes are sorted by doubling up to RUN
 tokens; a prefix on too few distinct pages is not extended. Text repeated on two or more pages outside of articles is boilerplate;
 so is text of the article itself that nearly all pages of a host share, as long as it is not most of the article. What is
-left are the page's own runs. A host too large for one task is cut into parts by a hash of its pages; the parts' distinct runs meet in a shuffle.
+left are the page's own runs. A host too large for one task is cut into parts by a hash of its pages; the parts' distinct runs outside of
+articles meet in a shuffle, and runs of articles that half of the pages of most parts have are counted in all of them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ PART_BYTES = 8 << 20
 REPEATED, SHARED, LEAST_PAGES = 2, 0.9, 10
 #: Share of a block, and of an article, that must be repeated to go, and words from which a block is a paragraph.
 COVERED, MOST, PARAGRAPH = 0.5, 0.5, 20
+#: Share of a part's distinct pages from which it names a run of articles, and the least share of the host's pages that must be in parts that
+#: name a run on SHARED of them: parts that do not name it lack it on more than 1 - LISTED of their pages.
+LISTED = 0.5
+NAMED = 1 - (1 - SHARED) / (1 - LISTED)
 #: A token is 24 bits of its word's hash; 0 is the mark of a block's end.
 BITS, MARK = 24, 0
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -151,13 +156,13 @@ _SCHEMA = pa.schema([("host", pa.string()), ("part", pa.int32()), ("parts", pa.i
 
 
 def _runs(group: pd.DataFrame) -> pd.DataFrame:
-    """RUNS that one part of a host repeats; of a host with more parts, all that it has outside of articles."""
+    """RUNS that a host of one part repeats; of one part of several, all that it has outside of articles."""
     group = group.drop_duplicates("page").sort_values("page")
     host, part, parts = group["host"].iloc[0], int(group["part"].iloc[0]), int(group["parts"].iloc[0])
     keys, named, out = group["page"].to_numpy(), group["named"].to_numpy(), []
     least = max(LEAST_PAGES, int(np.ceil(SHARED * len(group))))
     for inner, need in ((False, REPEATED if parts == 1 else 1), (True, least)):
-        if need > len(group):
+        if need > len(group) or (inner and parts > 1):
             continue
         stream, page = _joined(group["inner" if inner else "outer"].tolist())
         at, starts, _ = suffixes(stream, page, need)
@@ -172,14 +177,57 @@ def _runs(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out).assign(host=host, part=part, parts=parts)[names] if out else pd.DataFrame(columns=names)
 
 
-def repeated_runs(pages: DataFrame) -> DataFrame:
+def _listed(group: pd.DataFrame) -> pd.DataFrame:
+    """(host, parts, run, pages): runs of articles on a good share of the distinct pages of one part of a host, and the number of its pages."""
+    group = group.drop_duplicates("page").sort_values("page")
+    stream, page = _joined(group["inner"].tolist())
+    at, starts, _ = suffixes(stream, page, int(np.ceil(LISTED * len(group))))
+    return pd.DataFrame({"run": runs_of(stream, at[starts])}).assign(host=group["host"].iloc[0], parts=group["parts"].iloc[0], pages=len(group))[["host", "parts", "run", "pages"]]
+
+
+def _counted(group: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    """(host, run, n): on how many distinct pages of one part each wanted run stands in the article."""
+    if not len(group) or not len(wanted):
+        return pd.DataFrame(columns=["host", "run", "n"])
+    group = group.drop_duplicates("page")
+    stream, page = _joined(group["inner"].tolist())
+    at = np.flatnonzero(page[: len(page) - RUN + 1] >= 0)
+    at = at[page[at + RUN - 1] == page[at]]
+    runs, known = runs_of(stream, at), np.unique(wanted["run"].to_numpy())
+    hit = np.isin(runs, known)
+    on = np.unique(np.searchsorted(known, runs[hit]) * len(group) + page[at[hit]])
+    which, n = np.unique(on // len(group), return_counts=True)
+    return pd.DataFrame({"run": known[which], "n": n}).assign(host=group["host"].iloc[0])[["host", "run", "n"]]
+
+
+def shared_in_articles(streams: DataFrame) -> DataFrame:
+    """(host, parts, run): runs in the articles of nearly all distinct pages of hosts of several parts, counted exactly over all parts.
+
+    Equal pages meet in one part here. A part names the runs on half of its pages; a run on SHARED of a host's pages is named by parts that
+    hold at least NAMED of them, so few are left to be counted everywhere, whatever the number of parts.
+    """
+    own = streams.select("host", "parts", "page", "inner").withColumn("part", F.pmod("page", F.col("parts").cast("long")).cast("int"))
+    sizes = checkpointed(own.groupBy("host").agg(F.countDistinct("page").alias("of")))
+    listed = own.groupBy("host", "part").applyInPandas(_listed, "host string, parts int, run long, pages long").groupBy("host", "parts", "run").agg(F.sum("pages").alias("pages"))
+    wanted = checkpointed(listed.join(sizes, "host").where(F.col("pages") >= F.floor(NAMED * F.col("of"))).select("host", "parts", "run"))
+    everywhere = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    counts = own.groupBy("host", "part").cogroup(everywhere.groupBy("host", "part")).applyInPandas(_counted, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
+    found = counts.join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(F.lit(SHARED) * F.col("of"))))
+    return found.select("host", "run").join(wanted, ["host", "run"]).select("host", "parts", "run")
+
+
+def repeated_runs(pages: DataFrame, cut_hosts: bool) -> DataFrame:
     """(host, part, outer, inner): the runs that are boilerplate in each part of a host, outside and inside of articles."""
-    runs = checkpointed(_streams(pages).groupBy("host", "part").applyInPandas(_runs, RUNS))
-    one = runs.where("parts = 1")
-    over = Window.partitionBy("host", "inner", "run")  # at most one row a part
-    cut = runs.where("parts > 1").withColumns({"least": F.min("first").over(over), "most": F.max("last").over(over), "in": F.count("*").over(over), "any": F.max("wanted").over(over)})
-    cut = cut.where(F.when(F.col("inner"), F.col("in") == F.col("parts")).otherwise((F.col("least") < F.col("most")) & F.col("any"))).select(*one.columns)
-    runs = one.unionByName(cut).groupBy("host", "part")
+    columns = ["host", "part", "inner", "run"]
+    runs = checkpointed(_streams(pages.where("parts = 1")).groupBy("host", "part").applyInPandas(_runs, RUNS).select(*columns))
+    if cut_hosts:
+        streams = checkpointed(_streams(pages.where("parts > 1")))
+        cut = streams.groupBy("host", "part").applyInPandas(_runs, RUNS)
+        over = Window.partitionBy("host", "run")  # at most one row a part
+        cut = cut.withColumns({"least": F.min("first").over(over), "most": F.max("last").over(over), "any": F.max("wanted").over(over)}).where((F.col("least") < F.col("most")) & F.col("any"))
+        shared = shared_in_articles(streams).select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("inner"), "run")
+        runs = runs.unionByName(checkpointed(cut.select(*columns))).unionByName(checkpointed(shared))
+    runs = runs.groupBy("host", "part")
     return runs.agg(F.collect_list(F.when(~F.col("inner"), F.col("run"))).alias("outer"), F.collect_list(F.when(F.col("inner"), F.col("run"))).alias("inner"))
 
 
@@ -233,7 +281,7 @@ def extract(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     large = checkpointed(sizes.where(F.col("bytes") > part_bytes).select("host", F.ceil(F.col("bytes") / part_bytes).cast("int").alias("parts")))
     pages = pages.join(large, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     pages = pages.withColumn("part", F.pmod(F.xxhash64("html"), F.col("parts").cast("long")).cast("int"))
-    found = pages.join(checkpointed(repeated_runs(pages)), ["host", "part"], "left").select("page_id", "url", "html", "outer", "inner")
+    found = pages.join(checkpointed(repeated_runs(pages, not large.isEmpty())), ["host", "part"], "left").select("page_id", "url", "html", "outer", "inner")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reuse_freed_memory()

@@ -92,3 +92,18 @@ def test_suffixes_against_all_windows():
         assert got == {w: (n, len(s)) for w, (n, s) in want.items() if len(s) >= least}
         sorted_runs = [stream[i : i + boilerplate.RUN].tolist() for i in at]
         assert sorted_runs == sorted(sorted_runs)
+
+
+def test_runs_of_articles_do_not_depend_on_the_cut(spark):
+    """Counts of pages are of the whole host, not of each part; equal pages in several parts count once."""
+    letter, rare = "Sign up for our letter today and get one every week", "Read more of the same in our printed paper that comes on Sunday"
+    rows = []
+    for k in range(60):  # the letter stands on 55 of 60, the paper on 50
+        parts = [own(k), *([letter] if k % 12 else []), *([rare] if k % 6 else []), own(k + 100)]
+        rows.append((k, "http://e.example/", "<article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>"))
+    rows += [(1000 + k, "http://e.example/", f"<!-- {k} -->" + rows[0][2]) for k in range(40)]  # copies without the letter, in many parts
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [{r["page_id"]: r["text"] for r in boilerplate.extract(df, b).collect()} for b in (boilerplate.PART_BYTES, 12_000, 2_000, 600)]
+    assert not any(letter in t for t in got[0].values())
+    assert all((rare in got[0][k]) == (k % 6 != 0) for k in range(60))
+    assert got[1:] == got[:1] * 3
