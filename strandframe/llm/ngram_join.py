@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_one, reuse_freed_memory
+from .common import checkpointed, freed_after, join_one, reuse_freed_memory
 from ..operators.graph import components
 from .shingles import shingle_set
 
@@ -238,9 +238,9 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc", "n", "key", "signatures", "shared"])
 
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = docs.select(F.col("doc_id").cast("string").alias("doc"), "text").mapInPandas(deal, ROW)
-    back = dealt.repartition(tasks, "at").sortWithinPartitions("at").mapInPandas(lambda x: by_bucket(x, counted), ROW)
-    return back.repartition(tasks, "at").sortWithinPartitions("at").mapInPandas(lambda x: by_bucket(x, chosen), CHOSEN)
+    dealt = docs.select(F.col("doc_id").cast("string").alias("doc"), "text").mapInPandas(lambda x: freed_after(deal(x)), ROW)
+    back = dealt.repartition(tasks, "at").sortWithinPartitions("at").mapInPandas(lambda x: freed_after(by_bucket(x, counted)), ROW)
+    return back.repartition(tasks, "at").sortWithinPartitions("at").mapInPandas(lambda x: freed_after(by_bucket(x, chosen)), CHOSEN)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -374,7 +374,7 @@ def links(chosen: DataFrame, percent: int) -> DataFrame:
             yield done()
 
     tasks = max(int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rest = tiles.repartition(tasks, "tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInPandas(verify, "a long, b long")
+    rest = tiles.repartition(tasks, "tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInPandas(lambda x: freed_after(verify(x)), "a long, b long")
     return components(pairs.unionByName(rest))
 
 
