@@ -26,80 +26,132 @@ from .common import shared_path
 
 MAGIC = b"RPG1"
 SYMBOLS = 1 << 16
-#: Odd multiplier that deals pairs to buckets.
-MULTIPLY = np.uint32(2654435761)
 #: Ids in a block, at least (unless it is a shard's last); a pair's least count; new symbols a round.
 BLOCK_IDS, LEAST, RULES = 1 << 20, 8, 4096
-#: Distinct words that a worker keeps encoded.
-KEPT_WORDS = 600_000
+#: Distinct words that a worker keeps encoded; texts that are encoded at once.
+KEPT_WORDS, TEXTS = 600_000, 32
 BLOCK = "shard int, block int, start long, doc_ids array<long>, lengths array<int>, grammar binary"
 
 
-def _every_other(at: np.ndarray) -> np.ndarray:
-    """Of ascending positions, in each run of neighbours every other one from the left."""
-    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-    run = np.repeat(at[starts], np.diff(np.append(starts, len(at))))
-    return (at - run) % 2 == 0
-
-
-def _counted(seq: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs in ascending order and how often each can be replaced: of a run of one symbol, every other pair counts."""
-    twins = np.flatnonzero(seq[:-1] == seq[1:])
-    hidden = twins[~_every_other(twins)]
-    found = np.sort(np.delete(pairs, hidden) if len(hidden) else pairs)
-    starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-    return found[starts], np.diff(np.append(starts, len(found)))
+class _Pairs:
+    """The neighbouring symbols of a sequence, as replaced pairs leave it: a place is that of the left symbol in the first sequence, and
+    those of a pair make a group. A pair that is new has a new symbol in it, so its group is found as a whole when that symbol is made and
+    only shrinks from then on; pairs that come fewer than `least` times need no group."""
+
+    def __init__(self, ids: np.ndarray, least: int):
+        n = len(ids)
+        self.seq, self.least = ids.astype(np.int64), least
+        self.after, self.before, self.gone = np.arange(1, n + 1), np.arange(-1, n - 1), np.zeros(n, bool)
+        self.group = np.full(n, -1)  # of the pair at a place
+        self.places, self.filled = np.empty(3 * n, np.int64), 0  # of all groups, one after another
+        self.pair, self.count, self.first, self.size = (np.zeros(0, np.int64) for _ in range(4))
+        self._add(np.arange(n - 1))
+
+    def _runs(self, at: np.ndarray) -> np.ndarray:
+        """Whether each of ascending places begins a run of neighbours."""
+        return np.append(True, self.after[at[:-1]] != at[1:])[: len(at)]
+
+    def every_other(self, at: np.ndarray) -> np.ndarray:
+        """Of ascending places, in each run of neighbours every other one from the left."""
+        starts = np.flatnonzero(self._runs(at))
+        if len(starts) == len(at):
+            return np.ones(len(at), bool)
+        return (np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0
+
+    def _add(self, at: np.ndarray) -> None:
+        """Groups for the pairs at places that have none; at does not hold the last place."""
+        key = self.seq[at] << 48 | self.seq[self.after[at]] << 32 | at
+        key = key.view(np.uint64)  # 16 bits of either symbol and 32 of the place
+        key.sort()
+        pair, at = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+        size = np.diff(np.append(starts, len(pair)))
+        many = size >= self.least
+        use = np.repeat(many, size)
+        pair, at, size = pair[starts[many]], at[use], size[many]
+        own = np.arange(len(self.pair), len(self.pair) + len(pair))
+        self.group[at] = np.repeat(own, size)
+        self.places[self.filled : self.filled + len(at)] = at
+        self.pair, self.count = np.concatenate((self.pair, pair)), np.concatenate((self.count, size))
+        self.first, self.size = np.concatenate((self.first, self.filled + np.cumsum(size) - size)), np.concatenate((self.size, size))
+        self.filled += len(at)
+        self._count_twins(own)
+
+    def of(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the groups' pairs stand, a group's places ascending, and which of the groups it is."""
+        size = self.size[groups]
+        which = np.repeat(np.arange(len(groups)), size)
+        at = self.places[np.repeat(self.first[groups] - np.cumsum(size) + size, size) + np.arange(len(which))]
+        here = self.group[at] == groups[which]
+        return at[here], which[here]
+
+    def _count_twins(self, groups: np.ndarray) -> None:
+        """How often those of the groups whose symbols are one can be replaced: of a run of one symbol, every other pair counts."""
+        twins = groups[self.pair[groups] >> 16 == self.pair[groups] & 0xFFFF]
+        if len(twins):
+            at, which = self.of(twins)
+            order = np.argsort(at)  # a run is of one group
+            at, which = at[order], which[order]
+            self.count[twins] = np.bincount(which[self.every_other(at)], minlength=len(twins))
+
+    def replace(self, at: np.ndarray, symbol: np.ndarray) -> None:
+        """Puts symbols for the pairs at ascending places that do not overlap."""
+        n = len(self.seq)
+        right, left = self.after[at], self.before[at]
+        beyond = self.after[right]
+        apart = left >= 0
+        apart[1:] &= left[1:] != right[:-1]
+        lost = np.concatenate((left[apart], at, right))
+        groups = self.group[lost]
+        groups = groups[groups >= 0]
+        fewer = np.bincount(groups, minlength=len(self.count))
+        self.count -= fewer
+        self.group[lost] = -1
+        self.seq[at], self.gone[right], self.after[at] = symbol, True, beyond
+        self.before[beyond[beyond < n]] = at[beyond < n]
+        self._count_twins(np.flatnonzero(fewer))
+        self._add(np.concatenate((left[apart], at[beyond < n])))
 
 
 def compress(ids: np.ndarray, first: int, least: int = LEAST, most: int = RULES) -> tuple[np.ndarray, np.ndarray]:
     """(rules, sequence): symbol first + k stands for the pair rules[k]. Ids are below first.
 
-    Each round counts all pairs and replaces those at least half as frequent as the most frequent one, until no pair comes
-    `least` times or the symbols are used up.
+    Each round takes the counts of all pairs and replaces those at least half as frequent as the most frequent one, until no pair comes
+    `least` times or the symbols are used up. Between rounds only counts beside replaced pairs change.
     """
-    seq, rules, made = np.ascontiguousarray(ids, np.uint16), [], 0
-    while len(seq) > 1 and (room := min(most, SYMBOLS - first - made)) > 0:
-        pairs = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
-        distinct, n = _counted(seq, pairs)
-        top = int(n.argmax())
-        if n[top] < least:
+    pairs, rules, made = _Pairs(ids, least), [], 0
+    while (room := min(most, SYMBOLS - first - made)) > 0 and len(pairs.count):
+        top = int(pairs.count.max())
+        if top < least:
             break
-        chosen = np.flatnonzero(n >= max(least, (int(n[top]) + 1) // 2))
-        chosen = np.sort(chosen[np.argsort(-n[chosen], kind="stable")[:room]])
-        at, rule = _places(pairs, distinct[chosen])
-        # Neighbouring places overlap; pairs that lose too many of theirs to others wait for a later round.
-        even = _every_other(at)
-        at, rule = at[even], rule[even]
+        chosen = np.flatnonzero(pairs.count >= max(least, (top + 1) // 2))
+        chosen = chosen[np.argsort(pairs.pair[chosen])]
+        n = pairs.count[chosen]
+        most_frequent = chosen[n.argmax()]
+        chosen = chosen[np.sort(np.argsort(-n, kind="stable")[:room])]
+        at, rule = _places(pairs, chosen)
         used = np.bincount(rule, minlength=len(chosen))
-        kept = np.flatnonzero(used >= least)
+        kept = np.flatnonzero(used >= least)  # pairs that lose too many of their places to others wait for a later round
         if not len(kept):  # the most frequent pair alone
-            chosen, kept = np.array([top]), np.array([0])
-            at, rule = _places(pairs, distinct[chosen])
-            even = _every_other(at)
-            at, rule = at[even], rule[even]
-        symbol = np.zeros(len(chosen), np.uint16)
+            chosen, kept = np.array([most_frequent]), np.array([0])
+            at, rule = _places(pairs, chosen)
+        symbol = np.zeros(len(chosen), np.int64)
         symbol[kept] = first + made + np.arange(len(kept))
         new = symbol[rule]
-        at, new = at[new > 0], new[new > 0]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq.copy()
-        seq[at] = new
-        seq = seq[keep]
-        pair = distinct[chosen[kept]]
-        rules.append(np.column_stack((pair >> np.uint32(16), pair & np.uint32(0xFFFF))).astype(np.uint16))
+        pair = pairs.pair[chosen[kept]]
+        pairs.replace(at[new > 0], new[new > 0])
+        rules.append(np.column_stack((pair >> 16, pair & 0xFFFF)).astype(np.uint16))
         made += len(kept)
-    return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), seq
+    return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), pairs.seq[~pairs.gone].astype(np.uint16)
 
 
-def _places(pairs: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where any of the chosen pairs (ascending) stands, and which of them it is. Buckets rule most places out first."""
-    bucket = np.zeros(1 << 16, bool)
-    bucket[chosen * MULTIPLY >> np.uint32(16)] = True
-    at = np.flatnonzero(bucket[pairs * MULTIPLY >> np.uint32(16)])
-    k = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
-    same = chosen[k] == pairs[at]
-    return at[same], k[same]
+def _places(pairs: _Pairs, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chosen groups' pairs stand, ascending, of neighbours, which overlap, every other one; and which group it is."""
+    at, rule = pairs.of(chosen)
+    order = np.argsort(at)
+    at, rule = at[order], rule[order]
+    even = pairs.every_other(at)
+    return at[even], rule[even]
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -112,7 +164,18 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     """The ids of a sequence of symbols."""
-    seq = seq.astype(np.int64)
+    whole = _unrolled(first + np.arange(len(rules)), rules, first)
+    size = np.ones(first + len(rules), np.int64)
+    size[first:] = expansion_lengths(rules, first)
+    start = np.arange(first + len(rules))
+    start[first:] = first + np.cumsum(size[first:]) - size[first:]
+    table, seq = np.concatenate((np.arange(first), whole)), seq.astype(np.int64)
+    many = size[seq]
+    return table[np.repeat(start[seq] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
+
+
+def _unrolled(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """The ids of a short sequence, which take no table of all rules' ids."""
     while len(at := np.flatnonzero(seq >= first)):
         width = np.ones(len(seq), np.int64)
         width[at] = 2
@@ -147,7 +210,7 @@ def decode_document(blob: bytes, start: int, length: int) -> np.ndarray:
     ends = np.cumsum(width)
     a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + length, "left") + 1
     skipped = int(ends[a - 1]) if a else 0
-    return expand(seq[a:b], rules, first)[start - skipped : start - skipped + length]
+    return _unrolled(symbols[a:b], rules, first)[start - skipped : start - skipped + length]
 
 
 def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -> None:
@@ -167,9 +230,11 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -> None:
             return pd.DataFrame({"shard": [shard], "block": [block], "start": [start], "doc_ids": [doc_ids], "lengths": [[len(p) // 2 for p in parts]], "grammar": [to_bytes(np.frombuffer(b"".join(parts), "<u2"), first)]})
 
         for batch in batches:
-            for doc_id, x in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"], strict=True):
+            texts = batch["text"].tolist()
+            encoded = (x for k in range(0, len(texts), TEXTS) for x in words.encode_all(texts[k : k + TEXTS]))
+            for doc_id, x in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), encoded, strict=True):
                 doc_ids.append(doc_id)
-                parts.append(words.encode(x) + end)
+                parts.append(x + end)
                 held += len(parts[-1]) // 2
                 if held >= BLOCK_IDS:
                     yield done()

@@ -429,6 +429,52 @@ def test_grammars_replace_every_frequent_pair():
         assert max(n.values(), default=0) < repair.LEAST
 
 
+def test_grammars_sort_all_pairs_once(monkeypatch):
+    """After the first round only pairs beside replaced ones are grouped anew."""
+    grouped, add = [], repair._Pairs._add
+    monkeypatch.setattr(repair._Pairs, "_add", lambda self, at: (grouped.append(len(at)), add(self, at))[1])
+    ids = (np.random.default_rng(5).zipf(1.3, 60_000) % 300).astype("<u2")
+    rules, seq = repair.compress(ids, 300)
+    assert grouped[0] == len(ids) - 1
+    assert sum(grouped[1:]) <= 2 * (len(ids) - len(seq))
+    assert np.array_equal(repair.expand(seq, rules, 300), ids)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_grammars_against_plain_counts(seed):
+    """Rules and sequence are those of counting every pair afresh in each round."""
+    rng = np.random.default_rng(seed)
+    ids = np.repeat(rng.integers(0, 4, 120), rng.integers(1, 5, 120)).astype("<u2")
+    seq, rules = ids.tolist(), []
+
+    def places(chosen):
+        out, k = [], 0
+        while k < len(seq) - 1:  # overlapping places: every other one from the left
+            if (seq[k], seq[k + 1]) in chosen:
+                out.append(k)
+                k += 1
+            k += 1
+        return out
+
+    while len(seq) > 1:
+        n = {p: len([k for k in places({p})]) for p in set(zip(seq, seq[1:], strict=False))}
+        top = max(n.values())
+        if top < 3:
+            break
+        chosen = {p for p in n if n[p] >= max(3, (top + 1) // 2)}
+        used = Counter((seq[k], seq[k + 1]) for k in places(chosen))
+        kept = sorted(p for p in chosen if used[p] >= 3)
+        if not kept:
+            chosen = kept = [min(p for p in n if n[p] == top)]
+        new = {p: 4 + len(rules) + k for k, p in enumerate(kept)}
+        at = {k: new.get((seq[k], seq[k + 1])) for k in places(set(chosen))}
+        at = {k: s for k, s in at.items() if s is not None}
+        seq = [at.get(k, s) for k, s in enumerate(seq) if k - 1 not in at]
+        rules += kept
+    got, left = repair.compress(ids, 4, least=3)
+    assert got.tolist() == [list(p) for p in rules] and left.tolist() == seq
+
+
 def test_language_rejects_what_it_did_not_learn(spark, sf):
     g = random.Random(4)
     big = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
