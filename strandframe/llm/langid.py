@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, fresh, reuse_freed_memory
+from . import common
+from .common import fold, fresh
 
 ORDER = 5
 #: Documents of each language learned from, about (each is taken with the same chance, by a hash of its id); the share of them kept for calibration.
@@ -223,7 +224,7 @@ def identify(docs: DataFrame, models: list[Model], made: tuple[str, str, str] =
             yield first, len(texts)
 
     def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reuse_freed_memory()
+        common.held("language", dict)  # in place of what other stages left
         models = shared.value
         costs = Costs(models)
         langs, bounds = np.array([m.lang for m in models], object), np.array([m.bound for m in models])

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,13 +44,14 @@ MOST = 65535
 ROUNDS = 1
 #: Ids of kept documents up to which they are broadcast, 8 bytes each.
 BROADCAST_IDS = 4_000_000
-#: Products of a tile that are counted at once.
-COUNTED = 1 << 22
+#: Rows of classes that are handed on at once; products of a tile that are counted at once.
+ROWS, COUNTED = 500, 1 << 20
 
 # Ids travel as text, so that nulls do not turn them into floating-point numbers; other numbers are never null.
-COLUMNS = ["at", "doc", "n", "key", "part"]
-ROW = "at int, doc string, n int, key long, part binary"
-CHOSEN = "doc string, n int, key long, signatures array<long>, shared array<long>"
+ROW = pa.schema([("at", pa.int32()), ("doc", pa.string()), ("n", pa.int32()), ("key", pa.int64()), ("part", pa.binary())])
+ROW_DDL = "at int, doc string, n int, key long, part binary"
+CHOSEN = pa.schema([("doc", pa.string()), ("n", pa.int32()), ("key", pa.int64()), ("signatures", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
+CHOSEN_DDL = "doc string, n int, key long, signatures array<long>, shared array<long>"
 CHOSEN_BY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,9 +82,13 @@ def _unpack(bucket: int, blob: bytes, kept: int = KEPT_BITS) -> tuple[np.ndarray
     return *out[:3], values, np.zeros(0, "<u2")
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def _messages(to: np.ndarray, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray, values: np.ndarray, frequency: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
-    """Values dealt to their buckets, each bucket's grouped by the class that owns them."""
-    order = np.lexsort((owner, to))
+    """Values dealt to their buckets, each bucket's grouped by the class that owns them. owner ascends."""
+    order = np.argsort(to, kind="stable")
     to, owner, values = to[order], owner[order], values[order]
     frequency = None if frequency is None else frequency[order]
     starts = np.flatnonzero(np.diff(to, prepend=-1))
@@ -121,12 +127,18 @@ def _times(values: np.ndarray) -> np.ndarray:
     order = np.argsort(values, kind="stable")
     v = values[order]
     starts = np.flatnonzero(np.append(len(v) > 0, v[1:] != v[:-1])[: len(v)])
-    times = np.diff(np.append(starts, len(v)))
-    out = np.empty(len(v), np.int64)
+    times = np.diff(np.append(starts, len(v))).astype(np.int32)
+    out = np.empty(len(v), np.int32)
     out[order] = np.repeat(times, times)
     return out
 
 
+def _often(values: np.ndarray, least: int) -> np.ndarray:
+    """The values that come `least` times, ascending."""
+    v = np.sort(values)
+    return np.unique(v[least - 1 :][v[least - 1 :] == v[: max(len(v) - least + 1, 0)]])
+
+
 def _ranks(part: np.ndarray) -> np.ndarray:
     """How many earlier elements equal each."""
     order = np.argsort(part, kind="stable")
@@ -143,13 +155,13 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     kept = min(KEPT_BITS, 64 - int(math.log2(buckets)))
     shift = np.uint64(64 - kept - int(math.log2(buckets)))
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reuse_freed_memory()
         seen: set[int] = set()
-        for b in (b.iloc[k : k + TEXTS] for b in batches for k in range(0, len(b), TEXTS)):
+        for b in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
             rows, keys, sets = [], [], []
-            for doc, text in zip(b["doc"], b["text"], strict=True):
-                s = shingle_set(text, words)
+            for doc, text in zip(b["doc"].to_pylist(), b["text"], strict=True):
+                s = shingle_set(text.as_py(), words)
                 key = xxhash.xxh64_intdigest(s.tobytes())
                 rows.append((key % buckets, doc, len(s), key - (1 << 64) if key >> 63 else key, None))
                 if key not in seen and 100 * len(s) >= percent * (len(s) + 1):
@@ -158,67 +170,75 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     sets.append(s)
             if sets:
                 sizes, keys = np.array([len(s) for s in sets]), np.array(keys, np.uint64)
-                values, owner = np.concatenate(sets) >> shift, np.repeat(np.arange(len(sets)), sizes)
-                hot = _times(values) >= HOT
-                if hot.any():  # straight to their classes; to the bucket, once, under a class of no shingles
-                    to = (keys % np.uint64(buckets)).astype(np.int64)[owner[hot]]
-                    rows += [(at, None, 0, 0, part) for at, part in _messages(to, owner[hot], keys, sizes, values[hot], np.full(hot.sum(), MOST, np.int64))]
-                    reported = np.unique(values[hot])
-                    none = np.zeros(len(reported), np.int64)
-                    rows += [(-1 - to, None, 0, 0, part) for to, part in _messages((reported >> np.uint64(kept)).astype(np.int64), none, np.zeros(1, np.uint64), np.zeros(1, np.int64), reported)]
+                values, owner = np.concatenate(sets) >> shift, np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+                sets.clear()
+                reported = _often(values, HOT)
+                if len(reported):  # straight to their classes; to the bucket, once, under a class of no shingles
+                    hot = np.isin(values, reported)
+                    to = (keys % np.uint64(buckets)).astype(np.int32)[owner[hot]]
+                    rows += [(at, None, 0, 0, part) for at, part in _messages(to, owner[hot], keys, sizes, values[hot], np.full(hot.sum(), MOST, np.int32))]
+                    none = np.zeros(len(reported), np.int32)
+                    rows += [(-1 - to, None, 0, 0, part) for to, part in _messages((reported >> np.uint64(kept)).astype(np.int32), none, np.zeros(1, np.uint64), np.zeros(1, np.int64), reported)]
                     values, owner = values[~hot], owner[~hot]
-                rows += [(-1 - to, None, 0, 0, part) for to, part in _messages((values >> np.uint64(kept)).astype(np.int64), owner, keys, sizes, values)]
-            yield pd.DataFrame(rows, columns=COLUMNS)
+                rows += [(-1 - to, None, 0, 0, part) for to, part in _messages((values >> np.uint64(kept)).astype(np.int32), owner, keys, sizes, values)]
+            yield _batch(rows, ROW)
 
-    def by_bucket(batches: Iterator[pd.DataFrame], work) -> Iterator[pd.DataFrame]:
+    def by_bucket(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
         """Documents' rows as they are, then work's rows from the parts of each bucket; buckets come one after another."""
         now, parts = None, []
         for b in batches:
-            plain = b["part"].isna()
-            if plain.any():
-                yield from work(None, b[plain])
-            for at, part in zip(b["at"][~plain].tolist(), b["part"][~plain], strict=True):
-                if at != now:
+            plain = b["part"].is_null()
+            if plain.true_count:
+                yield from work(None, b.filter(plain))
+            at, part = b["at"].to_numpy(), b["part"]
+            for k in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+                if at[k] != now:
                     if parts:
                         yield from work(now, parts)
-                    now, parts = at, []
-                parts.append(part)
+                    now, parts = int(at[k]), []
+                parts.append(part[k].as_buffer())  # of the batch, not a copy
         if parts:
             yield from work(now, parts)
 
-    def counted(now: int | None, parts) -> Iterator[pd.DataFrame]:
+    def counted(now: int | None, parts) -> Iterator[pa.RecordBatch]:
         """Buckets of shingles have numbers below 0; what goes to a class's bucket already passes."""
         if now is None:
             yield parts
             return
         if now >= 0:
-            yield pd.DataFrame([(now, None, 0, 0, part) for part in parts], columns=COLUMNS)
+            yield _batch([(now, None, 0, 0, part) for part in parts], ROW)
             return
         keys, sizes, many, values, _ = (np.concatenate(x) for x in zip(*(_unpack(-1 - now, p, kept) for p in parts), strict=True))
         # Shingles under a class of size 0 are reports. A class that several tasks sent counts once.
         reported = np.unique(values[np.repeat(sizes == 0, many)])
-        listed = np.repeat(sizes > 0, many)
-        keys, sizes, many, values = keys[sizes > 0], sizes[sizes > 0], many[sizes > 0], values[listed]
+        if len(reported):
+            values = values[np.repeat(sizes > 0, many)]
+            keys, sizes, many = keys[sizes > 0], sizes[sizes > 0], many[sizes > 0]
         unique, first, owner = np.unique(keys, return_index=True, return_inverse=True)
-        sent = np.zeros(len(keys), bool)
-        sent[first] = True
-        use = np.repeat(sent, many)
-        owner, values = np.repeat(owner, many)[use], values[use]
+        owner = np.repeat(owner.astype(np.int32), many)
+        if len(unique) < len(keys):
+            sent = np.zeros(len(keys), bool)
+            sent[first] = True
+            use = np.repeat(sent, many)
+            owner, values = owner[use], values[use]
         frequency = np.minimum(_times(values), MOST)
         frequency[np.isin(values, reported)] = MOST
         shared = frequency > 1
         if shared.any():
             owner, values, frequency = owner[shared], values[shared], frequency[shared]
-            to = (unique % np.uint64(buckets)).astype(np.int64)[owner]
-            yield pd.DataFrame([(at, None, 0, 0, part) for at, part in _messages(to, owner, unique, sizes[first], values, frequency)], columns=COLUMNS)
+            order = np.argsort(owner, kind="stable")
+            owner, values, frequency = owner[order], values[order], frequency[order]
+            to = (unique % np.uint64(buckets)).astype(np.int32)[owner]
+            yield _batch([(at, None, 0, 0, part) for at, part in _messages(to, owner, unique, sizes[first], values, frequency)], ROW)
 
-    def chosen(now: int | None, parts) -> Iterator[pd.DataFrame]:
+    def chosen(now: int | None, parts) -> Iterator[pa.RecordBatch]:
         if now is None:
-            yield parts.drop(columns=["at", "part"]).assign(signatures=None, shared=None)
+            none = pa.nulls(parts.num_rows, CHOSEN.field("shared").type)
+            yield pa.RecordBatch.from_arrays([parts["doc"], parts["n"], parts["key"], none, none], schema=CHOSEN)
             return
         keys, sizes, many, values, frequency = (np.concatenate(x) for x in zip(*(_unpack(now, p) for p in parts), strict=True))
         unique, first, owner = np.unique(keys, return_index=True, return_inverse=True)
-        sizes, owner = sizes[first], np.repeat(owner, many)
+        sizes, owner = sizes[first], np.repeat(owner.astype(np.int32), many)
         order = np.lexsort((values, owner))
         owner, values, frequency = owner[order], values[order], frequency[order]
         again = (owner[1:] == owner[:-1]) & (values[1:] == values[:-1])  # reported by a batch and listed, or reported by several
@@ -234,13 +254,16 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
             a, b = int(ends[k] - total[k]), int(ends[k])
             found = signatures(int(sizes[k]), int(sizes[k] - total[k]), values[a:b], frequency[a:b], percent)
             rows.append((None, int(sizes[k]), int(unique[k : k + 1].view(np.int64)[0]), found.view(np.int64), values[a:b].view(np.int64)))
+            if len(rows) == ROWS:
+                yield _batch(rows, CHOSEN)
+                rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=["doc", "n", "key", "signatures", "shared"])
+            yield _batch(rows, CHOSEN)
 
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = docs.select(F.col("doc_id").cast("string").alias("doc"), "text").mapInPandas(lambda x: freed_after(deal(x)), ROW)
-    back = dealt.repartition(tasks, "at").sortWithinPartitions("at").mapInPandas(lambda x: freed_after(by_bucket(x, counted)), ROW)
-    return back.repartition(tasks, "at").sortWithinPartitions("at").mapInPandas(lambda x: freed_after(by_bucket(x, chosen)), CHOSEN)
+    dealt = docs.select(F.col("doc_id").cast("string").alias("doc"), "text").mapInArrow(lambda x: freed_after(deal(x)), ROW_DDL)
+    back = dealt.repartition(tasks, "at").sortWithinPartitions("at").mapInArrow(lambda x: freed_after(by_bucket(x, counted)), ROW_DDL)
+    return back.repartition(tasks, "at").sortWithinPartitions("at").mapInArrow(lambda x: freed_after(by_bucket(x, chosen)), CHOSEN_DDL)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -266,7 +289,7 @@ def linked(sizes: np.ndarray, many: np.ndarray, values: np.ndarray, label: np.nd
     """Pairs of sets of different labels whose Jaccard similarity reaches the threshold, as far as they join components: pairs
     across the two blocks, or all pairs where there is one block. values: the sets' shared shingles one after another, `many` of each."""
     n = len(sizes)
-    owner = np.repeat(np.arange(n), many)
+    owner = np.repeat(np.arange(n, dtype=np.int32 if n * n < 1 << 31 else np.int64), many)
     order = np.argsort(values, kind="stable")
     v, o = values[order], owner[order]
     starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
@@ -274,12 +297,14 @@ def linked(sizes: np.ndarray, many: np.ndarray, values: np.ndarray, label: np.nd
     starts, times = starts[times > 1], times[times > 1]
     common = np.zeros((n, n), np.int32)
     for t in np.unique(times).tolist():  # all shingles that t sets have
-        members = o[starts[times == t][:, None] + np.arange(t)]
+        members = o[starts[times == t][:, None] + np.arange(t)]  # ascending
         i, j = np.triu_indices(t, 1)
         step = max(1, COUNTED // len(i))
         for c in range(0, len(members), step):
-            x, y = members[c : c + step][:, i].ravel(), members[c : c + step][:, j].ravel()
-            common += np.bincount(np.minimum(x, y) * n + np.maximum(x, y), minlength=n * n).reshape(n, n).astype(np.int32)
+            pair = members[c : c + step][:, i]
+            pair *= n
+            pair += members[c : c + step][:, j]
+            common += np.bincount(pair.ravel(), minlength=n * n).reshape(n, n)
     a, b = np.nonzero(100 * common.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - common))
     use = (a < b) & (label[a] != label[b])
     if (block != block[0]).any():
