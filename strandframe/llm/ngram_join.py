@@ -206,7 +206,7 @@ def candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield parts
             return
         if now >= 0:
-            yield _batch([(now, None, 0, 0, part) for part in parts], ROW)
+            yield _batch([(now, None, 0, 0, part.to_pybytes()) for part in parts], ROW)
             return
         keys, sizes, many, values, _ = (np.concatenate(x) for x in zip(*(_unpack(-1 - now, p, kept) for p in parts), strict=True))
         # Shingles under a class of size 0 are reports. A class that several tasks sent counts once.

@@ -29,6 +29,13 @@ def test_near_duplicates_leave_nothing_in_workers(spark):
     assert "shingles" not in kept(forget=False)
 
 
+def test_near_duplicates_with_shingles_of_all_texts(spark):
+    """A phrase that all texts have is reported by their batches and goes past its bucket."""
+    rows = [(k, f"one phrase that all of these texts have {' '.join(f'w{k // 2}x{i}' for i in range(60))} {k % 2}") for k in range(240)]
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 5, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(k, k // 2 * 2) for k in range(240)]
+
+
 def test_tiles_count_in_little_memory():
     """256 sets that share 300 shingles, and two of them all 340: the counts of 10 million products are added up in parts."""
     sets = [np.append(np.arange(300), 1000 + 40 * (k // 2) + np.arange(40)) for k in range(256)]
@@ -53,7 +60,7 @@ def test_language_forgets_what_other_stages_kept(spark):
 
         return {r["name"] for r in spark.range(0, 64, 1, 8).mapInPandas(report, "name string").collect()}
 
-    docs = spark.createDataFrame([(k, "some plain text", "en") for k in range(64)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(k, "some plain text", "en") for k in range(64)], "doc_id long, text string, lang string").repartition(64)  # so that every worker has a task
     assert names(keep=True) == {"toxicity"}
     assert langid.identify(docs, []).where("lang_pred = 'und'").count() == 64
     assert "language" in names(keep=False)
