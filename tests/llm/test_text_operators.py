@@ -537,3 +537,27 @@ def test_numbers_are_no_letters(spark):
     d = spark.createDataFrame([(1, "²³ ½ ① Ⅷ 12"), (2, "word")], "doc_id long, text string")
     models = langid.fit(spark.createDataFrame([(k, "some words here", "en") for k in range(20)], "doc_id long, text string, lang string"), F.lit(True))
     assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(d, models).collect()}[1] == ("und", 0.0)
+
+
+def test_new_words_go_to_the_model_alone():
+    """Ids as the whole tokenizer gives them, without its passes over words that are split already."""
+    import time
+
+    words, rng = bpe.Words(bpe.read_vocabulary(WORD)), random.Random(5)
+    odd = ["caf\u00e9", "na\u00efve", "\u4e2d\u6587", "\u0430\u0431\u0432", "\U0001f600", "x\x7f", "\x01\x02", "\u00ad", "don't", "1\u00bd", "e\u0301", "\u0130", "<|endoftext|>", "\u017f", "&;", ""]
+    texts = [" ".join(rng.sample(odd, 5)) + rng.choice(odd) for _ in range(200)]
+    want = [np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert words.encode_all(texts) == want
+    new = {"".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(20_000)}
+
+    def seconds(work):
+        t = time.thread_time()
+        work()
+        return time.thread_time() - t
+
+    def alone():
+        words.table, words.before = {}, {}
+        words._fill(new)
+
+    whole = min(seconds(lambda: words.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)) for _ in range(3))
+    assert min(seconds(alone) for _ in range(3)) < whole
