@@ -13,7 +13,8 @@ fall, by their hash, into parts; the prefix is extended until no choice of t mis
 in every part, and pairs of one part's shingles are indexed (``signatures``). Each class is first verified against one class
 of each signature that it has (ROUNDS times, by different choices); what that links needs no further look. Of signatures
 whose classes still lie in several components, the classes are compared in tiles of bounded size, every pair across
-components exactly. A tile returns no more links than join its components, so copies are never listed pair by pair.
+components exactly: first inside of blocks, then, where a group has several blocks and components still, between them. A tile
+returns no more links than join its components, so copies are never listed pair by pair.
 """
 
 from __future__ import annotations
@@ -310,7 +311,8 @@ def linked(sizes: np.ndarray, many: np.ndarray, values: np.ndarray, label: np.nd
     if (block != block[0]).any():
         use &= block[a] != block[b]
     a, b = a[use], b[use]
-    keep = _forest(a, b, n)
+    labels, of = np.unique(label, return_inverse=True)
+    keep = _forest(of[a], of[b], len(labels))  # sets of one label are joined already
     return a[keep], b[keep]
 
 
@@ -338,25 +340,45 @@ def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _tiles(sets: DataFrame, index: DataFrame) -> DataFrame:
-    """(tile, i, j, key, n, shared, label, block): classes of the signatures that are still open, dealt so that all pairs of a
-    signature meet.
+def _groups(index: DataFrame) -> DataFrame:
+    """(level, tile, key, label, blocks): classes of the signatures that are still open, put together so that all pairs of a signature meet.
 
-    Signatures that share classes make a group. A group that fits one tile is one, so each of its sets is sent once; in
-    larger groups each signature is dealt by itself, in blocks, and each pair of blocks is a tile.
+    Signatures that share classes make a group. A group that fits one tile, or has no more pairs than its signatures have all
+    in all, is put together as a whole, so that each of its pairs meets once, not once for each signature of both. In others small signatures are
+    taken by themselves, and the larger ones are grouped anew without them.
     """
-    first = index.groupBy("signature").agg(F.min("key").alias("b"))
-    groups = components(join_one(index, first, "signature", by="key").where("key <> b").select(F.col("key").alias("a"), "b"))
-    of = index.select("key", "label").distinct().join(groups.select(F.col("node").alias("key"), F.col("label").alias("tile")), "key")
-    size = of.groupBy("tile").agg(F.count(F.lit(1)).alias("classes"))
-    of = join_one(of, size, "tile", by="key")
-    whole = of.where(F.col("classes") <= BLOCK_SETS).select("tile", F.lit(0).alias("i"), F.lit(0).alias("j"), "key", "label", F.lit(0).alias("block"))
-    large = index.join(of.where(F.col("classes") > BLOCK_SETS).select("key"), "key", "left_semi")
-    blocks = large.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
-    large = join_one(large, blocks, "signature", by="key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select(F.col("signature").alias("tile"), (1 + F.least("block", "other")).alias("i"), (1 + F.greatest("block", "other")).alias("j"), "key", "label", "block")
-    return whole.unionByName(large).join(sets.select("key", "n", "shared"), "key")
+    out, small, level = None, 1, 0
+    while True:
+        first = index.groupBy("signature").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("size"))
+        index = checkpointed(join_one(index, first, "signature", by="key"))
+        groups = components(index.where("key <> b").select(F.col("key").alias("a"), "b"))
+        index = join_one(index, groups.select(F.col("node").alias("b"), F.col("label").alias("tile")), "b", by="key")
+        # Each class of a signature counts its size, which makes its square in all.
+        classes = index.groupBy("tile", "key").agg(F.sum("size").alias("pairs")).groupBy("tile").agg(F.count(F.lit(1)).alias("classes"), F.sum("pairs").alias("pairs"))
+        index = checkpointed(join_one(index, classes, "tile", by="key"))
+        whole = (F.col("classes") <= BLOCK_SETS) | (F.col("classes") * F.col("classes") <= F.col("pairs"))
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK_SETS).cast("int").alias("blocks")
+        dealt = index.where(whole).select(F.lit(level).alias("level"), "tile", "key", "label", blocks("classes")).distinct()
+        out = dealt if out is None else out.unionByName(dealt)
+        rest, small = index.where(~whole), small * 8
+        if rest.isEmpty():
+            return out
+        alone = F.col("size") <= small if small < BLOCK_SETS else F.lit(True)
+        out = out.unionByName(rest.where(alone).select(F.lit(level + 1).alias("level"), F.col("signature").alias("tile"), "key", "label", blocks("size")))
+        index, level = rest.where(~alone).select("key", "signature", "label"), level + 2
+        if index.isEmpty():
+            return out
+
+
+def _tiles(sets: DataFrame, groups: DataFrame, across: bool) -> DataFrame:
+    """(level, tile, i, j, key, n, shared, label, block): groups in blocks of bounded size, each block by itself or each with each other."""
+    rows = groups.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    if across:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    else:
+        rows = rows.withColumn("other", F.col("block"))
+    rows = rows.select("level", "tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "label", "block")
+    return rows.join(sets.select("key", "n", "shared"), "key")
 
 
 def links(chosen: DataFrame, percent: int) -> DataFrame:
@@ -376,7 +398,9 @@ def links(chosen: DataFrame, percent: int) -> DataFrame:
 
     open_ = _labelled(index, found)
     several = open_.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("signature")
-    tiles = _tiles(sets, checkpointed(join_one(open_, several, "signature", by="key").select("key", "signature", "label")))
+    groups = checkpointed(_groups(checkpointed(join_one(open_, several, "signature", by="key").select("key", "signature", "label"))))
+
+    at = ["level", "tile", "i", "j"]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Tiles come one after another."""
@@ -389,18 +413,28 @@ def links(chosen: DataFrame, percent: int) -> DataFrame:
             return pd.DataFrame({"a": key[a], "b": key[b]})
 
         for t in batches:
-            for tile, i, j, key, n, shared, label, block in t[["tile", "i", "j", "key", "n", "shared", "label", "block"]].itertuples(index=False):
-                if (tile, i, j) != now:
+            for level, tile, i, j, key, n, shared, label, block in t[[*at, "key", "n", "shared", "label", "block"]].itertuples(index=False):
+                if (level, tile, i, j) != now:
                     if len(held) > 1:
                         yield done()
-                    now, held = (tile, i, j), []
+                    now, held = (level, tile, i, j), []
                 held.append((key, n, np.asarray(shared), label, block))
         if len(held) > 1:
             yield done()
 
     tasks = max(int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rest = tiles.repartition(tasks, "tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInPandas(lambda x: freed_after(verify(x)), "a long, b long")
-    return components(pairs.unionByName(rest))
+
+    def verified(groups: DataFrame, across: bool) -> DataFrame:
+        return _tiles(sets, groups, across).repartition(tasks, *at).sortWithinPartitions(*at).mapInPandas(lambda x: freed_after(verify(x)), "a long, b long")
+
+    found = components(pairs.unionByName(verified(groups, False)))
+    # What blocks have joined needs no further look between them.
+    large = checkpointed(_labelled(groups.where("blocks > 1").drop("label"), found).withColumn("group", F.struct("level", "tile")))
+    several = large.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
+    large = checkpointed(join_one(large, several, "group", by="key").drop("group"))
+    if large.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verified(large, True)))
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:

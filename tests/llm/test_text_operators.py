@@ -313,6 +313,44 @@ def test_jaccard_join(spark, monkeypatch, words, percent, frequent):
     assert len(got) == d.count() and all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
 
 
+def test_links_of_a_large_group_are_few(spark, monkeypatch):
+    """150 near copies of one text, which share hundreds of signatures and fill several blocks, give about as many links as there are copies."""
+    g, edges = np.random.default_rng(8), []
+    monkeypatch.setattr(ngram_join.signatures, "__defaults__", (2,))
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 40)
+    monkeypatch.setattr(ngram_join, "components", lambda e: edges.append(e.count()) or graph.components(e))
+    rows = []
+    for k in range(150):
+        x = [f"w{i}" for i in range(60)]
+        for _ in range(g.integers(1, 4)):
+            x[g.integers(0, 60)] = f"q{k}"
+        rows.append((k, " ".join(x)))
+    want = plain_components(rows, 3, 80)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got) and len({c for _, c in want.values()}) > 1
+    assert edges[0] < edges[-1] < 300
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_groups_keep_each_signature_together(spark, monkeypatch, dense):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(ngram_join, "components", graph.components)
+    g = np.random.default_rng(2)
+    signatures = [range(3 * s, 3 * s + 4) for s in range(100)] + [range(100, 112)] * 2 + [range(20, 60)] * (40 if dense else 1)
+    if dense:
+        signatures += [g.choice(np.arange(20, 60), 30, replace=False).tolist() for _ in range(20)]
+    index = spark.createDataFrame([(int(k), s, int(k)) for s, of in enumerate(signatures) for k in of], "key long, signature long, label long")
+    groups = defaultdict(set)
+    blocks = {}
+    for r in ngram_join._groups(index).collect():
+        assert r["key"] not in groups[r["level"], r["tile"]] and r["label"] == r["key"]
+        groups[r["level"], r["tile"]].add(r["key"])
+        blocks[r["level"], r["tile"]] = r["blocks"]
+    assert all(any(set(of) <= have for have in groups.values()) for of in signatures)
+    assert all(blocks[at] == -(-len(have) // 16) for at, have in groups.items())
+    assert sum(have >= set(range(20, 60)) for have in groups.values()) == 1
+
+
 def test_one_of_each(spark, odd, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     want = {doc for doc, (_, c) in plain_components(rows, 5, 80).items() if doc == c}
