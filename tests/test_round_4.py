@@ -3,9 +3,17 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from strandframe.functions import scalars as S
 from strandframe.operators import genes as G
 
 
+def test_labels_round_as_printf(spark):
+    sizes = [*range(400_010, 9_000_010, 9_990), *range(450_000, 30_000_000, 50_000), *range(750_000, 9_000_000_000, 777_750_000)]
+    got = {r["x"]: r["label"] for r in spark.createDataFrame([(x,) for x in sizes], "x long").select("x", S.size_label(F.col("x")).alias("label")).collect()}
+    want = {x: duckdb.execute("SELECT printf('%.1f', cast(? AS bigint)/1000000.0) || ' Mbp'", [x]).fetchone()[0] for x in set(sizes)}
+    assert got == want and want[850_000] == "0.8 Mbp"
+
+
 def test_names_beyond_five_digits_as_in_sql(spark):
     genes = spark.range(100_003).select(F.lit("Chr2").alias("chrom"), F.col("id").alias("start"), F.format_string("G%06d", "id").alias("gene"))
     got = {r["gene"]: r["new_name"] for r in G.renamed(genes, "AT").where("start < 2 or start > 99997").collect()}
