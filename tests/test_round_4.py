@@ -49,3 +49,12 @@ def test_points_are_counted_without_pairs(spark, monkeypatch):
     assert {(r["gene"], r["start"], r["stop"]): r["n"] for r in got} == hits and len(got) == len(hits)
     monkeypatch.setattr(I, "bucket_pairs", no_pairs)
     assert catalogue.QUERIES["snp_rate_per_gene"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_lone_hits_without_pairs(spark, monkeypatch):
+    i, p, intervals, points = crowded(spark, 40)
+    pairs = Counter((c, x) for c, x in p for d, a, b, _ in i if c == d and x is not None and a <= x <= b)
+    want = sorted((c, x, g) for c, x in p for d, a, b, g in i if c == d and x is not None and a <= x <= b and pairs[c, x] == 1)
+    assert sorted(tuple(r) for r in I.lone_hits(points, intervals).select("chrom", "pos", "b_gene").collect()) == want and len(want) > 5
+    monkeypatch.setattr(I, "bucket_pairs", no_pairs)
+    assert catalogue.QUERIES["points_in_one_gene"](spark, "/root/testdata/sf0.001").count() > 0
