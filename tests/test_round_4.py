@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import scalars as S
 from strandframe.operators import genes as G
+from strandframe.operators import homology as H
 from strandframe.operators import intervals as I
 from strandframe.operators import rescue as R
 from strandframe.plans import catalogue
@@ -77,3 +78,18 @@ def test_fragments_of_pairs_without_pairs(spark, monkeypatch):
     got = R.fragment_pairs(pairs, intervals).drop("strand1", "strand2")
     assert got.columns == ["read_id", "chr1", "pos1", "up1", "down1", "chr2", "pos2", "up2", "down2"]
     assert Counter(tuple(r) for r in got.collect()) == want and any(r[3] is not None for r in want)
+
+
+def test_hits_of_many_islands_without_python(spark):
+    r = random.Random(11)
+    rows = [(f"q{r.randrange(40)}", f"t{r.randrange(3)}", r.randrange(50), s := r.randrange(400), s + r.randrange(0, 60)) for _ in range(1500)]
+    want = []
+    for key in {x[:2] for x in rows}:
+        kept = []
+        for x in sorted((x for x in rows if x[:2] == key), key=lambda x: x[2:], reverse=True):
+            if not any(min(x[4], k[4]) - max(x[3], k[3]) > 0.1 * (x[4] - x[3]) for k in kept):
+                kept.append(x)
+        want += kept
+    got = H.suppressed(spark.createDataFrame(rows, "q string, t string, score long, start long, stop long"))
+    assert Counter(tuple(x) for x in got.collect()) == Counter(want)
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
