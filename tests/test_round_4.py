@@ -93,3 +93,16 @@ def test_hits_of_many_islands_without_python(spark):
     got = H.suppressed(spark.createDataFrame(rows, "q string, t string, score long, start long, stop long"))
     assert Counter(tuple(x) for x in got.collect()) == Counter(want)
     assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slots_of_one_wide_allele_without_pairs_of_its_genes(spark):
+    n = 1000
+    genes = [("R", "AB"[k % 2], f"g{k:04d}") for k in range(n)] + [("S", "C", "g0001"), ("S", "C", "g0002"), ("T", "A", "alone"), ("T", "B", "alone"), ("U", "A", "u1"), ("U", "A", "u2")]
+    hits = [("g0003", "g0010"), ("g0010", "g0003"), ("g0500", "g0007"), ("g0004", "g0004"), ("g0002", "g0001"), ("u1", "g0001"), ("alone", "u2")]
+    alleles, blast = spark.createDataFrame(genes, "allele_id string, slot string, gene string"), spark.createDataFrame(hits, "qseqid string, sseqid string")
+    slots = G.supported_slots(alleles, blast, list("ABC"))
+    got = {x["allele_id"]: (x["geneA"], x["geneB"], x["geneC"], x["dup_gene"]) for x in slots.collect()}
+    assert got == {"R": ("g0002", "g0001", None, "g0003,g0007,g0010,g0500"), "S": (None, None, "g0001", "g0002"), "T": ("alone", "alone", None, "")}
+    plan = slots._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner" in x]
+    assert joins and not any(x.count("=") == 1 and "allele_id" in x for x in joins)
