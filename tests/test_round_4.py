@@ -106,3 +106,15 @@ def test_slots_of_one_wide_allele_without_pairs_of_its_genes(spark):
     plan = slots._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join Inner" in x]
     assert joins and not any(x.count("=") == 1 and "allele_id" in x for x in joins)
+
+
+def test_components_of_alleles_are_not_broadcast(spark, monkeypatch):
+    from strandframe.operators import graph
+
+    written, plain = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: (written.append(df._jdf.queryExecution().executedPlan().toString()), plain(df))[1])
+    rows = [("c", f"x{k}", f"g{j}") for k in range(30) for j in (k, k * k % 30, 40 + k)]
+    got = G.fold_shared(spark.createDataFrame(rows, "chrom string, allele_id string, gene string"))
+    plans = [*written, got._jdf.queryExecution().executedPlan().toString()]
+    assert sum("Join" in p for p in plans) >= 3 and not any("BroadcastHashJoin" in p for p in plans)
+    assert {r["gene"] for r in got.collect()} == {r[2] for r in rows}
