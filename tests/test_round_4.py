@@ -10,8 +10,9 @@ from strandframe.functions import scalars as S
 from strandframe.operators import genes as G
 from strandframe.operators import homology as H
 from strandframe.operators import intervals as I
+from strandframe.operators import kmers as K
 from strandframe.operators import rescue as R
-from strandframe.plans import catalogue
+from strandframe.plans import catalogue, extended  # noqa: F401  registers its queries
 
 
 def test_labels_round_as_printf(spark):
@@ -118,3 +119,27 @@ def test_components_of_alleles_are_not_broadcast(spark, monkeypatch):
     plans = [*written, got._jdf.queryExecution().executedPlan().toString()]
     assert sum("Join" in p for p in plans) >= 3 and not any("BroadcastHashJoin" in p for p in plans)
     assert {r["gene"] for r in got.collect()} == {r[2] for r in rows}
+
+
+def test_kmers_are_counted_without_a_row_each(spark, monkeypatch):
+    r = random.Random(2)
+    seqs = [(k % 4, "".join(r.choice("ACGTacgtN." if k % 5 else "AC") for _ in range(r.randrange(0, 90)))) for k in range(200)] + [(0, None), (None, "ACGTACGT"), (1, "ACGTTGCA" * 30)]
+    table = spark.createDataFrame(seqs, "sample int, seq string")
+    monkeypatch.setattr(K, "PIECE", 16)
+    for k in (1, 2, 5, 8, 21, 31):
+        sets = defaultdict(int)
+        for sample, text in seqs:
+            for i in range(len(text or "") - k + 1):
+                w = text[i : i + k].upper()
+                if set(w) <= set("ACGT") and sample in (0, 1, 2):
+                    sets[min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA")))] |= 1 << sample
+        assert {x["mask"]: x["n"] for x in K.venn_of(table, k, [0, 1, 2]).collect()} == dict(Counter(sets.values()))
+    plan = catalogue.QUERIES["kmer_sets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "conv(" not in plan
+
+
+def test_kmers_have_the_numbers_of_the_plan(spark):
+    text = "ACGTTGCANACGGTTTACGACCAGTacgtttgacc"
+    for k in (3, 7, 12):
+        got = [x["kmer"] for x in K.canonical_kmers(spark.createDataFrame([("s", text)], "sample string, seq string"), k, ["sample"]).collect()]
+        assert sorted(K.numbered(text.encode(), k).tolist()) == sorted(got)
