@@ -143,3 +143,22 @@ def test_kmers_have_the_numbers_of_the_plan(spark):
     for k in (3, 7, 12):
         got = [x["kmer"] for x in K.canonical_kmers(spark.createDataFrame([("s", text)], "sample string, seq string"), k, ["sample"]).collect()]
         assert sorted(K.numbered(text.encode(), k).tolist()) == sorted(got)
+
+
+def test_best_overlaps_without_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    span = lambda most: (x := r.randrange(-40, 900), x + r.choice([0, 1, r.randrange(1, most), r.randrange(1, most)]))
+    rows = [("cd"[k % 2], *span(40 if k % 9 else 800), f"g{k}") for k in range(500)] + [("x", 1, 5, "nowhere"), ("c", 64, 64, "edge")]
+    domains = [("cd"[k % 2], *span(60 if k % 4 else 900)) for k in range(220)] + [("c", 64, 500), ("c", -3, 500), ("c", -3, 500), ("y", 1, 5)]
+    a, b = spark.createDataFrame(rows, "chrom string, start long, stop long, gene string"), spark.createDataFrame(domains, "chrom string, start long, stop long")
+    for last in (False, True):
+        want = {}
+        for c, s, e, g in rows:
+            over = [(min(q, e) - max(p, s), p, q) for d, p, q in domains if d == c and p < e and q > s and min(q, e) - max(p, s) >= 0.7 * (e - s)]
+            if over:
+                top = [(p, q) for o, p, q in over if o == max(over)[0]]
+                want[g] = (*(max(top) if last else min(top)), max(over)[0])
+        got = {x["gene"]: (x["b_start"], x["b_stop"], x["overlap"]) for x in I.best_overlap(a, b, 0.7, last, width=64).collect()}
+        assert got == want and len(want) > 300
+    monkeypatch.setattr(I, "bucket_pairs", no_pairs)
+    assert catalogue.QUERIES["domain_of_gene"](spark, "/root/testdata/sf0.001").count() > 0
