@@ -162,3 +162,8 @@ def test_best_overlaps_without_pairs(spark, monkeypatch):
         assert got == want and len(want) > 300
     monkeypatch.setattr(I, "bucket_pairs", no_pairs)
     assert catalogue.QUERIES["domain_of_gene"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_domains_are_conserved_without_pairs_of_genes_and_domains(spark, monkeypatch):
+    monkeypatch.setattr(I, "bucket_pairs", no_pairs)
+    assert catalogue.QUERIES["domain_conservation"](spark, "/root/testdata/sf0.01").count() > 0
