@@ -167,3 +167,16 @@ def test_best_overlaps_without_pairs(spark, monkeypatch):
 def test_domains_are_conserved_without_pairs_of_genes_and_domains(spark, monkeypatch):
     monkeypatch.setattr(I, "bucket_pairs", no_pairs)
     assert catalogue.QUERIES["domain_conservation"](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_held_intervals_meet_once(spark):
+    r = random.Random(4)
+    span = lambda most: (x := r.randrange(-40, 400), x + r.choice([-1, 0, 1, 2, 3, r.randrange(1, most)]))
+    rows, domains = [("cd"[k % 2], *span(40), f"g{k}") for k in range(300)], [("cd"[k % 2], *span(30 if k % 5 else 5000), k) for k in range(150)]
+    a, b = spark.createDataFrame(domains, "chrom string, start long, stop long, k long"), spark.createDataFrame(rows, "chrom string, start long, stop long, gene string")
+    for share in (0.51, 0.7, 1.0):
+        want = Counter((k, g, min(q, e) - max(p, s)) for c, s, e, g in rows for d, p, q, k in domains if c == d and p < e and q > s and min(q, e) - max(p, s) >= share * (e - s))
+        found = I.held_join(a, b, share, width=8)
+        assert Counter((x["k"], x["b_gene"], x["overlap"]) for x in found.collect()) == want and len(want) > 100
+    plan = catalogue.QUERIES["domain_gene_overlap_f70"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=shuffle_hash" in plan and plan.count("explode(sequence") == 1
