@@ -7,6 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from strandframe.functions import scalars as S
+from strandframe.operators import compartments as AB
 from strandframe.operators import genes as G
 from strandframe.operators import homology as H
 from strandframe.operators import intervals as I
@@ -180,3 +181,24 @@ def test_held_intervals_meet_once(spark):
         assert Counter((x["k"], x["b_gene"], x["overlap"]) for x in found.collect()) == want and len(want) > 100
     plan = catalogue.QUERIES["domain_gene_overlap_f70"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=shuffle_hash" in plan and plan.count("explode(sequence") == 1
+
+
+def test_pairs_of_domains_are_not_shuffled(spark):
+    r = random.Random(6)
+    span = lambda most: (x := r.randrange(0, 900), x + r.choice([0, r.randrange(1, most), r.randrange(1, most)]))
+    rows = [("cd"[k % 2], *span(40), f"g{k % 110}") for k in range(120)]
+    domains = [("cd"[k % 2], *span(300 if k % 9 else 300_000)) for k in range(40)] + [("c", 100, 700), ("c", 100, 700)]
+    anchors = [(f"g{r.randrange(115)}", f"g{r.randrange(12)}") for _ in range(90)]
+    of = defaultdict(list)
+    for c, s, e, g in rows:
+        of[g] += [f"{d}:{p}:{q}" for d, p, q in domains if c == d and p < e and q > s and min(q, e) - max(p, s) >= 0.7 * (e - s)]
+    want = defaultdict(list)
+    for g, h in anchors:
+        for x in of[g]:
+            for y in of[h]:
+                want[x, y].append(g)
+    make = lambda x, schema: spark.createDataFrame(x, schema)
+    got = AB.domain_pairs(make(domains, "chrom string, start long, stop long"), make(rows, "chrom string, start long, stop long, gene string"), make(anchors, "gene1 string, gene2 string"))
+    assert sorted(tuple(x) for x in got.collect()) == sorted((*k, len(v), ",".join(sorted(v))) for k, v in want.items()) and len(want) > 200
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan.split("MapInArrow")[0] and "collect_list(gene1" not in plan
